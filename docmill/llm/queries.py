@@ -6,10 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import encoding, leakage
+from docmill.llm import encoding, leakage, neardup
 from docmill.session import table
 
 
+QUESTION_TABLES = ("single_shot_questions", "multi_hop_questions", "cross_document_questions")
+
+
+def question_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The wanted columns of the three question tables together."""
+    first, *rest = (table(spark, sf_dir, name).select(*columns) for name in QUESTION_TABLES)
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(question_rows(spark, sf_dir, "question_id", "question", "self_answer"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose common words are at least 0.7 of all their words."""
+    return _near_duplicates(spark, sf_dir).pairs()
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a partner: class of same words, group of linked classes, number of links."""
+    return _near_duplicates(spark, sf_dir).groups()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
@@ -31,7 +56,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_items)}
+    return {f.__name__: f for f in (p5_found, p5_groups, p6_ids, p7_found, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:
