@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docmill.llm import encoding, leakage, neardup
+from docmill.llm import encoding, leakage, neardup, splitting, truncation
 from docmill.session import table
 
 
@@ -21,6 +22,43 @@ def question_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return first
 
 
+def _truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = question_rows(spark, sf_dir, "question_id", "generating_model", "raw_response").select(
+        F.lit("raw_response").alias("field"),
+        F.col("question_id").cast("string").alias("record_id"),
+        F.lower("generating_model").alias("source"),
+        F.col("raw_response").alias("text"),
+    )
+    summaries = table(spark, sf_dir, "chunked").select(
+        F.lit("document_summary").alias("field"),
+        F.col("document_id").alias("record_id"),
+        F.lower("summarization_model").alias("source"),
+        F.col("document_summary").alias("text"),
+    )
+    return truncation.verdicts(responses.unionByName(summaries))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that lost their end."""
+    return _truncation(spark, sf_dir).where("cut").select("field", "record_id")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of values that lost their end, per field and model."""
+    return truncation.rates(_truncation(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized items: those the splitter cuts."""
+    items = splitting.chunked_items(table(spark, sf_dir, "chunked"))
+    return splitting.split(items, with_text=False).where("piece = 0").select("field", "item_id")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pieces of every oversized item."""
+    return splitting.split(splitting.chunked_items(table(spark, sf_dir, "chunked")))
+
+
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(question_rows(spark, sf_dir, "question_id", "question", "self_answer"))
 
@@ -56,9 +94,28 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
-    return {f.__name__: f for f in (p5_found, p5_groups, p6_ids, p7_found, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_pieces, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {
+        "p3_found": """
+            SELECT DISTINCT 'document_text' AS field, document_id AS item_id FROM chunked WHERE length(document_text) > 4000
+            UNION
+            SELECT DISTINCT 'chunk_text', c.chunk_id FROM (SELECT unnest(chunks) AS c FROM chunked) WHERE length(c.chunk_text) > 1200
+        """,
+        "p5_found": """
+            WITH r AS (
+                SELECT question_id AS id, question, self_answer FROM single_shot_questions
+                UNION SELECT question_id, question, self_answer FROM multi_hop_questions
+                UNION SELECT question_id, question, self_answer FROM cross_document_questions),
+            w AS (
+                SELECT DISTINCT id, unnest(regexp_extract_all(lower(question || ' ' || coalesce(self_answer, '')), '[\\p{L}\\p{N}]+')) AS w
+                FROM r WHERE regexp_matches(question, '[^\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{3000}]')),
+            n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+            c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+            SELECT a AS question_id_a, b AS question_id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b
+            WHERE 10 * c >= 7 * (x.n + y.n - c)
+        """,
+    }
