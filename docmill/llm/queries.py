@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import encoding, leakage, neardup, splitting, truncation
+from docmill.llm import encoding, leakage, neardup, pairs, splitting, truncation
 from docmill.session import table
 
 
@@ -48,6 +48,11 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(_truncation(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs with the name of each defect."""
+    return pairs.defects(question_rows(spark, sf_dir, *pairs.COLUMNS))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversized items: those the splitter cuts."""
     items = splitting.chunked_items(table(spark, sf_dir, "chunked"))
@@ -94,7 +99,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_pieces, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_pieces, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,6 +47,7 @@ _MARK = re.compile(
 )
 _REMARK = re.compile(r"\s*[(\[（][^()\[\]（）\n]{1,120}[)\]）]\s*$")
 _WORDS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+|(?<=[。！？])|[\r\n]+")
 _ITEM = re.compile(r"\s*(?:[-*•·–]|\d+[.)])\s+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힣]")
 
@@ -101,6 +102,12 @@ def units(text: str) -> list[str]:
     return list(text.replace(" ", "")) if len(_WIDE.findall(text)) * 3 > len(text) else _WORDS.findall(text)
 
 
+def last_words(found: list[str], end: int | None = None) -> list[str]:
+    """The last four of a sentence's words up to ``end``, with a mark before its first."""
+    end = len(found) if end is None else end
+    return found[end - 4 : end] if end >= 4 else ["^", *found[:end]]
+
+
 def contexts(last: list[str]) -> list[int]:
     """Keys of the last words, from the most to the least telling."""
     masked = [_masked(w) for w in last]
@@ -140,12 +147,13 @@ def prose_state(text: str) -> tuple[str, list[int], int | None]:
         return "blank", [], None
     lines = [x for x in body.splitlines() if x.strip()]
     items = [x for x in lines if _ITEM.match(x)]
-    last = units(lines[-1])[-4:] if lines else []
+    found = units(_SENTENCE.split(lines[-1].rstrip(_CLOSING + _TERMINAL))[-1]) if lines else []
+    last = last_words(found)
     if bare[-1] in _TERMINAL:
         if bare[-1] == "." and bare[-2:-1].isdigit():
             return "number", contexts(last), None
         return "whole", [], None
-    if not last:
+    if not found:
         return "cut", [], None
     if marked and not items:
         return _named("open", last)
@@ -198,7 +206,6 @@ def inspect(values: DataFrame) -> DataFrame:
 
 
 COUNTS = "key long, ends long, total long"
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+|(?<=[。！？])|[\r\n]+")
 
 
 def end_counts(texts: DataFrame) -> DataFrame:
@@ -217,7 +224,7 @@ def end_counts(texts: DataFrame) -> DataFrame:
                     found = units(sentence)
                     for i in range(1, len(found) + stopped):
                         at_end = i == len(found)
-                        keys = contexts(found[max(0, i - 4) : i])
+                        keys = contexts(last_words(found, i))
                         total.update(keys)
                         if at_end:
                             ends.update(keys)
