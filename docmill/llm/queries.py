@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import encoding, leakage, neardup, pairs, splitting, truncation
+from docmill.llm import encoding, leakage, neardup, pagenoise, pairs, splitting, truncation
 from docmill.session import table
 
 
@@ -64,6 +64,20 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(splitting.chunked_items(table(spark, sf_dir, "chunked")))
 
 
+def _page_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagenoise.repaired(table(spark, sf_dir, "chunked").select("document_id", F.col("document_text").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of page noise of each scanned document."""
+    return pagenoise.kinds_found(_page_noise(spark, sf_dir))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned documents with their noise and repaired text."""
+    return _page_noise(spark, sf_dir).dropDuplicates(["document_id"])
+
+
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(question_rows(spark, sf_dir, "question_id", "question", "self_answer"))
 
@@ -99,7 +113,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_pieces, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_pieces, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:
