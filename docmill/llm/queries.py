@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import encoding, leakage, neardup, pagenoise, pairs, splitting, truncation
+from docmill.llm import encoding, leakage, neardup, offence, pagenoise, pairs, splitting, truncation
 from docmill.session import table
 
 
@@ -111,9 +111,32 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(_leaks(spark, sf_dir))
 
 
+def _offence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offence.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an offending statement."""
+    return offence.named(_offence(spark, sf_dir))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, with the statement that made it."""
+    return _offence(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of offending documents per source."""
+    return offence.rates(table(spark, sf_dir, "documents"), _offence(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_pieces, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
+    registered = (
+        p1_found, p1_rates, p2_found, p3_found, p3_pieces, p4_found, p4_repaired, p5_found,
+        p5_groups, p6_ids, p7_found, p7_items, p8_found, p8_scores, p8_rates,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:

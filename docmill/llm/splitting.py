@@ -35,11 +35,11 @@ OVERLAP = (100, 200)
 #: Characters under the rolling hash; a power of two.
 WINDOW = 32
 
-_LINE = r"(?:\r\n|[\n\r\u0085  ])"
+_LINE = r"(?:\r\n|[\n\r\u0085\u2028\u2029])"
 _PARAGRAPH = re.compile(rf"{_LINE}[^\S\n\r]*{_LINE}\s*")
 _SENTENCE = re.compile(rf"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）”]*\s*|{_LINE}(?=\s*(?:[-*•|#>]|\d+[.)]\s))")
 _WORD = re.compile(r"\s+|(?<=[、，；：])")
-_INSIDE = re.compile(r"[̀-ͯ҃-҉֑-ֽً-ٟ᪰-᫿᷀-᷿⃐-⃿゙゚︀-️︠-︯\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]|‍.?|(?<=\r)\n", re.S)
+_INSIDE = re.compile(r"[\u0300-\u036f\u0483-҉\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]|\u200d.?|(?<=\r)\n", re.S)
 
 _U64 = np.uint64
 

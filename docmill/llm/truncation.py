@@ -43,13 +43,13 @@ _ANALYSIS = re.compile(r"<document_analysis>(?:(?!</document_analysis>).)*(</doc
 _TERMINAL = ".!?。！？"
 _CLOSING = "\"'”’»›)）」』】*_ "
 _MARK = re.compile(
-    r"(?:\s*(?:</?[\w ]+>|<[\w ]+>|\[[\w .…-]*\]?|\((?:[a-z .…]*)\)?|\{[\w .…]*\}?|```\w*|…|\.{2,}|[–—\-:;,~>⟩/|\\]+|[�\x00]+)\s*)+$"
+    r"(?:\s*(?:</?[\w ]+>|<[\w ]+>|\[[\w .…-]*\]?|\((?:[a-z .…]*)\)?|\{[\w .…]*\}?|```\w*|…|\.{2,}|[–—\-:;,~>⟩/|\\]+|[\ufffd\x00]+)\s*)+$"
 )
 _REMARK = re.compile(r"\s*[(\[（][^()\[\]（）\n]{1,120}[)\]）]\s*$")
 _WORDS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+|(?<=[。！？])|[\r\n]+")
 _ITEM = re.compile(r"\s*(?:[-*•·–]|\d+[.)])\s+")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힣]")
+_WIDE = re.compile(r"[\u3040-ヿ㐀-鿿豈-\ufaff가-힣]")
 
 INSPECTED = T.StructType(
     [
@@ -183,7 +183,7 @@ def response_state(text: str) -> tuple[str, list[int], int | None]:
 
 
 def _blank(text: str | None) -> bool:
-    return text is None or not text.strip("​﻿ \t\r\n\xa0") or text.strip().strip(".").lower() in PLACEHOLDERS
+    return text is None or not text.strip("\u200b\ufeff \t\r\n\xa0") or text.strip().strip(".").lower() in PLACEHOLDERS
 
 
 def inspect(values: DataFrame) -> DataFrame:
