@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.text import BLANK, strip
+
 #: Elements whose content isn't part of a page's text (fixed values).
 LEFT_OUT = {"script", "style", "noscript", "template", "head", "nav", "footer", "aside", "form", "iframe", "svg"}
 _BLOCKS = {"p", "div", "section", "article", "main", "header", "ul", "ol", "table", "blockquote", "pre", "figure", "br", "tr", "li", "hr"}
@@ -122,7 +124,7 @@ def strip_tags(html: Column | str) -> Column:
     bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return strip(F.regexp_replace(bare, f"{BLANK}+", " "))
 
 
 def utf8(content: Column | str) -> Column:
