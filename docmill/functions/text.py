@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column | str) -> Column:
     """Without white space of any kind at both ends; null stays null."""
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
@@ -30,23 +36,21 @@ def question_key(question: Column | str) -> Column:
 
 def tag_content(text: Column | str, tag: str) -> Column:
     """Content of the first closed tag, else all that follows an opening one; stripped; "" without tag."""
-    closed, opened = rf"(?s)<{tag}>(.*?)</{tag}>", rf"(?s)<{tag}>(.*)"
+    either = rf"(?s)<{tag}>(?:(.*?)</{tag}>|(.*))"
     column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found = F.when(column.rlike(closed), F.regexp_extract(column, closed, 1)).otherwise(F.regexp_extract(column, opened, 1))
-    return strip(found)
+    return strip(F.concat(F.regexp_extract(column, either, 1), F.regexp_extract(column, either, 2)))
 
 
 def closed_tag(text: Column | str, tag: str) -> Column:
     """Content of the first closed tag, whose opening may hold white space; null without one."""
-    pattern = rf"<{tag}\s*>([\s\S]*?)</{tag}>"
     column = F.col(text) if isinstance(text, str) else text
-    return F.when(column.rlike(pattern), strip(F.regexp_extract(column, pattern, 1)))
+    return strip(F.try_element_at(F.regexp_extract_all(column, F.lit(rf"<{tag}\s*>([\s\S]*?)</{tag}>"), 1), F.lit(1)))
 
 
 def without_fence(text: Column) -> Column:
     """Content of a code fence that spans the whole text; else the text."""
     pattern = r"^\s*```(?:json)?\s*([\s\S]*?)\s*```\s*$"
-    return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1))).otherwise(text)
+    return let(text, lambda t: F.when(t.startswith("```") & t.endswith("```"), strip(F.regexp_extract(t, pattern, 1))).otherwise(t))
 
 
 def safe_id(document_id: Column | str, position: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.text import let
 from docmill.schemas import PREPARED
 
 SLIM = (
@@ -27,9 +28,13 @@ def with_summaries(documents: DataFrame, summarized: DataFrame) -> DataFrame:
 def chunk_texts(ids: Column, chunks: Column, keep_missing: bool) -> Column:
     """Texts of chunk ids, in their order; a missing one is "" or left out. Empty ids are skipped."""
     known = F.filter(F.coalesce(chunks, F.array().cast("array<struct<chunk_id:string,chunk_text:string>>")), lambda c: c["chunk_id"].isNotNull())
-    text = lambda k: F.try_element_at(F.filter(known, lambda c: c["chunk_id"] == k), F.lit(-1))["chunk_text"]
     wanted = F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != ""))
-    found = F.transform(wanted, lambda k: F.coalesce(text(k), F.lit("")))
+
+    def texts(own: Column) -> Column:
+        last = lambda k: F.try_element_at(F.filter(own, lambda c: c["chunk_id"] == k), F.lit(-1))["chunk_text"]
+        return F.transform(wanted, lambda k: F.coalesce(last(k), F.lit("")))
+
+    found = let(known, texts)
     return found if keep_missing else F.filter(found, lambda t: t != "")
 
 

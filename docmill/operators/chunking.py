@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import has_content
+from docmill.functions.text import has_content, let
 from docmill.functions.tokens import byte_pair_windows, word_tokens
 
 
@@ -18,10 +18,13 @@ def token_windows(text: Column | str, size: int, overlap: int = 0, encoding: str
     column = F.col(text) if isinstance(text, str) else text
     if encoding != "word":
         return byte_pair_windows(column, size, overlap, encoding)
-    words = word_tokens(column)
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
-    return F.when(F.size(words) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+        return F.when(F.size(words) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(word_tokens(column), windows)
 
 
 def chunks(document_id: Column | str, text: Column | str, size: int, overlap: int = 0, encoding: str = "word") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import variant as V
-from docmill.functions.text import strip
+from docmill.functions.text import let, strip
 
 #: Question types that are checked; of others only the record rules hold (fixed values).
 MULTI_CHOICE_TYPES = ("analytical", "application-based", "clarification", "counterfactual", "conceptual", "true-false", "factual", "false-premise", "edge-case")
@@ -57,15 +57,23 @@ def permuted_choices(questions: DataFrame) -> DataFrame:
     an answer with choices must.
     """
     letter = F.upper(strip("self_answer"))
-    texts = unlabelled(F.col("choices"))
-    ranked = F.array_sort(F.transform(texts, lambda t, i: F.struct(F.sha2(F.concat_ws("|", "question", t), 256).alias("h"), t.alias("t"), i.alias("i"))))
     index = F.when(letter.rlike("^[A-Z]$"), F.ascii(letter) - 65)
-    named = F.try_element_at(texts, index + 1)
-    place = F.array_position(F.transform(ranked, lambda x: x["t"]), named)
     applies = (F.size("choices") > 0) & (F.coalesce(letter, F.lit("")) != "")
-    moved = F.when(applies & (place > 0), labelled(F.transform(ranked, lambda x: x["t"]))).otherwise(F.col("choices"))
-    answer = F.when(applies & (place > 0), F.char(F.lit(64) + place)).otherwise(F.col("self_answer"))
-    return questions.withColumns({"choices": moved, "self_answer": answer, "permutable": ~applies | F.coalesce(place > 0, F.lit(False))})
+
+    def ordered(texts: Column) -> Column:
+        ranked = F.array_sort(F.transform(texts, lambda t, i: F.struct(F.sha2(F.concat_ws("|", "question", t), 256).alias("h"), t.alias("t"), i.alias("i"))))
+        return let(F.transform(ranked, lambda x: x["t"]), lambda r: F.struct(r.alias("texts"), F.array_position(r, F.try_element_at(texts, index + 1)).alias("place")))
+
+    moved = questions.withColumn("_moved", F.when(applies, let(unlabelled(F.col("choices")), ordered))).withColumn("_applies", applies)
+    place = F.col("_moved.place")
+    out = moved.withColumns(
+        {
+            "choices": F.when(place > 0, labelled(F.col("_moved.texts"))).otherwise(F.col("choices")),
+            "self_answer": F.when(place > 0, F.char(F.lit(64) + place)).otherwise(F.col("self_answer")),
+            "permutable": ~F.col("_applies") | F.coalesce(place > 0, F.lit(False)),
+        }
+    )
+    return out.drop("_moved", "_applies")
 
 
 def mode_valid(mode: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docmill.functions import tokens, variant
 from docmill.functions.text import has_content, question_key, safe_id, strip, tag_content
 from docmill.operators import assemble, chunking, crossdoc, dedup, inference, metrics, parsing, prompts, rewriting, sampling, scoring, summarize
-from docmill.session import cut_lineage, table
+from docmill.session import cut_lineage, spread, table
 from docmill.sources import convert, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,8 @@ def questions_once(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` under the names of the ingested subset."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("document_text"), "document_filename")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("document_text"), "document_filename")
+    return spread(rows)
 
 
 @query
@@ -245,7 +246,7 @@ def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects in the responses' JSON lists, with their fields normalised."""
-    responses = table(spark, sf_dir, "single_shot_questions").select(F.md5("raw_response").alias("response_id"), F.col("raw_response").alias("response")).where("response_id IS NOT NULL")
+    responses = spread(table(spark, sf_dir, "single_shot_questions").select("raw_response")).select(F.md5("raw_response").alias("response_id"), F.col("raw_response").alias("response")).where("response_id IS NOT NULL")
     once = responses.groupBy("response_id").agg(F.max("response").alias("response"))
     found = parsing.pairs(once, "response", ("response_id",))
     counted = {"citations": F.size("citations").cast("long"), "choices": F.size("choices").cast("long")}
@@ -350,7 +351,7 @@ def citation_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation scores by best window similarity, over the written table as in the pipeline."""
     written = cut_lineage(_prepared(spark, sf_dir).select("kind", "document_id", "question", "citations", "chunks", "ground_truth_answer"))
-    return scoring.scored(written).select("kind", "document_id", "question", *scoring.SCORES.names)
+    return scoring.scored(spread(written)).select("kind", "document_id", "question", *scoring.SCORES.names)
 
 
 @query
