@@ -92,7 +92,7 @@ class _Markdown(HTMLParser):
         elif tag == "a" and self.links:
             href = self.links.pop()
             self._put(f"]({href})" if href else "]")
-        elif tag in _BLOCKS or re.fullmatch("h[1-6]", tag):
+        elif tag in _BLOCKS - {"li", "br", "tr", "hr"} or re.fullmatch("h[1-6]", tag):
             self._put("\n\n")
 
     def handle_data(self, data: str) -> None:
