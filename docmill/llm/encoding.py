@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,8 +185,6 @@ def encode_with_offsets(df: DataFrame, key: str, text: str, tokenizer: str, fold
 
 def decode_ids(ids: Column, tokenizer: str, folder: str = DEFAULT_TOKENIZERS) -> Column:
     """The text of an ``ARRAY<INT>`` column."""
-    import pandas as pd
-
     path = vocabulary_path(tokenizer, folder)
 
     @F.pandas_udf(T.StringType())
