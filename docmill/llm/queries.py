@@ -147,6 +147,13 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT DISTINCT 'chunk_text', c.chunk_id FROM (SELECT unnest(chunks) AS c FROM chunked) WHERE length(c.chunk_text) > 1200
         """,
+        "p7_found": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+            i AS (SELECT item_id, regexp_extract_all(lower(unnest([passage, question])), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            dg AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 17], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 17)) AS s FROM d)),
+            ig AS (SELECT DISTINCT item_id, array_to_string(w[s : s + 17], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 17)) AS s FROM i))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+        """,
         "p5_found": """
             WITH r AS (
                 SELECT question_id AS id, question, self_answer FROM single_shot_questions
