@@ -18,6 +18,7 @@ QUESTION_TABLES = {"single_shot": "single_shot_questions", "multi_hop": "multi_h
 SINGLE_TEMPLATE = "Title: {title}\nSummary: {document_summary}\nText: {text_chunk}\n{additional_instructions}"
 MULTI_TEMPLATE = "Title: {title}\nSummary: {document_summary}\n{chunks}{additional_instructions}"
 REWRITE_TEMPLATE = "Question: {original_question}\nAnswer: {answer}\nText: {chunk_text}\nSummary: {document_summary}\n{additional_instructions}"
+TITLED = ("document_filename", "document_summary")
 REGISTERED: dict[str, Query] = {}
 
 
@@ -31,11 +32,13 @@ def _long(*names: str) -> dict[str, Column]:
     return {n: F.col(n).cast("long") for n in names}
 
 
-def chunked_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``chunked`` with one row per document; redelivered rows are equal."""
-    rows = table(spark, sf_dir, "chunked")
-    whole = F.struct(*[c for c in rows.columns if c != "document_id"])
-    return rows.groupBy("document_id").agg(F.max_by(whole, F.length("document_text")).alias("r")).select("document_id", "r.*")
+def chunked_once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The wanted columns of ``chunked`` with one row per document; redelivered rows are equal.
+
+    Only the wanted columns are read and shuffled.
+    """
+    rows = table(spark, sf_dir, "chunked").select("document_id", *columns)
+    return rows.groupBy("document_id").agg(*[F.any_value(c).alias(c) for c in columns])
 
 
 def questions_once(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -96,26 +99,26 @@ def chunk_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and lengths of each document's chunks."""
-    return chunking.chunk_statistics(chunked_once(spark, sf_dir)).withColumns(_long("min_length", "max_length"))
+    return chunking.chunk_statistics(chunked_once(spark, sf_dir, "chunks")).withColumns(_long("min_length", "max_length"))
 
 
 @query
 def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and groups of all documents."""
-    return chunking.chunk_totals(chunked_once(spark, sf_dir))
+    return chunking.chunk_totals(chunked_once(spark, sf_dir, "chunks", "multihop_chunks"))
 
 
 @query
 def chunk_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of two to five chunk positions of each document."""
-    rows = chunked_once(spark, sf_dir).select("document_id", chunking.combinations("document_id", F.size("chunks")).alias("g"))
+    rows = chunked_once(spark, sf_dir, "chunks").select("document_id", chunking.combinations("document_id", F.size("chunks")).alias("g"))
     each = rows.select("document_id", F.posexplode("g").alias("n", "p"))
     return each.select("document_id", F.col("n").cast("long").alias("n"), F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
 
 
 def _sampled(spark: SparkSession, sf_dir: str, how: sampling.Sampling) -> DataFrame:
     taken = sampling.sample_array(F.col("document_id"), F.col("chunks"), how)
-    return chunked_once(spark, sf_dir).select("document_id", F.posexplode(taken).alias("n", "c")).select("document_id", F.col("n").cast("long").alias("n"), "c.chunk_id")
+    return chunked_once(spark, sf_dir, "chunks").select("document_id", F.posexplode(taken).alias("n", "c")).select("document_id", F.col("n").cast("long").alias("n"), "c.chunk_id")
 
 
 @query
@@ -166,21 +169,21 @@ def crossdoc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prompt_single_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for each chunk with content."""
-    calls = prompts.single_shot_calls(chunked_once(spark, sf_dir), SINGLE_TEMPLATE, instructions="Be brief.")
+    calls = prompts.single_shot_calls(chunked_once(spark, sf_dir, *TITLED, "chunks"), SINGLE_TEMPLATE, instructions="Be brief.")
     return calls.select("document_id", "chunk_id", F.md5("prompt").alias("prompt_hash"), F.array_join("tags", " ").alias("tags"))
 
 
 @query
 def prompt_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for each group of chunks."""
-    calls = prompts.multi_hop_calls(chunked_once(spark, sf_dir), MULTI_TEMPLATE, instructions="Be brief.")
+    calls = prompts.multi_hop_calls(chunked_once(spark, sf_dir, *TITLED, "multihop_chunks"), MULTI_TEMPLATE, instructions="Be brief.")
     return calls.select("document_id", F.array_join("source_chunk_ids", ",").alias("chunk_ids"), F.md5("prompt").alias("prompt_hash"), F.array_join("tags", " ").alias("tags"))
 
 
 @query
 def prompt_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rewriting prompt for each question with content."""
-    known = chunked_once(spark, sf_dir).select("document_id", "document_summary", F.col("chunks").alias("_chunks"))
+    known = chunked_once(spark, sf_dir, "document_summary", "chunks").select("document_id", "document_summary", F.col("chunks").alias("_chunks"))
     asked = questions_once(spark, sf_dir, "single_shot").join(known, "document_id", "left")
     passages = asked.withColumn("chunks", assemble.chunk_texts(F.array("chunk_id"), F.col("_chunks"), keep_missing=False))
     return prompts.rewriting_calls(passages, REWRITE_TEMPLATE).select("question_id", F.md5("prompt").alias("prompt_hash"))
@@ -189,14 +192,14 @@ def prompt_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def builder_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the builder of single-shot prompts saw and made."""
-    chunked = chunked_once(spark, sf_dir)
+    chunked = chunked_once(spark, sf_dir, *TITLED, "chunks")
     return prompts.builder_totals(chunked, prompts.single_shot_calls(chunked, SINGLE_TEMPLATE))
 
 
 @query
 def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls per tag of the multi-hop prompts."""
-    return prompts.tag_histogram(prompts.multi_hop_calls(chunked_once(spark, sf_dir), MULTI_TEMPLATE))
+    return prompts.tag_histogram(prompts.multi_hop_calls(chunked_once(spark, sf_dir, *TITLED, "multihop_chunks"), MULTI_TEMPLATE))
 
 
 @query
@@ -312,7 +315,7 @@ def without_empties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunked = chunked_once(spark, sf_dir)
+    chunked = chunked_once(spark, sf_dir, "document_text", "document_summary", "chunks")
     known = assemble.with_summaries(assemble.documents_once(chunked), chunked)
     single, multi, cross = (questions_once(spark, sf_dir, k) for k in QUESTION_TABLES)
     return assemble.evaluation_table(known, single, multi, None).unionByName(assemble.across_documents(cross, chunked))
