@@ -102,7 +102,7 @@ def word_buckets(word: str) -> list[int]:
     """Buckets of a word and its character n-grams; numbers are all alike."""
     if word.isdigit():
         word = "0"
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     crc = zlib.crc32
     if marked.isascii():
         b = marked.encode()
