@@ -14,11 +14,9 @@ def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     Survivors are picked by an aggregation that combines before the shuffle, so a key that holds a
     third of all rows costs no more than any other; ties in the order go to the smaller row.
     """
-    whole = F.struct(*order, F.xxhash64(*[c for c in rows.columns if not _unhashable(rows, c)]).alias("_tie"), F.struct(*rows.columns).alias("_row"))
-    keyed = rows.withColumn("_key", key)
     plain = F.struct(*order, F.xxhash64(*[c for c in rows.columns if not _unhashable(rows, c)]))
-    first = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min_by(whole, plain).alias("_w")).select("_w._row.*")
-    return first.unionByName(keyed.where("_key IS NULL").drop("_key"))
+    keyed = rows.withColumn("_key", key).withColumn("_own", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()))  # a null key is a group of one
+    return keyed.groupBy("_key", "_own").agg(F.min_by(F.struct(*rows.columns), plain).alias("_row")).select("_row.*")
 
 
 def _unhashable(rows: DataFrame, column: str) -> bool:
