@@ -108,21 +108,35 @@ def last_words(found: list[str], end: int | None = None) -> list[str]:
     return found[end - 4 : end] if end >= 4 else ["^", *found[:end]]
 
 
+_WORD_HASHES: dict[str, tuple[int, int]] = {}
+_STEP, _BITS = 0x9E3779B97F4A7C15, (1 << 63) - 1
+
+
+def word_hashes(word: str) -> tuple[int, int]:
+    """Hashes of a word and of its masked form, kept by the worker."""
+    known = _WORD_HASHES.get(word)
+    if known is None:
+        if len(_WORD_HASHES) > 400_000:
+            _WORD_HASHES.clear()
+        known = _WORD_HASHES[word] = (_key("w", word) & _BITS, _key("m", _masked(word)) & _BITS)
+    return known
+
+
 def contexts(last: list[str]) -> list[int]:
-    """Keys of the last words, from the most to the least telling."""
-    masked = [_masked(w) for w in last]
-    out = []
-    for n in (4, 3, 2, 1):
-        if len(last) >= n:
-            out.append(_key("w", *last[-n:]))
-            if n > 1:
-                out.append(_key("m", *masked[-n:]))
+    """Keys of the last words, from the most to the least telling: each as it is and masked, a lone word as it is."""
+    exact = masked = 0
+    out: list[int] = []
+    for w in reversed(last):
+        a, b = word_hashes(w)
+        exact, masked = (exact * _STEP + a) & _BITS, (masked * _STEP + b) & _BITS
+        out += (masked, exact) if out else (exact,)
+    out.reverse()
     return out
 
 
 def tail_key(word: str) -> int:
     """Key of a word's last letters; of a short one, of the word."""
-    return _key("w", word) if len(word) < 5 else _key("t", word[-3:].lower())
+    return contexts([word])[0] if len(word) < 5 else _key("t", word[-3:].lower())
 
 
 def _named(state: str, last: list[str]) -> tuple[str, list[int], int | None]:
