@@ -77,9 +77,12 @@ def plain(text: str) -> str:
     return _LONG.sub(r"\1", text)
 
 
-def tokens(statement: str) -> list[str]:
-    """Words of a plain statement; of scripts without blanks, each two neighbouring characters."""
-    if not _SIGN.search(statement):
+def tokens(statement: str, signs: bool = True) -> list[str]:
+    """Words of a plain statement; of scripts without blanks, each two neighbouring characters.
+
+    Without ``signs`` the statement is known to have no signs within words.
+    """
+    if not signs or not _SIGN.search(statement):
         found = _WORD.findall(statement)
         if statement.isascii():
             return found
@@ -103,14 +106,15 @@ def word_buckets(word: str) -> list[int]:
     if word.isdigit():
         word = "0"
     marked = f"<{word}>"
-    crc = zlib.crc32
+    crc, last = zlib.crc32, BUCKETS - 1  # a power of two
     if marked.isascii():
         b = marked.encode()
-        grams = [b[i : i + n] for n in NGRAMS for i in range(len(b) - n + 1)]
-    else:
-        grams = [marked[i : i + n].encode("utf-8", "surrogatepass") for n in NGRAMS for i in range(len(marked) - n + 1)]
-    whole = crc(marked.encode("utf-8", "surrogatepass"), 1)
-    return [whole % BUCKETS, *(crc(g) % BUCKETS for g in grams)]
+        buckets = [crc(b, 1) & last]
+        for n in NGRAMS:
+            buckets += [crc(b[i : i + n]) & last for i in range(len(b) - n + 1)]
+        return buckets
+    grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
+    return [crc(marked.encode("utf-8", "surrogatepass"), 1) & last, *(crc(g.encode("utf-8", "surrogatepass")) & last for g in grams)]
 
 
 def pair_bucket(a: str, b: str) -> int:
@@ -296,25 +300,31 @@ class Scorer:
     """One worker's scorer, with what it has already looked up."""
 
     def __init__(self, scores: np.ndarray, pairs: dict[tuple[str, str], float], bias: float):
-        self.scores, self.pairs, self.bias = scores.tolist(), pairs, bias
-        self.words: dict[str, tuple[float, int]] = {}
+        self.scores, self.bias = scores.tolist(), bias
+        self.after: dict[str, dict[str, float]] = {}
+        for (first, second), value in pairs.items():
+            self.after.setdefault(first, {})[second] = value
+        self.words: dict[str, tuple[float, int, dict[str, float] | None]] = {}
         self.known: dict[str, float] = {}
 
-    def _word(self, word: str) -> tuple[float, int]:
+    def _word(self, word: str) -> tuple[float, int, dict[str, float] | None]:
+        """What a word adds, its number of features with that of its pair, and what words after it add."""
         marks = word_buckets(word)
-        value = self.words[word] = (sum(map(self.scores.__getitem__, marks)), len(marks))
+        value = self.words[word] = (sum(map(self.scores.__getitem__, marks)), len(marks) + 1, self.after.get(word))
         return value
 
-    def _logit(self, statement: str) -> float:
+    def _logit(self, statement: str, signs: bool) -> float:
         worst = -30.0
-        get, pair = self.words.get, self.pairs.get
-        for words in parts(tokens(statement)):
-            total, n, last = 0.0, SHRINK, ""
+        get = self.words.get
+        for words in parts(tokens(statement, signs)):
+            total, n, after = 0.0, SHRINK, None
             for w in words:
-                s, k = get(w) or self._word(w)
-                total += s + pair((last, w), 0.0)
-                n += k + 1
-                last = w
+                value = get(w) or self._word(w)
+                total += value[0]
+                n += value[1]
+                if after is not None:
+                    total += after.get(w, 0.0)
+                after = value[2]
             worst = max(worst, total / n + self.bias)
         return worst
 
@@ -324,10 +334,14 @@ class Scorer:
             if len(memory) > most:
                 memory.clear()
         worst, where = -30.0, None
-        for s in statements(text):
+        whole = plain(text) if text else ""
+        signs = _SIGN.search(whole) is not None
+        for s in _STATEMENT.split(whole):
             logit = self.known.get(s)
             if logit is None:
-                logit = self.known[s] = self._logit(s)
+                if not s or s.isspace():
+                    continue
+                logit = self.known[s] = self._logit(s, signs)
             if logit > worst:
                 worst, where = logit, s
         return (1 / (1 + math.exp(-worst)) if where is not None else 0.0), where
