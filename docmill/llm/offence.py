@@ -17,6 +17,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import unicodedata
@@ -365,11 +366,15 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for batch in batches:
-            found = [scorer.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([w if s > THRESHOLD else None for s, w in found], pa.string())], SCHEMA.names
-            )
+        gc.disable()  # nothing here forms cycles, and the collector would walk the scorer's memory again and again
+        try:
+            for batch in batches:
+                found = [scorer.score(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([w if s > THRESHOLD else None for s, w in found], pa.string())], SCHEMA.names
+                )
+        finally:
+            gc.enable()
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
