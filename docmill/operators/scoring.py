@@ -26,8 +26,26 @@ def _common_subsequence(short: str, long: str, masks: dict[str, int]) -> list[in
     return len(short) - v.bit_count()
 
 
+def _best_between(masks: list[int], m: int, first: int, last: int) -> int:
+    """The longest common subsequence with any window that starts from ``first`` to ``last``: the recurrence for all of them in one number, a lane of m bits and one for the carry each."""
+    lane, shared, full = m + 1, 0, 0
+    for k in range(last - first + m):
+        shared |= masks[first + k] << (k * lane)
+    for k in range(last - first + 1):
+        full |= ((1 << m) - 1) << (k * lane)
+    v = full
+    for j in range(m):
+        u = v & (shared >> (j * lane))
+        v = ((v + u) | (v - u)) & full
+    return max(m - ((v >> (k * lane)) & ((1 << m) - 1)).bit_count() for k in range(last - first + 1))
+
+
 def partial_ratio(a: str | None, b: str | None) -> int:
-    """Best window similarity of two texts, 0 to 100."""
+    """Best window similarity of two texts, 0 to 100, over every start.
+
+    A shift by one changes the common subsequence by at most one, so the starts between two
+    compared windows are left out only where they can't exceed the best.
+    """
     if not a or not b:
         return 0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -36,23 +54,17 @@ def partial_ratio(a: str | None, b: str | None) -> int:
     masks: dict[str, int] = {}
     for i, c in enumerate(short):
         masks[c] = masks.get(c, 0) | (1 << i)
-    m, best = len(short), 0.0
-    step = max(1, m // 8)  # coarse windows first, then every start near the best ones
-    starts = [*range(0, max(1, len(long) - m + 1), step), max(0, len(long) - m)]
-
-    def at(s: int) -> float:
-        window = long[s : s + m]
-        return 2 * _common_subsequence(short, window, masks) / (m + len(window))
-
-    rated = sorted(((at(s), s) for s in dict.fromkeys(starts)), reverse=True)
-    tried = {s for _, s in rated}
-    best = rated[0][0]
-    for _, s in rated[:3]:
-        for near in range(max(0, s - step + 1), min(max(0, len(long) - m), s + step - 1) + 1):
-            if near not in tried:
-                tried.add(near)
-                best = max(best, at(near))
-    return min(99, round(100 * best))
+    m, end = len(short), len(long) - len(short)
+    starts = sorted({*range(0, end + 1, max(1, m // 8)), end})
+    rated = [_common_subsequence(short, long[s : s + m], masks) for s in starts]
+    best = max(rated)
+    gaps = sorted((((x + y + t - s) // 2, s, t) for s, t, x, y in zip(starts, starts[1:], rated, rated[1:]) if t - s > 1), reverse=True)
+    at = [masks.get(c, 0) for c in long] if gaps and gaps[0][0] > best else []
+    for most, s, t in gaps:
+        if most <= best:
+            break
+        best = max(best, _best_between(at, m, s + 1, t - 1))
+    return min(99, round(100 * best / m))
 
 
 def citation_scores(citations, chunks, answer: str | None, alpha: float = 0.7, beta: float = 0.3) -> tuple[float, float, float]:

@@ -1,4 +1,5 @@
 import itertools
+import random
 from math import comb
 
 import pytest
@@ -176,6 +177,27 @@ def test_scores_have_their_invariants(spark):
         scoring.scored(df, alpha=2)
 
 
+def test_scores_are_the_best_over_all_windows():
+    def brute(a, b):
+        short, long = sorted((a, b), key=len)
+        row = lambda w: [0] * (len(w) + 1)
+        best = 0
+        for s in range(len(long) - len(short) + 1):
+            window, last = long[s : s + len(short)], row(short)
+            for x in window:
+                now = row(short)
+                for j, y in enumerate(short):
+                    now[j + 1] = last[j] + 1 if x == y else max(last[j + 1], now[j])
+                last = now
+            best = max(best, last[-1])
+        return 100 if short in long else min(99, round(100 * best / len(short)))
+
+    rng = random.Random(8)
+    for _ in range(150):
+        a, b = ("".join(rng.choice("abcdefgh ") for _ in range(rng.randint(*size))) for size in ((1, 40), (40, 160)))
+        assert scoring.partial_ratio(a, b) == scoring.partial_ratio(b, a) == brute(a, b)
+
+
 def test_rewriting_keeps_the_record(spark):
     questions = frame(spark, [(1, "old", "multi-choice", ["a"]), (2, "b", "open-ended", None)], "question_id long, question string, question_mode string, choices array<string>")
     answers = frame(spark, [(1, "m", "<rewritten_question>new</rewritten_question>"), (2, "m", "nothing")], "question_id long, rewriting_model string, response string")
