@@ -9,7 +9,7 @@ the words beside them rank them. Then page furniture is removed and the lines ar
 into paragraphs again.
 
 The vocabulary and its contexts come from the documents without broken lines, all of them; words
-and pairs below a share of the total are left out, so at most 2**17 are sent to the workers.
+and pairs below a share of the total are left out, so at most 3 * 2**16 are sent to the workers.
 
 Edge cases: null and empty texts, and texts without broken lines, give no row; a redelivered
 document gives its rows once; very long texts are treated whole; an empty table gives an empty
@@ -127,10 +127,16 @@ class Reader:
     """One worker's vocabulary, contexts, and what it has already looked up."""
 
     def __init__(self, counts: dict[str, int]):
-        self.words = {w: n for w, n in counts.items() if " " not in w}
+        self.words = {w: n for w, n in counts.items() if w.islower() and " " not in w}
+        self.capital = {w.lower(): n for w, n in counts.items() if w[0].isupper()}
         self.pairs = {w: n for w, n in counts.items() if " " in w}
         self.trie = Trie({w: n for w, n in self.words.items() if len(w) > 1})
+        self.letters = sorted({c for w in self.words for c in w})
+        self.like: dict[str, list[str]] = {}
+        for w in self.words:
+            self.like.setdefault(_folded(w), []).append(w)
         self.candidates = lru_cache(maxsize=200_000)(self._candidates)
+        self.slips = lru_cache(maxsize=200_000)(self._slips)
 
     def _candidates(self, word: str) -> tuple[tuple[str, int], ...]:
         longest = 2 if len(word) > 5 else 1
@@ -139,16 +145,28 @@ class Reader:
                 return tuple(found.items())
         return ()
 
+    def _slips(self, word: str, capital: bool) -> tuple[tuple[str, int], ...]:
+        """Candidates that differ by letters taken for others: one letter (not the first of a short word) or one shape, else any of like shape."""
+        near = {word[:i] + c + word[i + 1 :] for i in range(len(word) < 6, len(word)) for c in self.letters} if len(word) > 3 else set()
+        for x, y in (*SHAPES, *((y, x) for x, y in SHAPES)):
+            near |= {word[:i] + y + word[i + len(x) :] for i in range(len(word)) if word.startswith(x, i)}
+        for most, found in enumerate((near, self.like.get(_folded(word), ())), 1):
+            if fit := [(w, most) for w in sorted(found) if w in self.words and w != word and (w in self.capital or not capital)]:
+                return tuple(fit)
+        return ()
+
     def known(self, word: str) -> bool:
         return word.lower() in self.words
 
-    def read(self, word: str, before: str, after: str) -> str | None:
-        """The word that was meant, or none if it is known or nothing comes near."""
+    def read(self, word: str, before: str, after: str, slip: bool = False, recurs: bool = False) -> str | None:
+        """The word that was meant, or none if it is known or nothing comes near; by ``slip`` only one with letters taken for others, which look alike if it ``recurs``."""
         low = word.lower()
         plain = low.translate(FOR_LETTER)
         if plain != low and plain in self.words:
             return plain
-        found = self.candidates(plain)
+        found = self.slips(plain, word[0].isupper()) if slip else self.candidates(plain)
+        if slip and recurs:
+            found = [x for x in found if _folded(x[0]) == _folded(plain)]
         if not found:
             return None
         score = lambda w: (1 + 50 * self.pairs.get(f"{before} {w}", 0) + 50 * self.pairs.get(f"{w} {after}", 0) + self.words[w])
@@ -280,8 +298,9 @@ def clean(text: str | None, reader: Reader) -> tuple[list[str], str | None]:
     if hyphenated:
         found.add("hyphenation")
     repaired, misread = [], 0
+    capitals = Counter(m[0] for x in paragraphs for m in _WORD.finditer(x) if m[0][0].isupper())
     for paragraph in paragraphs:
-        fixed, n = _corrected(paragraph, reader)
+        fixed, n = _corrected(paragraph, reader, capitals)
         repaired.append(fixed)
         misread += n
     if misread >= SEVERAL:
@@ -329,8 +348,8 @@ def _reflow(lines: list[str], kinds: dict[int, str], reader: Reader) -> tuple[li
     return paragraphs, hyphenated
 
 
-def _corrected(paragraph: str, reader: Reader) -> tuple[str, int]:
-    """A paragraph with its misread words repaired, and their number."""
+def _corrected(paragraph: str, reader: Reader, capitals: dict[str, int]) -> tuple[str, int]:
+    """A paragraph with its misread words repaired, and their number; ``capitals`` counts the capitalised words of the document."""
     if re.match(r"\s*(?:```|\|)", paragraph):
         return paragraph, 0
     words = list(_WORD.finditer(paragraph))
@@ -340,11 +359,12 @@ def _corrected(paragraph: str, reader: Reader) -> tuple[str, int]:
         if len(word) < 3 or not word[-1].isalnum() or sum(c.isalpha() for c in word) * 4 < len(word) * 3 or (word[1:] != word[1:].lower()):
             continue
         odd = bool(_ODD.search(word)) and sum(not c.isalpha() for c in word) <= 2
-        if not odd and (not word.isalpha() or word[0].isupper() or reader.known(word) or i + 1 == len(words)):
+        if not odd and (not word.isalpha() or reader.known(word)):
             continue
+        slip = not odd and (word[0].isupper() or (i + 1 == len(words) and not paragraph[m.end() :].strip().startswith(_TERMINAL)))
         before = words[i - 1][0].lower() if i else ""
         after = words[i + 1][0].lower() if i + 1 < len(words) else ""
-        meant = reader.read(word, before, after)
+        meant = reader.read(word, before, after, slip, capitals.get(word, 0) > 1)
         if meant is None:
             if not odd:
                 continue
@@ -360,12 +380,12 @@ def _corrected(paragraph: str, reader: Reader) -> tuple[str, int]:
 
 
 def vocabulary(documents: DataFrame) -> dict[str, int]:
-    """Document counts of the words, and of the pairs of lower-case words, of the texts without broken lines."""
+    """Document counts of the words, of the capitalised ones as such, and of the pairs of lower-case words, of the texts without broken lines."""
     intact = documents.where(F.col("text").isNotNull() & (F.expr(r"regexp_count(text, '[\\p{L},]\\r?\\n\\p{Ll}')") < BROKEN_LINES))
     tokens = intact.select(F.split("text", r"[^\p{L}]+").alias("w"))
     pairs = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat(a, ' ', b))")
     words = F.transform("w", lambda x: F.lower(x))
-    keys = tokens.select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("key")).where(F.col("key").rlike(r"^\p{Ll}+(?: \p{Ll}+)?$"))
+    keys = tokens.select(F.explode(F.array_distinct(F.concat(words, pairs, "w"))).alias("key")).where(F.col("key").rlike(r"^(?:\p{Ll}+(?: \p{Ll}+)?|\p{Lu}\p{Ll}+)$"))
     counts = keys.groupBy("key").count()
     total = intact.agg(F.sum(F.size(F.split("text", r"[^\p{L}]+"))).alias("n")).first()["n"] or 0
     return {r["key"]: r["count"] for r in counts.where(F.col("count") >= max(3, total >> 16)).toLocalIterator()}

@@ -170,6 +170,17 @@ def test_page_noise_is_found_and_repaired(spark):
     assert pagenoise.repaired(documents.where("false")).count() == 0
 
 
+def test_misread_capitalised_and_final_words_are_repaired_and_names_kept():
+    words = dict.fromkeys("according after the keeper came to gate in september with müller and brücke closed out st".split(), 50)
+    reader = pagenoise.Reader(words | dict.fromkeys("According After The September Müller Brücke St".split(), 40))
+    assert pagenoise._corrected("Accorcling to the Müllcr in Septernber.", reader, {}) == ("According to the Müller in September.", 3)
+    assert pagenoise._corrected("Aftcr the keeper came to the gatc.", reader, {}) == ("After the keeper came to the gate.", 2)
+    assert pagenoise._corrected("closed the Brückc", reader, {}) == ("closed the Brücke", 1)
+    for kept in ("The keeper Ost came with Mollar and Aster", "closed the gat"):
+        assert pagenoise._corrected(kept, reader, {"Aster": 2}) == (kept, 0)
+    assert pagenoise._corrected("Septernber came", reader, {"Septernber": 2}) == ("September came", 1)
+
+
 def offence_corpus(n, seed):
     rng = random.Random(seed)
     benign = ["The clerk counted {} crates before noon.", "A letter about the {} bridge was found.", "To kill the stuck process, send signal {} twice.", "The idiot box, as the {} term goes, is a television.", "We met at {} and drank tea."]
