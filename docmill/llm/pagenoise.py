@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -186,6 +186,33 @@ def _similar(a: str, b: str) -> bool:
     return a == b or (abs(len(a) - len(b)) <= 2 and len(a) > 8 and sum(x != y for x, y in zip(a, b)) <= max(1, len(a) // 10))
 
 
+def _alike(lines: Iterable[str]) -> dict[str, set[str]]:
+    """The similar ones of distinct folded lines by line, itself among them.
+
+    A line differs in at most k places, so of k + 1 segments one is the same at the same place;
+    only lines that share a segment are compared.
+    """
+    by_length: dict[int, list[str]] = {}
+    for x in lines:
+        by_length.setdefault(len(x), []).append(x)
+    near: dict[str, set[str]] = {}
+    for length, own in by_length.items():
+        if length <= 8:
+            near |= {f: {f} for f in own}
+            continue
+        pieces = max(1, length // 10) + 1
+        cuts = [i * (length - 2) // pieces for i in range(pieces + 1)]
+        keys = lambda x, cuts=cuts: [(a, x[a:b]) for a, b in zip(cuts, cuts[1:])]
+        index: dict[tuple[int, str], list[str]] = {}
+        for n in range(length - 2, length + 3):
+            for g in by_length.get(n, ()):
+                for key in keys(g):
+                    index.setdefault(key, []).append(g)
+        for f in own:
+            near[f] = {g for g in {g for key in keys(f) for g in index[key]} if _similar(f, g)}
+    return near
+
+
 def furniture(lines: list[str], breaks: set[int]) -> dict[int, str]:
     """Kind of page furniture by line number; ``breaks`` are the lines that follow a form feed."""
     texts = [k for k, x in enumerate(lines) if x.strip()]
@@ -240,9 +267,8 @@ def furniture(lines: list[str], breaks: set[int]) -> dict[int, str]:
         around = {beside(k, -1, False), beside(k, 1, False)}
         return k in breaks or any(a is not None and kinds.get(a) == "page_number" for a in around)
 
-    alike: dict[str, int] = {}
-    for f in counts:
-        alike[f] = sum(n for g, n in counts.items() if _similar(f, g)) if len(counts) < 400 else counts[f]
+    near = _alike(counts)
+    alike = {f: sum(counts[g] for g in near[f]) for f in counts}
     for k, f in folded.items():
         x = lines[k].strip()
         if x.endswith((".", ",", ";", "!", "?")) or place[k] == 0 or len(x) <= 5:
@@ -255,7 +281,7 @@ def furniture(lines: list[str], breaks: set[int]) -> dict[int, str]:
         x = lines[k].strip()
         if k in kinds or not titled(k) or x.endswith((".", ",", ";", "!", "?")) or place[k] == 0:
             continue
-        if any(_similar(f, h) for h in headers) and alike[f] > 1:
+        if near[f] & headers and alike[f] > 1:
             kinds[k] = "header"
         elif not fills(k) and (interrupts(k) or (at_page(k) and len(x.split()) > 1)) and len(x.split()) > 1:
             kinds[k] = "header"

@@ -181,6 +181,23 @@ def test_misread_capitalised_and_final_words_are_repaired_and_names_kept():
     assert pagenoise._corrected("Septernber came", reader, {"Septernber": 2}) == ("September came", 1)
 
 
+def test_running_lines_count_as_repeated_in_texts_of_any_length():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abdegkmopt") for _ in range(6))
+    for pages in (20, 150):
+        lines, breaks, headers = [], set(), set()
+        for p in range(pages):
+            lines += [f"{word()} {word()} {word()} {word()}." for _ in range(4)]
+            at = p % 20
+            headers.add(len(lines))
+            breaks.add(len(lines))
+            head = "alder and oak gazette of the year"
+            lines.append(head[:at] + "wxyzvjqs"[p // 20] + head[at + 1 :])
+        assert {k for k, v in pagenoise.furniture(lines, breaks).items() if v == "header"} == headers
+    lines = {"".join(rng.choice("ab") for _ in range(rng.randint(5, 24))) for _ in range(900)}
+    assert pagenoise._alike(lines) == {f: {g for g in lines if pagenoise._similar(f, g)} for f in lines}
+
+
 def offence_corpus(n, seed):
     rng = random.Random(seed)
     benign = ["The clerk counted {} crates before noon.", "A letter about the {} bridge was found.", "To kill the stuck process, send signal {} twice.", "The idiot box, as the {} term goes, is a television.", "We met at {} and drank tea."]
