@@ -232,6 +232,13 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
                     ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND len(list_filter(used, lambda t: contains(x, t) OR contains(t, x))) > 0)) / len(cited)::DOUBLE END AS b FROM y)
             SELECT kind, document_id, coalesce(question, '') AS question, said AS ground_truth_answer, round(a, 6) AS answer_citation_score, round(b, 6) AS chunk_citation_score, round(0.7 * b + 0.3 * a, 6) AS citation_score FROM z""",
+        "citation_containment_across": f"""
+            WITH {_PREPARED}, y AS (SELECT *, coalesce(self_answer, '') AS said, list_filter(coalesce(citations, []), lambda x: x IS NOT NULL) AS cited, list_filter(texts, lambda t: t <> '') AS used FROM p WHERE kind = 'cross_document'),
+            z AS (SELECT *, CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
+                    ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND said <> '' AND (contains(x, said) OR contains(said, x)))) / len(cited)::DOUBLE END AS a,
+                CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
+                    ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND len(list_filter(used, lambda t: contains(x, t) OR contains(t, x))) > 0)) / len(cited)::DOUBLE END AS b FROM y)
+            SELECT kind, document_id, coalesce(question, '') AS question, said AS ground_truth_answer, round(a, 6) AS answer_citation_score, round(b, 6) AS chunk_citation_score, round(0.7 * b + 0.3 * a, 6) AS citation_score FROM z""",
         "rewrite_apply": f"""
             SELECT question_id, {_strip("'In short: ' || question")} AS question, question AS original_question, question_mode, 'shorter' AS question_rewriting_rationale FROM {_once(single, "question, question_mode")} WHERE question IS NOT NULL AND question_id % 3 <> 0""",
         "summary_parts": f"WITH {_SUMMARY} SELECT document_id, part::BIGINT AS part, md5(text) AS text_hash FROM pt",

@@ -342,14 +342,23 @@ def evaluation_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def citation_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation scores where only containment counts."""
-    rows = _prepared(spark, sf_dir).where("kind <> 'cross_document'")
+def _contained(rows: DataFrame) -> DataFrame:
     found = scoring.containment(F.col("citations"), F.col("chunks"), F.col("ground_truth_answer"))
     return rows.select("kind", "document_id", "question", "ground_truth_answer", *[F.round(v, 6).alias(k) for k, v in found.items()])
 
 
+@query
+def citation_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation scores where only containment counts, of the questions on one document; its SQL has these kinds only."""
+    return _contained(_prepared(spark, sf_dir).where("kind <> 'cross_document'"))
+
+
+@query
+def citation_containment_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the questions across documents, which ``citation_containment`` leaves out."""
+    return _contained(_prepared(spark, sf_dir).where("kind = 'cross_document'"))
+
+
 @query
 def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation scores by best window similarity, over the written table as in the pipeline."""

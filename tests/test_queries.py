@@ -28,3 +28,9 @@ def test_spark_and_duckdb_agree(spark, name):
     expected = sorted(repr(plain(r)) for r in result.fetchall())
     made = REGISTERED[name](spark, SF_DIR).select(*columns)
     assert sorted(repr(plain(tuple(r))) for r in made.collect()) == expected
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+def test_containment_is_scored_for_every_kind(spark):
+    scored = sum(REGISTERED[name](spark, SF_DIR).count() for name in ("citation_containment", "citation_containment_across"))
+    assert scored == REGISTERED["evaluation_table"](spark, SF_DIR).count()
