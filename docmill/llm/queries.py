@@ -111,6 +111,11 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(_leaks(spark, sf_dir))
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that contain no evaluation item."""
+    return leakage.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+
+
 def _offence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offence.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
@@ -134,7 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
     registered = (
         p1_found, p1_rates, p2_found, p3_found, p3_pieces, p4_found, p4_repaired, p5_found,
-        p5_groups, p6_ids, p7_found, p7_items, p8_found, p8_scores, p8_rates,
+        p5_groups, p6_ids, p7_found, p7_items, p7_clean, p8_found, p8_scores, p8_rates,
     )
     return {f.__name__: f for f in registered}
 

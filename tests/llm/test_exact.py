@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docmill.llm import encoding, leakage, neardup, splitting
+from docmill.llm import encoding, leakage, neardup, queries, splitting
 from docmill.llm.words import words
 
 TOKENIZER = encoding.vocabulary_path("byte_bpe_50k")
@@ -183,6 +183,13 @@ def test_leaks_match_brute_force(spark, monkeypatch, block_chars):
     assert leakage.leaks(doc_frame.where("false"), item_frame, 5).count() == 0 and leakage.leaks(doc_frame, item_frame.where("false"), 5).count() == 0
 
 
+def test_the_documents_without_leaks_are_a_query(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, "before " + item), (2, item[:60]), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, item, "q")], "item_id long, passage string, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert {r.doc_id for r in queries.queries()["p7_clean"](spark, str(tmp_path)).collect()} == {2, 3}
+
+
 def test_a_match_is_grown_to_its_full_length(spark):
     item = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "before " + item + " after"), (2, item[:60])], "doc_id long, text string")
