@@ -4,37 +4,55 @@ A page leaves running headers and page numbers between the lines, words hyphenat
 and misrecognised characters. Headers and page numbers are found by their place (they interrupt
 the text), their form and their repetition. A word that the vocabulary lacks is looked up by
 intersecting a Levenshtein automaton (with the shape confusions of type as single steps) with the
-vocabulary's trie, which gives every candidate within the distance; counts of the candidates with
-the words beside them rank them. Then page furniture is removed and the lines are put together
-into paragraphs again.
+vocabulary's trie, which gives every candidate within the distance; a candidate is ranked by its
+distance, its frequency and its counts with the words beside it. Then page furniture is removed
+and the lines are put together into paragraphs again.
 
-The vocabulary and its contexts come from the documents without broken lines, all of them; words
-and pairs below a share of the total are left out, so at most 3 * 2**16 are sent to the workers.
+The vocabulary and its contexts come from all documents without broken lines. Both stay tables of
+any size: a word seen in one such document is known, one seen in ``CANDIDATE_DOCUMENTS`` can be
+meant, at every size of the corpus. Pages are read first, which gives the doubtful words with the
+words beside them; each different one is resolved once, against shards of the vocabulary of at
+most ``SHARD_WORDS`` words, and the answers go back to their pages. Workers hold one shard and one
+block of questions at a time, and the ``FREQUENT`` commonest words, which need no asking.
 
 Edge cases: null and empty texts, and texts without broken lines, give no row; a redelivered
 document gives its rows once; very long texts are treated whole; an empty table gives an empty
-result; extra columns are ignored. Line breaks alone, headings, lists, tables and codes are kept.
+result; extra columns are ignored; line ends of any kind count. Line breaks alone, headings,
+lists, tables and codes are kept. A word of a page that stands in no intact document and has no
+candidate within the distance stays as it is.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.session import cut_lineage
+
 KINDS = ("hyphenation", "misread", "header", "page_number")
 
 #: Misread words that make a document's recognition doubtful.
 SEVERAL = 2
 
-#: Lines broken inside a sentence from which on a text counts as laid out in lines.
-BROKEN_LINES = 3
+#: Intact documents that must have a word before it can be meant by another, or a pair of words before it tells anything.
+CANDIDATE_DOCUMENTS = 3
+
+#: Commonest words that every worker holds (about 5 MB); all others are looked up in the vocabulary's table.
+FREQUENT = 1 << 16
+
+#: Words of one shard of the vocabulary, and questions of one block, that meet in a task.
+SHARD_WORDS, BLOCK_WORDS = 1 << 16, 1 << 12
+
+#: Likelihood of a wrong step, and weight of a pair of words against a lone one.
+STEP_LIKELIHOOD, PAIR_WEIGHT = 0.01, 50
 
 #: Characters that recognition puts for a letter (fixed values).
 FOR_LETTER = str.maketrans({"@": "a", "!": "i", "+": "t", "0": "o", "1": "l", "5": "s", "9": "g", "|": "l", "$": "s", "6": "b", "3": "e", "€": "e"})
@@ -43,7 +61,7 @@ FOR_LETTER = str.maketrans({"@": "a", "!": "i", "+": "t", "0": "o", "1": "l", "5
 SHAPES = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("li", "h"), ("nn", "m"), ("in", "m")]
 
 _HYPHEN = "-‐‑\u00ad¬"
-_WORD = re.compile(r"[^\W_]+(?:[@!+|$€][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:[@!+|$€][^\W_]+)*(?:[@+|$€](?![^\W_]))?")
 _ODD = re.compile(r"[a-zà-ÿа-я][@!+|$€0-9](?=[a-zà-ÿа-я])|^[@+][a-zà-ÿ]{3}|[a-zà-ÿ]{3}[0159](?=$)|^[0159][a-zà-ÿ]{3}|^[A-ZÀ-Þ][01@!+](?=[a-zà-ÿ]{2})")
 _TERMINAL = tuple(".!?。！？:;")
 _NUMBER = re.compile(r"(?P<bare>\d{1,4}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})$")
@@ -56,121 +74,132 @@ _FORM = re.compile(
 _OWN = re.compile(r"\s*(?:#|[-*•·–]\s|\d+[.)]\s|\||```|>|    |\t)")
 
 
-def lines_broken(text: str) -> int:
-    """Line ends inside a sentence."""
-    return len(re.findall(r"[^\W_][,;\-‐\u00ad¬]?[ ]?\r?\n+(?:[^\n]{0,70}\n+){0,3}?[a-zà-ÿа-я]", text))
+#: A line end inside a sentence, with up to three lines of furniture in it, in the syntax that Java shares.
+_BROKEN = r"[\p{L}\p{N}][,;\-‐\u00ad¬]?[ ]?\n+(?:[^\n]*\n+){0,3}?[a-zà-ÿа-я]"
+_broken_line = re.compile(_BROKEN.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+
+#: Line ends that aren't line feeds.
+_LINE_END = "\r\n?|[\x85\u2028\u2029\v]"
+
+
+def laid_out(text: str) -> bool:
+    """Whether a text is laid out in lines: one ends inside a sentence. Line ends are line feeds."""
+    return _broken_line.search(text) is not None
+
+
+#: Largest number of edits of a search, and a cost beyond every search.
+MOST_EDITS, FAR = 2, 9
+
+#: Questions searched together.
+TOGETHER = 256
+
+
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Code points of words, a row each, zeros behind."""
+    return np.array(words, f"U{max(width, 1)}").view(np.uint32).reshape(len(words), max(width, 1)).astype(np.int64)
 
 
 class Trie:
-    """A vocabulary with its weights, searched by automaton."""
-
-    def __init__(self, weights: dict[str, int]):
-        self.weights = weights
-        self.root: dict = {}
-        for word in weights:
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
-
-    def within(self, word: str, most: int) -> dict[str, int]:
-        """Every word of the trie within ``most`` edits of ``word``, with its distance.
-
-        Runs the Levenshtein automaton of ``word`` along the trie: a state is the set of reached
-        positions with their fewest edits; a branch ends when no position is left within ``most``.
+    """The trie of a vocabulary's words of one length, level by level: the children of a node lie together."""
+
+    def __init__(self, words: list[str]):
+        self.words = sorted(set(words))
+        self.depth = len(self.words[0]) if self.words else 0
+        if any(len(w) != self.depth for w in self.words):
+            raise ValueError("a trie has words of one length")
+        codes = _codes(self.words, self.depth)
+        new = np.ones(codes.shape, bool)
+        new[1:] = np.logical_or.accumulate(codes[1:] != codes[:-1], axis=1)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        above, parents = np.zeros(len(codes), np.int64), 1
+        before = np.zeros(len(codes), np.int64)
+        for d in range(self.depth):
+            at = np.flatnonzero(new[:, d])
+            letters, parent = codes[at, d], above[at]
+            first = np.searchsorted(parent, np.arange(parents + 1))
+            single = np.full(len(at), -1, np.int64)
+            begun = np.full((2, len(at)), -1, np.int64)
+            for shape, letter in SHAPES:
+                single[(before[at] == ord(shape[0])) & (letters == ord(shape[1]))] = ord(letter)
+                begins = letters == ord(shape[0])
+                begun[1, begins & (begun[0] >= 0)] = ord(letter)
+                begun[0, begins & (begun[0] < 0)] = ord(letter)
+            self.levels.append((letters, first, single, begun))
+            above, parents, before = np.cumsum(new[:, d]) - 1, len(at), codes[:, d]
+
+    def within(self, questions: list[str], most: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, word, distance) of every word within ``most`` edits of each question.
+
+        Runs the Levenshtein automata of the questions along the trie, all of them at once: a state
+        holds, for a node, the fewest edits to each position of the question near the node's depth.
+        A state ends when none of its positions can reach both ends within the edits. A shape taken
+        for a letter, or the other way round, is one step.
         """
-        found: dict[str, int] = {}
-        end = len(word)
-        merges = {(i, b): i + len(a) for a, b in SHAPES for i in range(end) if word.startswith(a, i)}
-        splits = {(i, b[0]): (i + 1, b[1]) for b, a in SHAPES for i in range(end) if word[i] == a}
-
-        def close(state: dict[int, int]) -> dict[int, int]:
-            for i in range(end):  # letters of the word left out
-                if i in state and state[i] < most and state.get(i + 1, 9) > state[i] + 1:
-                    state[i + 1] = state[i] + 1
-            return state
-
-        stack: list[tuple[dict, dict[int, int], tuple]] = [(self.root, close({0: 0}), ())]
-        while stack:
-            node, state, waiting = stack.pop()
-            if (whole := node.get("")) is not None and end in state:
-                found[whole] = min(found.get(whole, 9), state[end])
-            for c, below in node.items():
-                if not c:
-                    continue
-                after: dict[int, int] = {}
-                pending = []
-
-                def reach(i: int, cost: int, after: dict[int, int] = after) -> None:
-                    if cost <= most and after.get(i, 9) > cost:
-                        after[i] = cost
-
-                for i, cost in state.items():
-                    if i < end and word[i] == c:
-                        reach(i + 1, cost)
-                    else:
-                        reach(i + 1, cost + 1) if i < end else None
-                    reach(i, cost + 1)
-                    if (j := merges.get((i, c))) is not None:
-                        reach(j, cost + 1)
-                    if (split := splits.get((i, c))) is not None and cost < most:
-                        pending.append((split, cost + 1))
-                for (i, letter), cost in waiting:
-                    if letter == c:
-                        reach(i, cost)
-                if after or pending:
-                    stack.append((below, close(after), tuple(pending)))
-        return found
-
-
-class Reader:
-    """One worker's vocabulary, contexts, and what it has already looked up."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.words = {w: n for w, n in counts.items() if w.islower() and " " not in w}
-        self.capital = {w.lower(): n for w, n in counts.items() if w[0].isupper()}
-        self.pairs = {w: n for w, n in counts.items() if " " in w}
-        self.trie = Trie({w: n for w, n in self.words.items() if len(w) > 1})
-        self.letters = sorted({c for w in self.words for c in w})
-        self.like: dict[str, list[str]] = {}
-        for w in self.words:
-            self.like.setdefault(_folded(w), []).append(w)
-        self.candidates = lru_cache(maxsize=200_000)(self._candidates)
-        self.slips = lru_cache(maxsize=200_000)(self._slips)
-
-    def _candidates(self, word: str) -> tuple[tuple[str, int], ...]:
-        longest = 2 if len(word) > 5 else 1
-        for most in range(1, longest + 1):
-            if found := self.trie.within(word, most):
-                return tuple(found.items())
-        return ()
-
-    def _slips(self, word: str, capital: bool) -> tuple[tuple[str, int], ...]:
-        """Candidates that differ by letters taken for others: one letter (not the first of a short word) or one shape, else any of like shape."""
-        near = {word[:i] + c + word[i + 1 :] for i in range(len(word) < 6, len(word)) for c in self.letters} if len(word) > 3 else set()
-        for x, y in (*SHAPES, *((y, x) for x, y in SHAPES)):
-            near |= {word[:i] + y + word[i + len(x) :] for i in range(len(word)) if word.startswith(x, i)}
-        for most, found in enumerate((near, self.like.get(_folded(word), ())), 1):
-            if fit := [(w, most) for w in sorted(found) if w in self.words and w != word and (w in self.capital or not capital)]:
-                return tuple(fit)
-        return ()
-
-    def known(self, word: str) -> bool:
-        return word.lower() in self.words
-
-    def read(self, word: str, before: str, after: str, slip: bool = False, recurs: bool = False) -> str | None:
-        """The word that was meant, or none if it is known or nothing comes near; by ``slip`` only one with letters taken for others, which look alike if it ``recurs``."""
-        low = word.lower()
-        plain = low.translate(FOR_LETTER)
-        if plain != low and plain in self.words:
-            return plain
-        found = self.slips(plain, word[0].isupper()) if slip else self.candidates(plain)
-        if slip and recurs:
-            found = [x for x in found if _folded(x[0]) == _folded(plain)]
+        found = [self._within(questions[i : i + TOGETHER], np.array(most[i : i + TOGETHER])) for i in range(0, len(questions) if self.words else 0, TOGETHER)]
+        base = [i * TOGETHER for i in range(len(found))]
         if not found:
-            return None
-        score = lambda w: (1 + 50 * self.pairs.get(f"{before} {w}", 0) + 50 * self.pairs.get(f"{w} {after}", 0) + self.words[w])
-        return min(found, key=lambda x: (x[1], -score(x[0])))[0]
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate([f[k] + (b if k == 0 else 0) for f, b in zip(found, base)]) for k in range(3))
+
+    def _within(self, questions: list[str], most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = MOST_EDITS
+        size = np.array([len(q) for q in questions])
+        width = max(int(size.max()), self.depth) + k + 1
+        letters = np.zeros((len(questions), k + width), np.int64)  # position i of a question stands at k + i
+        letters[:, k:] = _codes(questions, width)
+        merged = np.full(letters.shape, -1, np.int64)  # the letter for which the shape that ends at a position is taken
+        for shape, letter in SHAPES:
+            merged[:, 1:][(letters[:, :-1] == ord(shape[0])) & (letters[:, 1:] == ord(shape[1]))] = ord(letter)
+        offsets = np.arange(-k, k + 1)
+        goal = size - self.depth
+        start = np.abs(goal) <= np.minimum(most, k)
+        question = np.flatnonzero(start)
+        node = np.zeros(len(question), np.int64)
+        costs = np.tile(np.where(offsets < 0, FAR, offsets), (len(question), 1)).astype(np.int8)
+        former = np.full(costs.shape, FAR, np.int8)
+        for d, (letter, first, single, begun) in enumerate(self.levels):
+            many = first[node + 1] - first[node]
+            parent = np.repeat(np.arange(len(node)), many)
+            node = first[node][parent] + np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many)
+            question, old, older = question[parent], costs[parent], former[parent]
+            near = letters[:, d : d + 2 * k + 1][question]
+            own, shape = letter[node][:, None], single[node][:, None]
+            new = old + (near != own)
+            new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
+            new[:, :-1] = np.minimum(new[:, :-1], np.where(near[:, :-1] == shape, older[:, 1:] + 1, FAR))
+            new[:, 1:] = np.minimum(new[:, 1:], np.where(merged[:, d : d + 2 * k + 1][question][:, 1:] == own, old[:, :-1] + 1, FAR))
+            for o in range(1, 2 * k + 1):
+                new[:, o] = np.minimum(new[:, o], new[:, o - 1] + 1)
+            new = np.minimum(new, FAR).astype(np.int8)
+            left = np.abs(offsets - goal[question][:, None])
+            limit = most[question][:, None]
+            alive = (new + left <= limit).any(axis=1)
+            pending = (near == begun[0, node][:, None]) | (near == begun[1, node][:, None])
+            alive |= (pending & (old + 1 <= limit)).any(axis=1)
+            question, node, costs, former = question[alive], node[alive], new[alive], old[alive]
+        cost = costs[np.arange(len(question)), goal[question] + k]
+        fit = cost <= most[question]
+        return question[fit], node[fit], cost[fit].astype(np.int64)
+
+
+#: Marks of a question: only letters taken for others count; the word is capitalised; it recurs in its document; signs stand in it; it is only to be known; a sign ends it.
+SLIP, CAPITAL, RECURS, ODD, KNOWN, ENDED = 1, 2, 4, 8, 16, 32
+
+#: A doubtful word: as it stands in lower case, with its marks and the words beside it.
+Ask = tuple[str, int, str, str]
+
+
+def taken_for(word: str, candidate: str) -> bool:
+    """Whether two words differ by letters taken for others: one letter (not the first of a short word) or one shape."""
+    if len(word) == len(candidate) and len(word) > 3:
+        at = [i for i, (a, b) in enumerate(zip(word, candidate)) if a != b]
+        if len(at) == 1 and at[0] >= (len(word) < 6):
+            return True
+    for x, y in (*SHAPES, *((y, x) for x, y in SHAPES)):
+        if len(word) - len(x) + len(y) == len(candidate):
+            if any(word.startswith(x, i) and word[:i] + y + word[i + len(x) :] == candidate for i in range(len(word))):
+                return True
+    return False
 
 
 def _folded(line: str) -> str:
@@ -250,7 +279,7 @@ def furniture(lines: list[str], breaks: set[int]) -> dict[int, str]:
     for k in lone:
         if 0 < place[k] and (k in rising or interrupts(k) or k in breaks):
             kinds[k] = "page_number"
-    folded = {k: _folded(lines[k]) for k in texts if k not in kinds and 3 < len(lines[k].strip()) <= 70 and not _OWN.match(lines[k])}
+    folded = {k: _folded(lines[k]) for k in texts if k not in kinds and 3 < len(lines[k].strip()) and not _OWN.match(lines[k])}
     counts = Counter(folded.values())
 
     def titled(k: int) -> bool:
@@ -303,15 +332,14 @@ def _follows(a: str, b: str) -> bool:
     return a.strip().isdigit() == b.strip().isdigit() and 1 <= _value(b) - _value(a) <= 2
 
 
-def clean(text: str | None, reader: Reader) -> tuple[list[str], str | None]:
-    """The kinds of noise of a text, and the text repaired; none where it is no scanned page."""
-    if not text or lines_broken(text) < BROKEN_LINES:
-        return [], None
-    raw = text.replace("\r\n", "\n").replace("\r", "\n")
-    pieces = raw.split("\f")
+def page_lines(text: str | None) -> tuple[list[str | None], set[str]] | None:
+    """The lines of a scanned page, furniture as none, and the kinds of furniture; none where the text is no page."""
+    raw = re.sub(_LINE_END, "\n", text) if text else ""
+    if not laid_out(raw):
+        return None
     lines: list[str] = []
     breaks: set[int] = set()
-    for i, piece in enumerate(pieces):
+    for i, piece in enumerate(raw.split("\f")):
         own = piece.split("\n")
         if i:
             first = next((k for k, x in enumerate(own) if x.strip()), None)
@@ -319,32 +347,21 @@ def clean(text: str | None, reader: Reader) -> tuple[list[str], str | None]:
                 breaks.add(len(lines) + first)
         lines += own
     kinds = furniture(lines, breaks)
-    found = set(kinds.values())
-    paragraphs, hyphenated = _reflow(lines, kinds, reader)
-    if hyphenated:
-        found.add("hyphenation")
-    repaired, misread = [], 0
-    capitals = Counter(m[0] for x in paragraphs for m in _WORD.finditer(x) if m[0][0].isupper())
-    for paragraph in paragraphs:
-        fixed, n = _corrected(paragraph, reader, capitals)
-        repaired.append(fixed)
-        misread += n
-    if misread >= SEVERAL:
-        found.add("misread")
-    if not found:
-        return [], None
-    return [k for k in KINDS if k in found], "\n\n".join(repaired)
+    return [None if k in kinds else x for k, x in enumerate(lines)], set(kinds.values())
 
 
-def _reflow(lines: list[str], kinds: dict[int, str], reader: Reader) -> tuple[list[str], int]:
-    """The lines without furniture as paragraphs, and the number of words put together."""
+def _reflow(lines: list[str | None], joins: Callable[[str, str], bool]) -> tuple[list[str], int]:
+    """The lines as paragraphs, furniture (none) left out, and the number of words put together.
+
+    ``joins`` tells whether the halves of a word divided by a plain hyphen belong together.
+    """
     paragraphs: list[str] = []
     hyphenated, blank, gap, fenced = 0, True, False, False
-    for k, line in enumerate(lines):
-        x = line.strip()
-        if k in kinds:
+    for line in lines:
+        if line is None:
             gap = True
             continue
+        x = line.strip()
         if not x:
             blank = True
             continue
@@ -356,8 +373,7 @@ def _reflow(lines: list[str], kinds: dict[int, str], reader: Reader) -> tuple[li
         if last and last[-1] in _HYPHEN and (x[:1].isalpha()) and last[-2:-1].isalpha():
             head = re.search(r"[^\W\d_]+$", last[:-1])[0]
             rest = re.match(r"[^\W\d_]+", x)[0]
-            split = x[:1].islower() and (reader.known(head + rest) or not (reader.known(head) and reader.known(rest)))
-            if split or last[-1] != "-":
+            if last[-1] != "-" or (x[:1].islower() and joins(head, rest)):
                 paragraphs[-1] = last[:-1] + x
                 hyphenated += 1
                 blank = gap = False
@@ -374,47 +390,197 @@ def _reflow(lines: list[str], kinds: dict[int, str], reader: Reader) -> tuple[li
     return paragraphs, hyphenated
 
 
-def _corrected(paragraph: str, reader: Reader, capitals: dict[str, int]) -> tuple[str, int]:
-    """A paragraph with its misread words repaired, and their number; ``capitals`` counts the capitalised words of the document."""
-    if re.match(r"\s*(?:```|\|)", paragraph):
-        return paragraph, 0
-    words = list(_WORD.finditer(paragraph))
-    out, at, changed = [], 0, 0
-    for i, m in enumerate(words):
-        word = m[0]
-        if len(word) < 3 or not word[-1].isalnum() or sum(c.isalpha() for c in word) * 4 < len(word) * 3 or (word[1:] != word[1:].lower()):
+def _doubts(paragraphs: list[str], frequent: set[str]) -> Iterator[tuple[int, re.Match, Ask]]:
+    """Paragraph number, place and question of each word that may be misread."""
+    capitals: Counter | None = None
+    for number, paragraph in enumerate(paragraphs):
+        if re.match(r"\s*(?:```|\|)", paragraph):
             continue
-        odd = bool(_ODD.search(word)) and sum(not c.isalpha() for c in word) <= 2
-        if not odd and (not word.isalpha() or reader.known(word)):
-            continue
-        slip = not odd and (word[0].isupper() or (i + 1 == len(words) and not paragraph[m.end() :].strip().startswith(_TERMINAL)))
-        before = words[i - 1][0].lower() if i else ""
-        after = words[i + 1][0].lower() if i + 1 < len(words) else ""
-        meant = reader.read(word, before, after, slip, capitals.get(word, 0) > 1)
+        words = list(_WORD.finditer(paragraph))
+        for i, m in enumerate(words):
+            word = m[0]
+            low = word.lower()
+            plain = word.isalpha()
+            if len(word) < 3 or (plain and low in frequent):
+                continue
+            if sum(c.isalpha() for c in word) * 4 < len(word) * 3 or word[1:] != low[1:]:
+                continue
+            ended = not word[-1].isalnum()
+            odd = not plain and not ended and bool(_ODD.search(word)) and sum(not c.isalpha() for c in word) <= 2
+            if not odd and not plain and not ended:
+                continue
+            capital = word[0].isupper()
+            marks = CAPITAL * capital + ODD * odd + ENDED * ended
+            if plain and (capital or (i + 1 == len(words) and not paragraph[m.end() :].strip().startswith(_TERMINAL))):
+                marks += SLIP
+            if capitals is None:
+                capitals = Counter(x[0] for p in paragraphs for x in _WORD.finditer(p))
+            marks += RECURS * (capitals[word] > 1)
+            before = words[i - 1][0].lower() if i else ""
+            after = words[i + 1][0].lower() if i + 1 < len(words) else ""
+            yield number, m, (low, marks, before, after)
+
+
+def asked(lines: list[str | None], frequent: set[str]) -> set[Ask]:
+    """Every question that :func:`clean` may put, whichever divided words turn out to be one."""
+    halves: set[str] = set()
+
+    def together(head: str, rest: str) -> bool:
+        halves.update(w.lower() for w in (head + rest, head, rest))
+        return True
+
+    joined, hyphenated = _reflow(lines, together)
+    asks = {ask for _, _, ask in _doubts(joined, frequent)}
+    if hyphenated:
+        asks |= {ask for _, _, ask in _doubts(_reflow(lines, lambda head, rest: False)[0], frequent)}
+    return asks | {(w, KNOWN, "", "") for w in halves if w not in frequent}
+
+
+def clean(lines: list[str | None], kinds: set[str], answers: dict[Ask, str], frequent: set[str]) -> tuple[list[str], str | None]:
+    """The kinds of noise of a page, and its text repaired; none where it has no noise."""
+    found = set(kinds)
+    known = lambda w: w.lower() in frequent or (w.lower(), KNOWN, "", "") in answers
+    paragraphs, hyphenated = _reflow(lines, lambda head, rest: known(head + rest) or not (known(head) and known(rest)))
+    if hyphenated:
+        found.add("hyphenation")
+    out: list[list[str]] = [[] for _ in paragraphs]
+    at = [0] * len(paragraphs)
+    misread = 0
+    for number, m, ask in _doubts(paragraphs, frequent):
+        meant = answers.get(ask)
         if meant is None:
-            if not odd:
+            if not ask[1] & ODD:
                 continue
-            meant = word.translate(FOR_LETTER)
-        elif word[0].isupper():
-            if odd and not reader.known(meant):
-                meant = word.translate(FOR_LETTER)
+            meant = m[0].translate(FOR_LETTER)
+        elif ask[1] & CAPITAL:
             meant = meant[0].upper() + meant[1:]
-        out += [paragraph[at : m.start()], meant]
-        at = m.end()
-        changed += 1
-    return "".join(out) + paragraph[at:], changed
+        out[number] += [paragraphs[number][at[number] : m.start()], meant]
+        at[number] = m.end()
+        misread += 1
+    if misread >= SEVERAL:
+        found.add("misread")
+    if not found:
+        return [], None
+    repaired = ["".join(o) + p[a:] for o, p, a in zip(out, paragraphs, at)]
+    return [k for k in KINDS if k in found], "\n\n".join(repaired)
+
+
+#: A word that isn't part of a code, address or formula.
+_INTACT_WORD = r"(?<![\p{L}\p{N}_/+=@]|[\p{N}/_]\p{L}{0,9}-)\p{L}+(?![\p{L}\p{N}_/+=@]|-\p{L}{0,9}[\p{N}/_])"
+
 
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """(key, n): document counts of the words, of the capitalised ones as such, and of the pairs of lower-case words, of the texts without broken lines.
 
-def vocabulary(documents: DataFrame) -> dict[str, int]:
-    """Document counts of the words, of the capitalised ones as such, and of the pairs of lower-case words, of the texts without broken lines."""
-    intact = documents.where(F.col("text").isNotNull() & (F.expr(r"regexp_count(text, '[\\p{L},]\\r?\\n\\p{Ll}')") < BROKEN_LINES))
-    tokens = intact.select(F.split("text", r"[^\p{L}]+").alias("w"))
+    Words keep their row at any count; capitalised forms and pairs from ``CANDIDATE_DOCUMENTS`` on.
+    """
+    feeds = F.regexp_replace("text", _LINE_END, "\n")
+    intact = documents.where(F.col("text").isNotNull() & ~feeds.rlike(_BROKEN))
+    tokens = intact.select(F.regexp_extract_all("text", F.lit(_INTACT_WORD), 0).alias("w"))
     pairs = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat(a, ' ', b))")
     words = F.transform("w", lambda x: F.lower(x))
     keys = tokens.select(F.explode(F.array_distinct(F.concat(words, pairs, "w"))).alias("key")).where(F.col("key").rlike(r"^(?:\p{Ll}+(?: \p{Ll}+)?|\p{Lu}\p{Ll}+)$"))
-    counts = keys.groupBy("key").count()
-    total = intact.agg(F.sum(F.size(F.split("text", r"[^\p{L}]+"))).alias("n")).first()["n"] or 0
-    return {r["key"]: r["count"] for r in counts.where(F.col("count") >= max(3, total >> 16)).toLocalIterator()}
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
+    return counts.where((F.col("n") >= CANDIDATE_DOCUMENTS) | F.col("key").rlike(r"^\p{Ll}+$"))
+
+
+QUESTIONS = "word string, marks int, before string, after string"
+READ = f"document_id string, kinds array<string>, lines array<string>, asks array<struct<{QUESTIONS.replace(' ', ': ').replace(',:', ',')}>>"
+FOUND = "plain string, meant string, distance int, taken boolean"
+
+
+def read(documents: DataFrame, frequent: set[str]) -> DataFrame:
+    """READ of every scanned page: its lines, its furniture, and its questions."""
+    sent = documents.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for document, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (page := page_lines(text)) is None:
+                    continue
+                asks = [dict(zip(("word", "marks", "before", "after"), a)) for a in sorted(asked(page[0], sent.value))]
+                for column, value in zip(out, (document, sorted(page[1]), page[0], asks)):
+                    column.append(value)
+            ask = pa.struct([("word", pa.string()), ("marks", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+            types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(ask)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["document_id", "kinds", "lines", "asks"])
+
+    broken = documents.select("document_id", "text").where(F.col("text").rlike("[\n\r\x85\u2028\u2029\v]"))
+    return broken.mapInArrow(run, READ)
+
+
+def _search(questions: pa.Table, words: pa.Table) -> pa.Table:
+    """FOUND of one block of questions in one shard of the vocabulary: its trie, run by the questions' automata."""
+    trie = Trie(words.column("meant").to_pylist())
+    plain = questions.column("plain").to_pylist()
+    at, word, distance = trie.within(plain, questions.column("most").to_pylist())
+    asked, meant = [plain[i] for i in at], [trie.words[i] for i in word]
+    columns = [asked, meant, distance, [d == 1 and taken_for(a, m) for a, m, d in zip(asked, meant, distance)]]
+    types = [pa.string(), pa.string(), pa.int32(), pa.bool_()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["plain", "meant", "distance", "taken"])
+
+
+def candidates(plain: DataFrame, words: DataFrame) -> DataFrame:
+    """FOUND: all words within ``most`` edits of each ``plain``; ``words`` has the words that can be meant, as ``meant``.
+
+    Words meet by length, which an edit or a shape changes by one at most; the words of a length
+    are cut into shards and the questions into blocks, and every block meets every shard.
+    """
+    questions = plain.select("plain", "most", F.explode(F.sequence(F.length("plain") - F.col("most"), F.length("plain") + F.col("most"))).alias("length"))
+    targets = words.select("meant", F.length("meant").alias("length"))
+    pieces = lambda size, name: F.ceil(F.count("*") / size).cast("int").alias(name)
+    sizes = questions.groupBy("length").agg(pieces(BLOCK_WORDS, "blocks")).join(targets.groupBy("length").agg(pieces(SHARD_WORDS, "shards")), "length")
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = questions.join(sizes, "length").withColumn("block", part("plain", "blocks")).select("plain", "most", "length", "block", every("shards").alias("shard"))
+    own = targets.join(sizes, "length").withColumn("shard", part("meant", "shards")).select("meant", "length", "shard", every("blocks").alias("block"))
+    keys = ("length", "shard", "block")
+    return asks.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(_search, FOUND)
+
+
+@F.pandas_udf(T.StringType())
+def folded(words: pd.Series) -> pd.Series:
+    """:func:`_folded` as a column."""
+    return words.map(_folded)
+
+
+@F.pandas_udf(T.StringType())
+def plainly(words: pd.Series) -> pd.Series:
+    """Words with letters for the signs put for them."""
+    return words.map(lambda w: w.translate(FOR_LETTER))
+
+
+def resolve(asks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, marks, before, after, meant) of the questions that have an answer."""
+    has = lambda bit: F.col("marks").bitwiseAND(bit) > 0
+    words = vocabulary.where(~F.col("key").contains(" ") & (F.lower("key") == F.col("key"))).select(F.col("key").alias("meant"), "n")
+    capitals = vocabulary.where(~F.col("key").contains(" ") & (F.lower("key") != F.col("key"))).select(F.lower("key").alias("meant"), F.lit(True).alias("capital"))
+    meant = words.where((F.col("n") >= CANDIDATE_DOCUMENTS) & (F.length("meant") > 1)).join(capitals, "meant", "left")
+    pairs = vocabulary.where(F.col("key").contains(" ")).withColumnRenamed("n", "p")
+    seen = asks.join(words.select(F.col("meant").alias("word"), F.col("n").alias("known")), "word", "left")
+    known = seen.where(has(KNOWN) & F.col("known").isNotNull()).select("word", "marks", "before", "after", F.col("word").alias("meant"))
+    open_ = cut_lineage(seen.where(~has(KNOWN) & (has(ODD) | F.col("known").isNull())).select("word", "marks", "before", "after", plainly("word").alias("plain")))
+    by_sign = open_.where("plain <> word").join(meant.select(F.col("meant").alias("plain"), F.lit(0).alias("level")), "plain")
+    rest = open_.where(~has(ENDED)).join(by_sign.select("word").distinct(), "word", "left_anti")
+    most = F.when((F.length("plain") > 5) & ~has(SLIP), MOST_EDITS).otherwise(1)
+    plain = cut_lineage(rest.groupBy("plain").agg(F.max(most).alias("most")))
+    near = candidates(plain, meant)
+    shape = plain.select("plain", folded("plain").alias("f")).join(meant.select("meant", folded("meant").alias("f")), "f").where("plain <> meant").select("plain", "meant", F.lit(True).alias("alike"))
+    found = near.join(shape, ["plain", "meant"], "full").join(meant, "meant").withColumn("alike", F.coalesce("alike", F.lit(False)))
+    slip_level = F.when(F.col("taken"), 1).when(F.col("alike"), 2)
+    level = F.when(has(SLIP), F.when(F.coalesce("capital", F.lit(False)) | ~has(CAPITAL), slip_level)).otherwise(F.col("distance"))
+    level = F.when(has(RECURS) & has(SLIP) & ~F.col("alike"), None).otherwise(level)
+    options = rest.join(found, "plain").withColumn("level", level).where("level IS NOT NULL")
+    beside = lambda a, b, name: (F.concat(F.col(a), F.lit(" "), F.col(b)).alias(name))
+    options = options.select("word", "marks", "before", "after", "meant", "n", "level", beside("before", "meant", "first"), beside("meant", "after", "second"))
+    for key in ("first", "second"):
+        options = options.join(pairs.select(F.col("key").alias(key), F.col("p").alias(f"{key}_n")), key, "left")
+    context = F.coalesce("first_n", F.lit(0)) + F.coalesce("second_n", F.lit(0))
+    score = (1 + F.col("n") + PAIR_WEIGHT * context) * F.pow(F.lit(STEP_LIKELIHOOD), F.col("level"))
+    best = options.groupBy("word", "marks", "before", "after").agg(F.max(F.struct(score.alias("s"), "meant")).alias("b"))
+    chosen = best.select("word", "marks", "before", "after", "b.meant")
+    return chosen.unionByName(by_sign.select("word", "marks", "before", "after", F.col("plain").alias("meant"))).unionByName(known)
 
 
 SCHEMA = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("noise", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())])
@@ -422,22 +588,30 @@ SCHEMA = T.StructType([T.StructField("document_id", T.StringType()), T.StructFie
 
 def repaired(documents: DataFrame) -> DataFrame:
     """Scanned documents with the kinds of noise found and their text repaired; ``documents`` has document_id and text."""
-    sent = documents.sparkSession.sparkContext.broadcast(vocabulary(documents))
+    spark = documents.sparkSession
+    known = cut_lineage(vocabulary(documents))
+    common = known.where(F.col("key").rlike(r"^\p{Ll}+$")).orderBy(F.desc("n"), "key").limit(FREQUENT)
+    frequent = {r["key"] for r in common.select("key").collect()}
+    pages = cut_lineage(read(documents, frequent))
+    own = pages.select("document_id", F.explode("asks").alias("a")).select("document_id", "a.*")
+    asks = cut_lineage(own.select("word", "marks", "before", "after").distinct())
+    answers = own.join(resolve(asks, known), ["word", "marks", "before", "after"])
+    by_page = answers.groupBy("document_id").agg(F.collect_set(F.struct("word", "marks", "before", "after", "meant")).alias("answers"))
+    sent = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
         for batch in batches:
             out: list[list] = [[], [], []]
-            for document, text in zip(*(c.to_pylist() for c in batch.columns)):
-                noise, fixed = clean(text, reader)
+            for document, kinds, lines, found in zip(*(c.to_pylist() for c in batch.columns)):
+                told = {(a["word"], a["marks"], a["before"], a["after"]): a["meant"] for a in found or ()}
+                noise, fixed = clean(lines, set(kinds), told, sent.value)
                 if noise:
                     for column, value in zip(out, (document, noise, fixed)):
                         column.append(value)
             types = [pa.string(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], SCHEMA.names)
 
-    broken = documents.select("document_id", "text").where(F.col("text").contains("\n"))
-    return broken.mapInArrow(run, SCHEMA)
+    return pages.join(by_page, "document_id", "left").select("document_id", "kinds", "lines", "answers").mapInArrow(run, SCHEMA)
 
 
 def kinds_found(fixed: DataFrame) -> DataFrame:

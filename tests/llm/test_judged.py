@@ -129,16 +129,46 @@ def brute_within(words, word, most):
     return {w for w in words if distance(word, w) <= most}
 
 
+def brute_with_shapes(a, b):
+    """Fewest edits between two words, a shape taken for a letter (or a letter for a shape) being one."""
+    best = {(0, 0): 0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = [best[i, j]] if (i, j) in best else []
+            ways += [best[i - 1, j - 1] + (a[i - 1] != b[j - 1])] if i and j else []
+            ways += [best[i - 1, j] + 1] if i else []
+            ways += [best[i, j - 1] + 1] if j else []
+            for shape, letter in pagenoise.SHAPES:
+                ways += [best[i - 2, j - 1] + 1] if a[:i].endswith(shape) and b[:j].endswith(letter) else []
+                ways += [best[i - 1, j - 2] + 1] if a[:i].endswith(letter) and b[:j].endswith(shape) else []
+            best[i, j] = min(ways)
+    return best[len(a), len(b)]
+
+
 def test_trie_and_automaton_find_every_candidate():
     rng = random.Random(1)
-    vocabulary = {"".join(rng.choice("abrnmc") for _ in range(rng.randint(2, 7))) for _ in range(300)}
-    trie = pagenoise.Trie(dict.fromkeys(vocabulary, 1))
-    for _ in range(60):
-        word = "".join(rng.choice("abrnmc") for _ in range(rng.randint(2, 7)))
-        for most in (1, 2):
-            assert brute_within(vocabulary, word, most) <= set(trie.within(word, most))
-    assert pagenoise.Trie({"morning": 1}).within("moming", 1) == {"morning": 1}
-    assert pagenoise.Trie({"modern": 1}).within("moclern", 1) == {"modern": 1}
+    for length in range(1, 8):
+        vocabulary = {"".join(rng.choice("abrnmcil") for _ in range(length)) for _ in range(80)}
+        questions = ["".join(rng.choice("abrnmcil") for _ in range(max(1, length + rng.randint(-3, 3)))) for _ in range(300)]
+        most = [rng.choice((1, 2)) for _ in questions]
+        trie = pagenoise.Trie(list(vocabulary))
+        got = {(int(q), trie.words[w]): int(d) for q, w, d in zip(*trie.within(questions, most))}
+        distances = {(i, w): brute_with_shapes(q, w) for i, q in enumerate(questions) for w in vocabulary}
+        assert got == {k: d for k, d in distances.items() if d <= most[k[0]]}
+        assert all((i, w) in got for i, q in enumerate(questions) for w in brute_within(vocabulary, q, most[i]))
+    assert [len(x) for x in pagenoise.Trie([]).within(["a"], [1])] == [0, 0, 0]
+
+
+def test_candidates_of_shards_and_blocks_are_those_of_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(pagenoise, "SHARD_WORDS", 7)
+    monkeypatch.setattr(pagenoise, "BLOCK_WORDS", 5)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abrnm") for _ in range(rng.randint(2, 7)))
+    vocabulary, questions = {word() for _ in range(150)}, {word() for _ in range(60)}
+    asked = spark.createDataFrame([(q, 1 + len(q) % 2) for q in questions], "plain string, most int")
+    found = pagenoise.candidates(asked, spark.createDataFrame([(w,) for w in vocabulary], "meant string")).collect()
+    assert len(found) == len({(r.plain, r.meant) for r in found})
+    assert {(r.plain, r.meant): r.distance for r in found} == {(q, w): d for q in questions for w in vocabulary if (d := brute_with_shapes(q, w)) <= 1 + len(q) % 2}
 
 
 PAGE = """Notes
@@ -170,15 +200,73 @@ def test_page_noise_is_found_and_repaired(spark):
     assert pagenoise.repaired(documents.where("false")).count() == 0
 
 
-def test_misread_capitalised_and_final_words_are_repaired_and_names_kept():
-    words = dict.fromkeys("according after the keeper came to gate in september with müller and brücke closed out st".split(), 50)
-    reader = pagenoise.Reader(words | dict.fromkeys("According After The September Müller Brücke St".split(), 40))
-    assert pagenoise._corrected("Accorcling to the Müllcr in Septernber.", reader, {}) == ("According to the Müller in September.", 3)
-    assert pagenoise._corrected("Aftcr the keeper came to the gatc.", reader, {}) == ("After the keeper came to the gate.", 2)
-    assert pagenoise._corrected("closed the Brückc", reader, {}) == ("closed the Brücke", 1)
-    for kept in ("The keeper Ost came with Mollar and Aster", "closed the gat"):
-        assert pagenoise._corrected(kept, reader, {"Aster": 2}) == (kept, 0)
-    assert pagenoise._corrected("Septernber came", reader, {"Septernber": 2}) == ("September came", 1)
+def repaired_texts(spark, pages, intact):
+    """Repaired text of each page, between lines of its own that make it a page with noise; ``intact`` has (text, copies)."""
+    rows = [(f"p{i}", f"Wild geese crossed the har-\nbour.\n\n{x}") for i, x in enumerate(pages)]
+    rows += [(f"i{i}_{k}", x) for i, (x, n) in enumerate([*intact, ("wild geese crossed the harbour", 4)]) for k in range(n)]
+    fixed = {r.document_id: r.text for r in pagenoise.repaired(spark.createDataFrame(rows, "document_id string, text string")).collect()}
+    return [fixed[f"p{i}"].split("\n\n", 1)[1] for i in range(len(pages))]
+
+
+def test_misread_capitalised_and_final_words_are_repaired_and_names_kept(spark):
+    intact = [("according after the keeper came to gate in september with müller and brücke closed out st they. According After The September Müller Brücke St", 4)]
+    cases = {
+        "Accorcling to the Müllcr in Septernber.": "According to the Müller in September.",
+        "Aftcr the keeper came to the gatc.": "After the keeper came to the gate.",
+        "closed the Brückc": "closed the Brücke",
+        "The keeper Ost came with Mollar and Aster, Aster": "The keeper Ost came with Mollar and Aster, Aster",
+        "closed the gat": "closed the gat",
+        "Septernber came, Septernber": "September came, September",
+        "the gat€ and the ga+e, af+er": "the gate and the gate, after",
+        "they came af@ and wi+h": "they came af@ and with",
+    }
+    assert repaired_texts(spark, cases, intact) == list(cases.values())
+
+
+def test_rare_words_survive_and_context_ranks_over_distance(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioubdgkmpst") for _ in range(7))
+    vocabulary = [word() for _ in range(1500)]
+    copies = [max(1, 400 // (rank + 1)) for rank in range(len(vocabulary))]  # a tail of words that stand in one document each
+    near = vocabulary[0][:3] + "x" + vocabulary[0][4:]  # a rare word beside a frequent one
+    texts = [" ".join(w for w, n in zip([near, *vocabulary], [1, *copies]) if n > k) + "." for k in range(400)]
+    page = "\n".join(" ".join(vocabulary[i : i + 9]) for i in range(700, 1500, 9))
+    contexts = [("the keeper locked the garden gate", 30), ("one warden came", 9)]
+    got = repaired_texts(spark, [f"{near}\n{page}\nand {near} then", "the keeper locked the gxrdxn gate"], [(t, 1) for t in texts] + contexts)
+    assert got[0].split() == f"{near} {page} and {near} then".split()
+    assert got[1] == "the keeper locked the garden gate"
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_pages_with_any_line_end_and_few_broken_lines(spark, end):
+    rows = [("a", PAGE.replace("\n", end)), ("b", "The clerk wrote it in the har-\nbour book.".replace("\n", end))] + [(f"c{i}", CLEAN) for i in range(5)]
+    found = pagenoise.kinds_found(pagenoise.repaired(spark.createDataFrame(rows, "document_id string, text string"))).collect()
+    assert {(r.document_id, r.noise) for r in found} == {("a", k) for k in pagenoise.KINDS} | {("b", "hyphenation")}
+
+
+def test_repair_gives_back_what_the_page_had(spark):
+    """Words of intact texts, then noise on them, as a page would have it: nearly all come back."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(("ba", "ke", "lo", "mi", "nu", "ra", "so", "te", "vi", "du")) for _ in range(rng.randint(2, 4)))
+    vocabulary = sorted({word() for _ in range(400)})
+    sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(12)) + "."
+    truth = [" ".join(sentence() for _ in range(12)) for _ in range(12)]
+    slips = {"e": "c", "o": "0", "l": "1", "s": "5", "t": "+", "m": "rn", "d": "cl", "h": "b"}
+    noisy, wrong = [], 0
+    for text in truth:
+        words = text.split(" ")
+        for i in rng.sample(range(len(words)), 20):
+            at = [k for k, c in enumerate(words[i][:-1]) if c in slips and k]
+            if at:
+                k = rng.choice(at)
+                words[i] = words[i][:k] + slips[words[i][k]] + words[i][k + 1 :]
+                wrong += 1
+        noisy.append("\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8)))
+    got = repaired_texts(spark, noisy, [(" ".join(vocabulary[i::4]), 3) for i in range(4)])
+    same = sum(a == b for x, y in zip(got, truth) for a, b in zip(x.split(), y.split()))
+    total = sum(len(y.split()) for y in truth)
+    assert wrong > 200 and all(len(x.split()) == len(y.split()) for x, y in zip(got, truth))
+    assert same >= total - 0.05 * wrong
 
 
 def test_running_lines_count_as_repeated_in_texts_of_any_length():
