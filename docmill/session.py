@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,25 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out over all cores where its files are fewer than those; larger tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt out where one split holds a whole small table; a table of several splits stays as it is read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < 2 else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests, is a
-    local folder chosen and set on the context.
+    A cluster names it in ``spark.checkpoint.dir``, and must. Only a session within one process, as in
+    tests, gets a local folder, which is set on the context.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    current = spark.sparkContext.getCheckpointDir()
     if named:
-        if spark.sparkContext.getCheckpointDir() is None:
+        if current is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"{master} needs spark.checkpoint.dir, a folder that every executor reaches")
     import tempfile
 
     fallback = os.path.join(tempfile.gettempdir(), "docmill-checkpoints")
@@ -66,3 +69,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written copy."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the written copy behind a table of :func:`cut_lineage` that nothing reads any more."""
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        jvm, path = df.sparkSession._jvm, file.get()
+        written = jvm.org.apache.hadoop.fs.Path(path)
+        written.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(written, True)

@@ -122,3 +122,27 @@ def test_aliases_and_custom_fields(spark):
         variant.aliased(F.col("i"), keys, "thought_process"), variant.custom_fields(F.col("i")), variant.text_list(F.col("i"), "citations")
     ).first()
     assert tuple(got) == ("r", {"topic": "t"}, [])
+
+
+def test_written_intermediates_are_deleted_and_a_cluster_must_name_their_folder(spark):
+    import glob
+
+    from docmill import session
+
+    written = session.cut_lineage(spark.range(10))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    session.discard(written)
+    session.discard(spark.range(3))
+    assert len(before - set(glob.glob(f"{folder}/rdd-*"))) == 1
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+            getConf = staticmethod(dict)  # noqa: N815
+
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Cluster)
