@@ -7,8 +7,9 @@ words in any common order; the order puts words of rare hash buckets first). Ins
 comparison is tiled and exact: word sets are 128-bit parity signatures, numpy exclusive-or and bit
 counts give a lower bound of the words two records don't share, and tile pairs whose population
 counts or sizes differ beyond the radius are skipped. A comparison of the word sets confirms
-every pair. A block above ``TILE_ROWS`` rows is cut into tiles, each pair of tiles a task's work
-of bounded size, so no block is ever held whole.
+every pair. A block above ``TILE_ROWS`` rows is cut into tiles along its sizes and population
+counts; only pairs of tiles within the radius are written out, each of them a piece of work of
+bounded size, so no block is ever held whole and the bound is the same at every size.
 
 Edge cases: records whose question is null or blank are left out; a null answer counts as empty;
 a redelivered row is the same record; records without a single word match nothing; an empty table
@@ -25,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docmill.llm.words import words
-from docmill.session import cut_lineage
+from docmill.session import cut_lineage, discard
 
 #: The threshold as a fraction.
 COMMON, ALL = 7, 10
@@ -35,11 +37,11 @@ COMMON, ALL = 7, 10
 #: Buckets of the word-frequency sketch (1 MB when sent to the workers).
 BUCKETS = 1 << 18
 
-#: Rows of one tile of a block that is cut.
+#: Rows of one tile of a block, or of a class of copies, that is cut.
 TILE_ROWS = 4096
 
-#: At most about 2**HOT_BITS words can be above the tile size, since it rises with the postings.
-HOT_BITS = 17
+#: Rows of a table that is sent to the workers at most; a larger one is joined by shuffling.
+SENT_ROWS = 100_000
 
 #: Seed of Spark's xxhash64, so that both sides number the buckets alike (fixed value).
 _SEED = 42
@@ -52,7 +54,7 @@ SETS = T.StructType(
         T.StructField("high", T.LongType()),
         T.StructField("low", T.LongType()),
         T.StructField("words", T.ArrayType(T.LongType())),
-        T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("alone", T.IntegerType()),
     ]
 )
 
@@ -64,11 +66,6 @@ def record_text(question: str | None, answer: str | None) -> str | None:
     return f"{question} {answer or ''}"
 
 
-def prefix_length(n: int) -> int:
-    """Words of the common order among which any partner shares at least one."""
-    return n - -(-COMMON * n // ALL) + 1
-
-
 def word_sketch(records: DataFrame) -> np.ndarray:
     """Number of records per word bucket, over all records; of fixed size."""
     text = F.lower(F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("self_answer", F.lit(""))))
@@ -81,7 +78,7 @@ def word_sketch(records: DataFrame) -> np.ndarray:
 
 
 def word_sets(records: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """SETS of each record: its words as hashes, their parity signature, and the prefix."""
+    """SETS of each record: its words as hashes, rarest first, their parity signature, and how many of the first no other record can have."""
     sent = records.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,24 +100,23 @@ def word_sets(records: DataFrame, sketch: np.ndarray) -> DataFrame:
                     hashes.append(h)
                 hashes.sort()
                 array = np.array(hashes, np.uint64)
-                rare = np.lexsort([array, frequency[(array % np.uint64(BUCKETS)).astype(np.int64)]])
+                often = frequency[(array % np.uint64(BUCKETS)).astype(np.int64)]
+                rare = np.lexsort([array, often])
                 signature = 0
                 for h in hashes:
                     signature ^= 1 << (h >> 57)
-                signed = array.view(np.int64)
                 row = (
                     rid,
                     xxhash.xxh128_digest(array.tobytes()),
                     len(hashes),
                     _signed(signature >> 64),
                     _signed(signature & (2**64 - 1)),
-                    signed,
-                    signed[rare[: prefix_length(len(hashes))]],
+                    array.view(np.int64)[rare],
+                    int((often <= 1).sum()),
                 )
                 for column, value in zip(out, row):
                     column.append(value)
-            longs = pa.list_(pa.int64())
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), longs, longs]
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], SETS.names)
 
     return records.select("question_id", "question", "self_answer").mapInArrow(run, SETS)
@@ -236,29 +232,66 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """Rows of every block: a posting per prefix word; of a large block, one per pair of tiles."""
-    postings = classes.select(F.explode("prefix").alias("token"), "id", "n", "high", "low")
-    counts = postings.groupBy("token").count()
-    total = classes.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
-    tile = max(TILE_ROWS, total >> HOT_BITS)
-    hot = counts.where(F.col("count") > tile).select("token", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("id", "n"), F.col("tiles")).cast("int")
-    pairs = F.expr("explode(transform(sequence(0, tiles - 1), t -> struct(least(t, own) AS first, greatest(t, own) AS second)))")
-    cut = (
-        postings.join(F.broadcast(hot), "token", "left")
-        .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        .withColumn("own", own)
-        .select("*", pairs.alias("tile"))
-    )
-    side = F.when(F.col("tile.first") == F.col("tile.second"), -1).otherwise((F.col("own") == F.col("tile.second")).cast("int"))
-    return cut.select("token", F.col("tile.first").alias("first"), F.col("tile.second").alias("second"), "id", "n", "high", "low", side.alias("side"))
+def postings(classes: DataFrame) -> DataFrame:
+    """(token, id, n, bits, high, low): a row per word of each class's prefix; words that no other record has are left out."""
+    least = F.floor((COMMON * F.col("n") + ALL - 1) / ALL)  # of its words a partner shares at least so many
+    prefix = F.col("n") - least + 1 - F.col("alone")
+    words = F.slice("words", F.col("alone") + 1, F.greatest(prefix, F.lit(0)).cast("int"))
+    bits = (F.bit_count("high") + F.bit_count("low")).cast("int").alias("bits")
+    return classes.select(F.explode(words).alias("token"), "id", "n", bits, "high", "low")
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, for a broadcast where its number of ``rows`` allows it."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df
+
+
+def tiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tiles of the hot blocks: (token, n, bits, start, count) of their cells, and (token, first, second) of the pairs of tiles within the radius.
+
+    A block's rows are ordered by size and population count; a cell is a run of rows equal in both.
+    """
+    hot = rows.groupBy("token").count().where(F.col("count") > TILE_ROWS).select("token")
+    hot = cut_lineage(hot)
+    cells = rows.join(sent(hot, hot.count()), "token", "left_semi").groupBy("token", "n", "bits").count()
+    before = Window.partitionBy("token").orderBy("n", "bits").rowsBetween(Window.unboundedPreceding, -1)  # over one row per cell
+    cells = cut_lineage(cells.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))))
+    number = lambda row: F.floor(row / TILE_ROWS).cast("int")
+    spans = cells.select("token", "n", "bits", F.explode(F.sequence(number(F.col("start")), number(F.col("start") + F.col("count") - 1))).alias("tile"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("n", "bits") for name, f in (("least", F.min), ("most", F.max))]
+    spans = cut_lineage(spans.groupBy("token", "tile").agg(*ends))
+    a, b = (spans.select("token", *[F.col(c).alias(f"{x}_{c}") for c in spans.columns[1:]]) for x in ("a", "b"))
+    gap = F.greatest(F.col("a_least_bits") - F.col("b_most_bits"), F.col("b_least_bits") - F.col("a_most_bits"), F.lit(0))
+    near = (ALL * F.col("a_most_n") >= COMMON * F.col("b_least_n")) & ((ALL + COMMON) * gap <= (ALL - COMMON) * (F.col("a_most_n") + F.col("b_most_n")))
+    pairs = a.join(b, "token").where((F.col("a_tile") <= F.col("b_tile")) & near).select("token", F.col("a_tile").alias("first"), F.col("b_tile").alias("second"))
+    return cells, pairs
+
+
+BLOCK = ("token", "first", "second", "id", "n", "high", "low", "side")
+
+
+def blocks(classes: DataFrame) -> DataFrame:
+    """BLOCK: the rows of every block; of a hot one, each row once for each pair of tiles that its tile is in."""
+    rows = postings(classes)
+    cells, pairs = tiles(rows)
+    pairs = cut_lineage(pairs)
+    many, hot = cells.count(), cells.select("token").distinct()
+    whole = F.lit(0)
+    cold = rows if not many else rows.join(sent(hot, many), "token", "left_anti")
+    cold = cold.select("token", whole.alias("first"), whole.alias("second"), "id", "n", "high", "low", F.lit(-1).alias("side"))
+    if not many:
+        return cold
+    place = F.col("start") + F.pmod(F.xxhash64("id"), F.col("count"))
+    own = rows.join(sent(cells, many), ["token", "n", "bits"]).withColumn("tile", F.floor(place / TILE_ROWS).cast("int"))
+    ends = pairs.select("token", F.col("first").alias("tile"), "first", "second").unionByName(pairs.where("first <> second").select("token", F.col("second").alias("tile"), "first", "second"))
+    side = F.when(F.col("first") == F.col("second"), -1).otherwise((F.col("tile") == F.col("second")).cast("int"))
+    return cold.unionByName(own.join(sent(ends, 2 * pairs.count()), ["token", "tile"]).withColumn("side", side).select(*BLOCK))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Pairs of classes that can reach the threshold, by tiled comparison of signatures."""
-    blocks = _blocks(classes).repartition("token", "first", "second").sortWithinPartitions("token", "first", "second")
-    return blocks.mapInArrow(_compare, PAIRS).distinct()
+    rows = blocks(classes).repartition("token", "first", "second").sortWithinPartitions("token", "first", "second")
+    return rows.mapInArrow(_compare, PAIRS).distinct()
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -273,32 +306,47 @@ class NearDuplicates:
     """Classes of records with the same words, and the links between them."""
 
     def __init__(self, records: DataFrame):
+        spark = records.sparkSession
         records = records.select("question_id", "question", "self_answer")
-        sets = cut_lineage(word_sets(records, word_sketch(records)))
-        first = sets.groupBy("same").agg(F.min_by(F.struct("id", "n", "high", "low", "words", "prefix"), "id").alias("first"))
-        classes = cut_lineage(first.select("same", "first.*"))
-        keyed = sets.select("id", "same").distinct()
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # the one shuffle of the word sets: they stay partitioned by id, which confirms pairs without another
+        sets = cut_lineage(word_sets(records, word_sketch(records)).repartition(parts, "id").dropDuplicates(["id"]))
+        first = sets.groupBy("same").agg(F.min("id").alias("rep"))
         #: (id, rep): each record's class, named by its smallest id.
-        self.members = keyed.join(classes.select("same", F.col("id").alias("rep")), "same").select("id", "rep")
+        self.members = cut_lineage(sets.select("id", "same").join(first, "same").select("id", "rep"))
+        self.classes = sets.join(self.members.where("id <> rep").select("id"), "id", "left_anti")
         #: (a, b): linked classes.
-        self.links = confirmed(candidates(classes), classes)
+        self.links = confirmed(candidates(self.classes), self.classes)
 
     def pairs(self) -> DataFrame:
-        """Every pair of records, a < b."""
-        left = self.members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-        right = self.members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-        between = self.links.join(left, "a").join(right, "b").select("x", "y")
-        several = self.members.groupBy("rep").count().where("count > 1").select("rep")
-        copies = self.members.join(several, "rep")
-        within = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-        return between.unionByName(within).select(F.least("x", "y").alias("question_id_a"), F.greatest("x", "y").alias("question_id_b"))
+        """Every pair of records, a < b; the members of a large class are dealt out over tiles, so no pair of classes meets in one task."""
+        copies = self.members.groupBy("rep").count().where("count > 1")
+        large = cut_lineage(copies.where(F.col("count") > TILE_ROWS).select("rep", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("tiles")))
+        many = large.count()
+
+        def tiled(df: DataFrame, key: str, name: str) -> DataFrame:
+            """``df`` with the number of tiles of its class ``key``."""
+            if not many:
+                return df.withColumn(name, F.lit(1))
+            known = large.select(F.col("rep").alias(key), F.col("tiles").alias(name))
+            return df.join(sent(known, many), key, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+        every = lambda start, n: F.explode(F.sequence(start, F.col(n) - 1))
+        own = tiled(self.members, "rep", "tiles").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        side = lambda rep, tile, record: own.select(F.col("rep").alias(rep), F.col("tile").alias(tile), F.col("id").alias(record))
+        linked = tiled(tiled(self.links, "a", "tiles_a"), "b", "tiles_b").withColumn("tile_a", every(F.lit(0), "tiles_a")).withColumn("tile_b", every(F.lit(0), "tiles_b"))
+        between = linked.join(side("a", "tile_a", "x"), ["a", "tile_a"]).join(side("b", "tile_b", "y"), ["b", "tile_b"]).select("x", "y")
+        within = own.join(copies.select("rep"), "rep", "left_semi")
+        left = within.select("rep", F.col("id").alias("x"), F.col("tile").alias("first"), every(F.col("tile"), "tiles").alias("second"))
+        right = within.select("rep", F.col("id").alias("y"), F.col("tile").alias("second"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("first"))
+        met = left.join(right, ["rep", "first", "second"]).where((F.col("first") < F.col("second")) | (F.col("x") < F.col("y"))).select("x", "y")
+        return between.unionByName(met).select(F.least("x", "y").alias("question_id_a"), F.greatest("x", "y").alias("question_id_b"))
 
     def groups(self) -> DataFrame:
         """Each record that has a partner: its class, its group and the number of its links."""
         links = cut_lineage(self.links)
         group = components(links)
-        members = cut_lineage(self.members)
-        size = members.groupBy("rep").agg(F.count("*").alias("size"))
+        size = self.members.groupBy("rep").agg(F.count("*").alias("size"))
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         outside = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("outside"))
         per_class = (
@@ -307,7 +355,7 @@ class NearDuplicates:
             .select("rep", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("group_id"))
             .where("links > 0")
         )
-        return members.join(per_class, "rep").select(F.col("id").alias("question_id"), F.col("rep").alias("class_id"), "group_id", "links")
+        return self.members.join(per_class, "rep").select(F.col("id").alias("question_id"), F.col("rep").alias("class_id"), "group_id", "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -327,6 +375,7 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(low, "a").select(F.col("low").alias("x"), F.col("b").alias("y")).unionByName(low.select(F.col("low").alias("x"), F.col("a").alias("y")))
         new = cut_lineage(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         moved = new.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(new, ["a", "b"], "left_anti").limit(1).count()
+        discard(edges)
         edges = new
         if not moved:
             break

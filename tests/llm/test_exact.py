@@ -119,6 +119,26 @@ def test_many_copies_form_one_class(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_a_hot_word_gives_tiles_of_bounded_size_within_the_radius_only(spark):
+    n, size = 200_000, 12 + 8 * (F.col("id") % 3)
+    words = F.concat(F.array(F.lit(7).cast("long")), F.transform(F.sequence(F.lit(1), size.cast("int") - 1), lambda i: F.xxhash64("id", i)))
+    sized = spark.range(n).select("id", size.cast("int").alias("n"), F.xxhash64("id").alias("high"), F.xxhash64("id", F.lit(1)).alias("low"), words.alias("words"), F.lit(0).alias("alone"))
+    per = neardup.blocks(sized).where("token = 7").groupBy("first", "second").count().collect()
+    most, written = max(r["count"] for r in per), sum(r["count"] for r in per)
+    tiles = -(-n // neardup.TILE_ROWS)
+    assert most <= 2.2 * neardup.TILE_ROWS and len(per) < 0.75 * tiles * (tiles + 1) / 2
+    assert written <= n + 2.2 * neardup.TILE_ROWS * len(per)
+    assert {r["first"] for r in per if r["first"] == r["second"]} == set(range(tiles))
+
+
+def test_copies_beyond_a_tile_give_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_ROWS", 7)
+    text = lambda i: "one and the same question " + ("again" if i % 3 else "")
+    made = neardup.NearDuplicates(records(spark, [(i, text(i), None) for i in range(40)]))
+    pairs = [tuple(r) for r in made.pairs().collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
 def test_tiles_lose_nothing_that_is_within_the_radius():
     rng = np.random.default_rng(5)
     n = 700
