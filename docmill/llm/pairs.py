@@ -4,18 +4,20 @@ Each record gets the names of its defects. Refusals come from clusters of respon
 openings are joined by MinHash over five-word shingles, each join verified (similarity 0.8 or
 more), and a cluster whose wording recurs across unrelated documents while saying nothing of its
 own prompts and citations is a refusal template. The remaining defects come from checks of the
-copy (no word of the answer's own), the language (word statistics gathered from all records) and
-the termination (see ``truncation``: do sentences end on these words?).
+copy (no word of the answer's own), the language (statistics of the letters of words, learned from
+all documents that name their language) and the termination (see ``truncation``: do sentences end
+on these words?).
 
 Edge cases: a null, blank or placeholder answer is an empty answer and has no other answer defect;
-a null question has no copy or language defect; null and empty citation lists are no citation; a
+a null question has no copy or language defect, nor has a record in a language that no document
+names; null and empty citation lists are no citation; a
 redelivered record counts once; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,18 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm.neardup import components
-from docmill.llm.truncation import _BITS, _STEP, end_counts, prose_state, units, word_hashes
+from docmill.llm.truncation import _BITS, _STEP, count_ends, end_counts, prose_state, units, word_hashes
 from docmill.llm.words import WORD, words
 from docmill.session import cut_lineage
 
-#: Frequent function words that tell languages of one script apart (fixed values).
-FUNCTION_WORDS = {
-    "en": "the of and in to a that was for with by is it on at from what how did which who when where why because unless how are be",
-    "de": "der die das und in den von zu mit dem des ist für wie was im bei war nach wer wann warum welcher weil aus ein eine zum nicht",
-    "fr": "le la les de des du et en un une que qui pour dans sur par est au quelle quel comment où pourquoi parce sous aux ce il à",
-    "es": "el la los las de del y en un una que por con para qué cuánto cómo dónde según al su porque bajo se es cuál quién",
-}
-
 #: Answers and citations that stand for nothing (fixed values).
 PLACEHOLDERS = set(
     "nan null none nil na n/a tbd tba todo undefined missing unknown placeholder answer antwort réponse reponse respuesta ответ 回答 答え".split()
@@ -54,8 +48,9 @@ DECLINING = re.compile(
     re.I,
 )
 
-#: A template recurs across at least so many documents and shares at most this part of its words with its prompts.
-TEMPLATE_DOCUMENTS, TEMPLATE_GROUNDING, TEMPLATE_WORDS = 3, 0.25, 4
+#: A template recurs across at least so many documents, shares at most this part of its words with its prompts, and in at most this part of
+#: its answers gives a number that the question doesn't have; such names are different ones in less than this part (who declines tells nothing).
+TEMPLATE_DOCUMENTS, TEMPLATE_GROUNDING, TEMPLATE_NUMBERS, TEMPLATE_NAMES, TEMPLATE_WORDS = 3, 0.25, 0.2, 0.5, 4
 
 #: Words of an opening, of a shingle, and the similarity that joins two openings.
 OPENING_WORDS, SHINGLE, SIMILAR = 16, 5, 0.8
@@ -66,13 +61,22 @@ BANDS, ROWS = 16, 4
 #: Share of sentence ends below which an unterminated answer broke off.
 ANSWER_END_SHARE = 0.25
 
-#: Log-odds by which another language must be likelier than the question's.
-LANGUAGE_MARGIN = 4.0
+#: Documents that must name a language before it is known (so that slips of the label aren't languages).
+LANGUAGE_DOCUMENTS = 20
+
+#: Buckets of the language statistics, letters of a feature, and the longest word that is a feature as a whole.
+BUCKETS, LETTERS, SHORT = 1 << 14, 3, 4
 
-#: Share of all words below which a language is too rare for its words to be known.
-LANGUAGE_SHARE = 0.002
+#: Features that a text must have, and log-odds by which a question's language must be the likeliest, and an answer's likelier than that.
+LANGUAGE_FEATURES, QUESTION_MARGIN, ANSWER_MARGIN = 3, 6.0, 20.0
 
+#: Rows of a MinHash bucket that are compared in one task.
+BUCKET_ROWS = 4096
+
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SILENT = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\u00ad]+")
+_STOP = re.compile(r"(?<=[.!?。！？])(?:\s|(?<=[。！？]))|\n")
+_WIDE = re.compile("[\u3040-ヿ一-鿿]")
 _TAG = re.compile(r"</?\w+\s*/?>")
 _LABEL = re.compile(r"^\s*(?:answer|antwort|réponse|respuesta|ответ|a)\s*[:：]\s*", re.I)
 
@@ -88,88 +92,97 @@ def nothing(text: str | None) -> bool:
     return plain in PLACEHOLDERS
 
 
-def language(text: str) -> str | None:
-    """Language by script, or by function words; none where they don't decide."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
-        return None
-    wide = sum("\u3040" <= c <= "ヿ" or "一" <= c <= "鿿" for c in letters)
-    if wide * 5 > len(letters):
-        return "ja"
-    if sum("Ѐ" <= c <= "ӿ" for c in letters) * 3 > len(letters):
-        return "ru"
-    score: Counter = Counter()
-    for w in words(text):
-        own = _OWNERS.get(w, ())
-        for lang in own:
-            score[lang] += 1 / len(own)
-    if "¿" in text or "ñ" in text:
-        score["es"] += 2
-    if "ß" in text:
-        score["de"] += 2
-    best = score.most_common(2)
-    if not best or (len(best) > 1 and best[0][1] < 1.2 * best[1][1] + 0.5):
-        return None
-    return best[0][0]
-
-
-_OWNERS: dict[str, list[str]] = {}
-for _lang, _list in FUNCTION_WORDS.items():
-    for _word in dict.fromkeys(_list.split()):
-        _OWNERS.setdefault(_word, []).append(_lang)
-LATIN = tuple(FUNCTION_WORDS)
-
-
-def word_languages(records: DataFrame) -> DataFrame:
-    """How often each lower-case word occurs in records of each language of Latin script, over all records."""
+def language_words(text: str) -> list[str]:
+    """The words that tell a language: those in small letters, in capitals throughout, or of scripts without case; names aren't."""
+    return [w.lower() for w in _LETTERS.findall(text) if w.islower() or (w.isupper() and len(w) > 1) or w.lower() == w.upper()]
+
+
+def features(word: str) -> list[int]:
+    """Buckets of a word: its runs of letters, and the word if it is short."""
+    marked = f" {word} "
+    crc = zlib.crc32
+    out = [crc(marked[i : i + LETTERS].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - LETTERS + 1)]
+    return out + [crc(word.encode("utf-8", "surrogatepass"), 1) % BUCKETS] * (len(word) <= SHORT)
+
+
+def language_counts(documents: DataFrame) -> DataFrame:
+    """(lang, bucket, n) over all documents that name their language; bucket -1 counts the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+
+        def add(seen: dict[str, Counter]) -> None:
+            for lang, words_ in seen.items():
+                own = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                for word, n in words_.items():
+                    for bucket in features(word):
+                        own[bucket] += n
+
+        seen: dict[str, Counter] = {}
         for batch in batches:
-            counts: Counter = Counter()
-            for question, answer in zip(*(c.to_pylist() for c in batch.columns)):
-                lang = language(question) if question else None
-                if lang in LATIN:
-                    for w in set(WORD.findall(f"{question} {answer or ''}")):
-                        if w.islower():
-                            counts[w, lang] += 1
-            pairs = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string()), pa.array([counts[p] for p in pairs], pa.int64())],
-                ["word", "lang", "n"],
-            )
-
-    return records.select("question", "self_answer").mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-
-
-def language_model(records: DataFrame) -> dict[str, list[float]]:
-    """Log-probability of each frequent word in each language; at most 2**16 words, as the bar rises with the total."""
-    wide = word_languages(records).groupBy("word").pivot("lang", list(LATIN)).agg(F.sum("n")).na.fill(0)
-    wide = cut_lineage(wide.withColumn("n", sum((F.col(x) for x in LATIN), F.lit(0))))
-    total = wide.agg(F.sum("n").alias("n")).first()["n"] or 0
-    table = wide.where(F.col("n") >= max(4, total >> 16)).toPandas()
-    sums = {x: float(table[x].sum()) for x in LATIN}
-    enough = {x: sums[x] > LANGUAGE_SHARE * sum(sums.values()) for x in LATIN}
-    log = lambda n, x: math.log((n + 0.1) / (sums[x] + 0.1 * len(table))) if enough[x] else -math.inf
-    return {r.word: [log(getattr(r, x), x) for x in LATIN] for r in table.itertuples()}
-
-
-def other_language(question_lang: str | None, answer: str, model: dict[str, list[float]]) -> bool:
-    """Whether the answer as a whole is in another language than the question's."""
-    if question_lang is None:
-        return False
-    if (own := language(answer)) in ("ja", "ru") or question_lang in ("ja", "ru"):
-        known = own is not None or any(w in model for w in words(answer))
-        return known and own != question_lang and len(units(answer)) > 2
-    scores = np.zeros(len(LATIN))
-    known = 0
-    for w in words(answer):
-        if w in model:
-            scores += model[w]
-            known += 1
-    if known < 3:
-        return False
-    own = scores[LATIN.index(question_lang)]
-    return bool(np.isfinite(own) and scores.max() - own > LANGUAGE_MARGIN)
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                seen.setdefault(lang, Counter()).update(language_words(text))
+                totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[BUCKETS] += 1
+            if sum(map(len, seen.values())) > 300_000:
+                add(seen)
+                seen = {}
+        add(seen)
+        for lang, own in totals.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at == BUCKETS, -1, at), pa.int32()), pa.array(own[at])], ["lang", "bucket", "n"])
+
+    named = documents.select("text", F.lower(F.regexp_extract("lang", "^[A-Za-z]+", 0)).alias("lang")).where("text IS NOT NULL AND lang NOT IN ('', 'und')")
+    return named.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+class Languages:
+    """Log-probability of each bucket in each language."""
+
+    def __init__(self, counts: dict[str, dict[int, int]]):
+        self.names = sorted(lang for lang, own in counts.items() if own.get(-1, 0) >= LANGUAGE_DOCUMENTS)
+        table = np.full((BUCKETS, len(self.names)), 0.5)
+        for k, lang in enumerate(self.names):
+            for bucket, n in counts[lang].items():
+                if bucket >= 0:
+                    table[bucket, k] += n
+        self.log = np.log(table / table.sum(axis=0)).astype(np.float32)
+        self.words: dict[str, tuple[np.ndarray, int]] = {}
+
+    @classmethod
+    def of(cls, documents: DataFrame) -> Languages:
+        counts: dict[str, dict[int, int]] = {}
+        kept = language_counts(documents)
+        known = kept.where((F.col("bucket") == -1) & (F.col("n") >= LANGUAGE_DOCUMENTS)).select("lang")
+        for r in kept.join(known, "lang", "left_semi").toLocalIterator():  # at most BUCKETS rows a language
+            counts.setdefault(r["lang"], {})[r["bucket"]] = r["n"]
+        return cls(counts)
+
+    def scores(self, text: str) -> tuple[np.ndarray, int]:
+        """Log-likelihood of a text in each language, and its number of features."""
+        if len(self.words) > 300_000:
+            self.words.clear()
+        total, n = np.zeros(len(self.names), np.float32), 0
+        for w in language_words(text):
+            known = self.words.get(w)
+            if known is None:
+                own = features(w)
+                known = self.words[w] = (self.log[own].sum(axis=0), len(own))
+            total += known[0]
+            n += known[1]
+        return total, n
+
+    def differ(self, question: str, answer: str) -> bool:
+        """Whether an answer as a whole is in another language than its question."""
+        if len(self.names) < 2:
+            return False
+        said, n = self.scores(answer)
+        if n < LANGUAGE_FEATURES:
+            return False
+        asked, n = self.scores(question)
+        own = int(asked.argmax())
+        if n < LANGUAGE_FEATURES or asked[own] - np.partition(asked, -2)[-2] <= QUESTION_MARGIN:
+            return False
+        return bool(said.max() - said[own] > ANSWER_MARGIN)
 
 
 def _alike(a: str, b: str) -> bool:
@@ -210,17 +223,28 @@ def grounding(answer: str, question: str | None, citations: list[str | None] | N
     return sum(w in around for w in said) / len(said) if said else 1.0
 
 
-def opening(answer: str) -> str | None:
-    """The first sentence's first words; none where it has names or numbers or is too short for a template."""
-    first = re.split(r"(?<=[.!?。！？])(?:\s|$)|\n", re.sub(r"\([^)]*\)", " ", answer).strip(), maxsplit=1)[0]
-    found = WORD.findall(first)[:OPENING_WORDS]
-    if re.search(r"[\u3040-ヿ一-鿿]", first) and not re.search(r"[A-Za-z0-9]", first):
-        found = list("".join(found))[:OPENING_WORDS]
-    if len(found) < TEMPLATE_WORDS or any(c.isdigit() for w in found for c in w):
-        return None
-    if not first.isupper() and any(w[0].isupper() and len(w) > 5 for w in found[1:]) and not re.search(r"\b(?:ich|nicht)\b", first):
-        return None
-    return " ".join(found).lower()
+def opening(answer: str, question: str | None = None) -> tuple[str | None, bool, list[str]]:
+    """The first words of an answer's first sentences, names and numbers masked; whether they give a number, and which names, that the question doesn't have.
+
+    None where there are too few words for a template.
+    """
+    found: list[str] = []
+    given: set[str] = set()
+    named: set[str] = set()
+    for sentence in _STOP.split(re.sub(r"\([^)]*\)", " ", answer).strip()):
+        own = WORD.findall(sentence)
+        if _WIDE.search(sentence) and not re.search(r"[A-Za-z0-9]", sentence):
+            own = list("".join(own))
+        given.update(w for w in own if w[0].isdigit())
+        loud = sentence.isupper()
+        named.update(w.lower() for w in own[1:] if not loud and w[0].isupper() and len(w) > 1)
+        found += ["#" if w[0].isdigit() else "N" if k and not loud and w[0].isupper() and len(w) > 1 else w.lower() for k, w in enumerate(own)]
+        if len(found) >= TEMPLATE_WORDS:
+            break
+    found = found[:OPENING_WORDS]
+    asked = set(words(question))
+    template = " ".join(found) if len(found) >= TEMPLATE_WORDS and any(w not in ("#", "N") for w in found) else None
+    return template, not given <= asked, sorted(named - asked)
 
 
 INSPECTED = T.StructType(
@@ -230,6 +254,8 @@ INSPECTED = T.StructType(
         T.StructField("defects", T.ArrayType(T.StringType())),
         T.StructField("opening", T.StringType()),
         T.StructField("grounding", T.DoubleType()),
+        T.StructField("tells", T.BooleanType()),
+        T.StructField("names", T.ArrayType(T.StringType())),
         T.StructField("declining", T.BooleanType()),
         T.StructField("state", T.StringType()),
         T.StructField("stopped", T.BooleanType()),
@@ -249,36 +275,26 @@ COLUMNS = ("question_id", "document_id", "question", "self_answer", "citations")
 WHOLE_UNITS = 7
 
 
-_NUMBER, _NAME = word_hashes("#")[0], word_hashes("N")[0]
+_NUMBER, _NAME, _WHOLE = (word_hashes(w)[0] for w in ("#", "N", "^"))
 
 
 def _whole_keys(found: list[str]) -> list[int]:
     """Keys of an answer's beginnings, names and numbers masked."""
-    out, so_far = [], 1
+    out, so_far = [], _WHOLE
     for w in found[:WHOLE_UNITS]:
         so_far = (so_far * _STEP + (_NUMBER if w[0].isdigit() else _NAME if w[0].isupper() else word_hashes(w)[0])) & _BITS
         out.append(so_far)
     return out
 
 
-def whole_counts(records: DataFrame) -> DataFrame:
-    """How often answers begin in each masked way, and how often that is their first sentence as a whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: Counter = Counter()
-            ends: Counter = Counter()
-            for answer in batch.column(0).to_pylist():
-                if answer and answer.strip():
-                    found = units(re.split(r"(?<=[.!?。])\s", answer.strip(), maxsplit=1)[0])
-                    keys = _whole_keys(found)
-                    total.update(keys)
-                    if keys and len(found) <= WHOLE_UNITS:
-                        ends[keys[-1]] += 1
-            columns = [list(total), [ends[k] for k in total], list(total.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "ends", "total"])
-
-    return records.select("self_answer").mapInArrow(run, "key long, ends long, total long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
+def count_answer(answer: str, ends: Counter, total: Counter) -> None:
+    """The counts of :func:`count_ends`, and how often answers begin in each masked way, and how often that is their first sentence as a whole."""
+    count_ends(answer, ends, total)
+    found = units(re.split(r"(?<=[.!?。])\s", answer.strip(), maxsplit=1)[0])
+    keys = _whole_keys(found)
+    total.update(keys)
+    if keys and len(found) <= WHOLE_UNITS:
+        ends[keys[-1]] += 1
 
 
 def answer_end(answer: str) -> tuple[str, list[int], int | None]:
@@ -297,9 +313,9 @@ def answer_end(answer: str) -> tuple[str, list[int], int | None]:
     return state, keys, tail
 
 
-def inspect(records: DataFrame, model: dict[str, list[float]]) -> DataFrame:
+def inspect(records: DataFrame, languages: Languages) -> DataFrame:
     """INSPECTED of every record: the defects seen in it alone, and what the others need."""
-    sent = records.sparkSession.sparkContext.broadcast(model)
+    sent = records.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -309,7 +325,7 @@ def inspect(records: DataFrame, model: dict[str, list[float]]) -> DataFrame:
                 defects = []
                 if not citations or all(nothing(c) for c in citations):
                     defects.append("no_citation")
-                first, ground, declining, state, keys, tail = None, 1.0, False, "whole", [], None
+                first, ground, tells, names, declining, state, keys, tail = None, 1.0, False, [], False, "whole", [], None
                 whole, pair, brief = None, None, False
                 if nothing(answer):
                     defects.append("empty_answer")
@@ -318,10 +334,10 @@ def inspect(records: DataFrame, model: dict[str, list[float]]) -> DataFrame:
                     if copies(question, answer):
                         defects.append("copied_question")
                     else:
-                        first = opening(answer)
+                        first, tells, names = opening(answer, question)
                         ground = grounding(answer, question, citations)
-                        declining = first is not None and DECLINING.search(answer) is not None
-                        if question and not declining and other_language(language(question), answer, known):
+                        declining = not tells and not names and DECLINING.search(answer) is not None
+                        if question and known.differ(question, answer):
                             defects.append("wrong_language")
                         if len(answer.strip()) > 4:
                             state, keys, tail = answer_end(answer)
@@ -333,11 +349,11 @@ def inspect(records: DataFrame, model: dict[str, list[float]]) -> DataFrame:
                                 whole = _whole_keys(found)[-1] if found else None
                             pair = keys[-2] if len(keys) > 1 else None
                             brief = bool(found) and found[-1].isalpha() and len(found[-1]) <= 3
-                row = (qid, doc, defects, first, ground, declining, state, state not in OPEN, keys, tail, whole, pair, brief)
+                row = (qid, doc, defects, first, ground, tells, names, declining, state, state not in OPEN, keys, tail, whole, pair, brief)
                 for column, value in zip(out, row):
                     column.append(value)
             texts, longs = pa.list_(pa.string()), pa.list_(pa.int64())
-            types = [pa.int64(), pa.string(), texts, pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.bool_(), longs, *[pa.int64()] * 3, pa.bool_()]
+            types = [pa.int64(), pa.string(), texts, pa.string(), pa.float64(), pa.bool_(), texts, pa.bool_(), pa.string(), pa.bool_(), longs, *[pa.int64()] * 3, pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], INSPECTED.names)
 
     return records.select(*COLUMNS).mapInArrow(run, INSPECTED)
@@ -358,13 +374,35 @@ def _bands(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) >> 1 for i, row in enumerate(least)]
 
 
+def _alike_openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition sorted by bucket, and the openings that no former one of their bucket is like, as (id, null, opening, band).
+
+    An opening is compared with the one before it and with those that stand for the others.
+    """
+    bucket, heads, last = None, [], None
+    for batch in batches:
+        out: list[tuple] = []
+        for i, text, band, salt in zip(*(c.to_pylist() for c in batch.columns)):
+            own = _shingles(text)
+            if (band, salt) != bucket:
+                bucket, heads, last = (band, salt), [], None
+            near = [j for j, other in ([last] if last else []) + heads if len(own & other) >= SIMILAR * len(own | other)]
+            out += [(min(i, j), max(i, j), None, None) for j in dict.fromkeys(near)]
+            if not any(j in near for j, _ in heads):
+                heads.append((i, own))
+                out.append((i, None, text, band))
+            last = (i, own)
+        columns = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["a", "b", "opening", "band"])
+
+
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster): openings joined by verified MinHash.
 
-    In each bucket every opening is compared with the bucket's smallest one, not with all others;
-    the links' components are the clusters. An opening without partner is its own cluster.
+    A bucket is gone through in parts of about ``BUCKET_ROWS`` rows, then the openings that stand for
+    their part are compared over the whole bucket; the links' components are the clusters. An
+    opening without partner is its own cluster.
     """
-    schema = "id long, opening string, band long"
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,34 +410,39 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["id", "opening", "band"])
 
+    schema = "a long, b long, opening string, band long"
     named = openings.select(F.xxhash64("opening").alias("id"), "opening").distinct()
-    buckets = named.mapInArrow(banded, schema)
-    heads = buckets.groupBy("band").agg(F.min_by(F.struct("id", "opening"), "id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(heads, "band").where("id <> head.id").select("id", "opening", F.col("head.id").alias("other"), F.col("head.opening").alias("other_opening")).distinct()
+    buckets = named.mapInArrow(banded, "id long, opening string, band long")
+    several = buckets.groupBy("band").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
+    parts = buckets.join(several, "band").select("id", "opening", "band", F.pmod(F.xxhash64("id", "band"), F.col("parts")).alias("salt"))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, a, j, b in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = _shingles(a), _shingles(b)
-                if len(x & y) >= SIMILAR * len(x | y):
-                    keep.append((min(i, j), max(i, j)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    roots = components(pairs.mapInArrow(verified, "a long, b long"))
+    def gone_through(rows: DataFrame) -> DataFrame:
+        return rows.repartition("band", "salt").sortWithinPartitions("band", "salt", "id").mapInArrow(_alike_openings, schema)
+
+    first = cut_lineage(gone_through(parts))
+    heads = first.where("b IS NULL").select(F.col("a").alias("id"), "opening", "band", F.lit(0).alias("salt"))
+    links = first.unionByName(gone_through(heads)).where("b IS NOT NULL").select("a", "b").distinct()
+    roots = components(links)
     return named.join(roots, "id", "left").select("opening", F.coalesce("root", "id").alias("cluster"))
 
 
 def refusal_openings(inspected: DataFrame) -> DataFrame:
-    """Openings of the clusters that are refusal templates, with the cluster's counts."""
-    seen = inspected.where("opening IS NOT NULL").groupBy("opening", "document_id").agg(F.count("*").alias("n"), F.sum("grounding").alias("g"))
+    """Openings of the clusters that are refusal templates, with the cluster's counts.
+
+    An answer in another language shares no words with its prompt, so it doesn't count for its template.
+    """
+    telling = inspected.where("opening IS NOT NULL AND NOT array_contains(defects, 'wrong_language')")
+    names = F.when(F.size("names") > 0, F.xxhash64("names")).alias("names")
+    seen = telling.groupBy("opening", "document_id", names).agg(F.count("*").alias("n"), F.sum("grounding").alias("g"), F.count_if("tells").alias("t"))
     seen = cut_lineage(seen)
     clusters = cut_lineage(opening_clusters(seen.select("opening").distinct()))
-    per = seen.join(clusters, "opening").groupBy("cluster", "document_id").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    share = lambda c, name: (c / F.sum("n")).alias(name)
+    shares = [share(F.sum("g"), "grounding"), share(F.sum("t"), "numbers"), share(F.countDistinct("names"), "names")]
     templates = (
-        per.groupBy("cluster")
-        .agg(F.count("*").alias("documents"), F.sum("n").alias("records"), (F.sum("g") / F.sum("n")).alias("grounding"))
-        .where((F.col("documents") >= TEMPLATE_DOCUMENTS) & (F.col("grounding") <= TEMPLATE_GROUNDING))
+        seen.join(clusters, "opening")
+        .groupBy("cluster")
+        .agg(F.countDistinct("document_id").alias("documents"), F.sum("n").alias("records"), *shares)
+        .where((F.col("documents") >= TEMPLATE_DOCUMENTS) & (F.col("grounding") <= TEMPLATE_GROUNDING) & (F.col("numbers") <= TEMPLATE_NUMBERS) & (F.col("names") < TEMPLATE_NAMES))
     )
     return clusters.join(templates, "cluster")
 
@@ -415,7 +458,7 @@ def _broken_off(inspected: DataFrame, records: DataFrame) -> DataFrame:
     keyed = unsure.select(*about, F.posexplode_outer("contexts").alias("rank", "key"))
     keyed = keyed.unionByName(single("tail", -1)).unionByName(single("pair", -2))
     answers = records.where(F.length("self_answer") > 4).select("self_answer")
-    counts = end_counts(answers)
+    counts = cut_lineage(end_counts(answers, count_answer))
     joined = keyed.join(counts, "key", "left")
     share = F.col("ends") / F.col("total")
     at = lambda rank, value: F.max(F.when(F.col("rank") == rank, F.coalesce(value, F.lit(0.0))))
@@ -427,7 +470,7 @@ def _broken_off(inspected: DataFrame, records: DataFrame) -> DataFrame:
         at(-2, F.col("total")).alias("pairs"),
     )
     usual = (
-        single("whole", 0).join(whole_counts(answers), "key").where((F.col("total") > 3) & ((F.col("ends") - 1) / (F.col("total") - 1) >= 0.5)).select("question_id", F.lit(True).alias("usual"))
+        single("whole", 0).join(counts, "key").where((F.col("total") > 3) & ((F.col("ends") - 1) / (F.col("total") - 1) >= 0.5)).select("question_id", F.lit(True).alias("usual"))
     )
     per = per.join(usual, "question_id", "left")
     unfinished = (F.col("state") != "name") & F.coalesce(F.col("ended") < ANSWER_END_SHARE, F.lit(False))
@@ -438,14 +481,14 @@ def _broken_off(inspected: DataFrame, records: DataFrame) -> DataFrame:
     return per.where(broken).select("question_id", F.lit("truncated_answer").alias("defect"))
 
 
-def defects(records: DataFrame) -> DataFrame:
-    """(question_id, defect): every defect of every record, once."""
+def defects(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """(question_id, defect): every defect of every record, once; ``documents`` has texts with their languages."""
     records = records.select(*COLUMNS)
-    inspected = cut_lineage(inspect(records, language_model(records)).dropDuplicates(["question_id"]))
+    inspected = cut_lineage(inspect(records, Languages.of(documents)).dropDuplicates(["question_id"]))
     alone = inspected.select("question_id", F.explode("defects").alias("defect"))
     templates = refusal_openings(inspected).select("opening", F.lit(True).alias("template"))
     refusing = (
-        inspected.where("opening IS NOT NULL")
+        inspected.where("NOT array_contains(defects, 'empty_answer') AND NOT array_contains(defects, 'copied_question')")
         .join(templates, "opening", "left")
         .where(F.coalesce("template", F.lit(False)) | (F.col("declining") & (F.col("grounding") <= TEMPLATE_GROUNDING)))
     )

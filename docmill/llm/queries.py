@@ -50,7 +50,7 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs with the name of each defect."""
-    return pairs.defects(question_rows(spark, sf_dir, *pairs.COLUMNS))
+    return pairs.defects(question_rows(spark, sf_dir, *pairs.COLUMNS), table(spark, sf_dir, "documents"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -222,31 +222,34 @@ def inspect(values: DataFrame) -> DataFrame:
 COUNTS = "key long, ends long, total long"
 
 
-def end_counts(texts: DataFrame) -> DataFrame:
-    """How often each context, and each ending of a word, was seen and was at the end of a sentence (or word)."""
+def count_ends(text: str, ends: Counter, total: Counter) -> None:
+    """Add to the counts how often each context, and each ending of a word, is in a text and ends a sentence (or word) there."""
+    sentences = [s for s in _SENTENCE.split(text) if s and s.strip()]
+    for k, sentence in enumerate(sentences):
+        stopped = sentence.rstrip(_CLOSING)[-1:] in _TERMINAL or bool(_ITEM.match(sentence) and k + 1 < len(sentences))
+        found = units(sentence)
+        for i in range(1, len(found) + stopped):
+            keys = contexts(last_words(found, i))
+            total.update(keys)
+            if i == len(found):
+                ends.update(keys)
+        for word in found[: len(found) if stopped else -1]:
+            if len(word) > 4 and word[0].isupper():
+                low = word.lower()
+                total.update(_key("t", low[j : j + 3]) for j in range(1, len(low) - 2))
+                ends[_key("t", low[-3:])] += 1
+
+
+def end_counts(texts: DataFrame, count: Callable[[str, Counter, Counter], None] = count_ends) -> DataFrame:
+    """(key, ends, total) of all texts, by ``count``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends: Counter = Counter()
             total: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                if _blank(text):
-                    continue
-                sentences = [s for s in _SENTENCE.split(text) if s and s.strip()]
-                for k, sentence in enumerate(sentences):
-                    stopped = sentence.rstrip(_CLOSING)[-1:] in _TERMINAL or bool(_ITEM.match(sentence) and k + 1 < len(sentences))
-                    found = units(sentence)
-                    for i in range(1, len(found) + stopped):
-                        at_end = i == len(found)
-                        keys = contexts(last_words(found, i))
-                        total.update(keys)
-                        if at_end:
-                            ends.update(keys)
-                    for word in found[: len(found) if stopped else -1]:
-                        if len(word) > 4 and word[0].isupper():
-                            low = word.lower()
-                            total.update(_key("t", low[j : j + 3]) for j in range(1, len(low) - 2))
-                            ends[_key("t", low[-3:])] += 1
+                if not _blank(text):
+                    count(text, ends, total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.int64()), pa.array([ends[k] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())],
                 ["key", "ends", "total"],

@@ -82,9 +82,68 @@ def test_copies():
     assert not pairs.copies(None, q)
 
 
-def test_languages():
-    assert [pairs.language(t) for t in ("what is it that the clerk had", "was hat der Müller mit dem Plan", "où est la carte dans le pont", "¿dónde está el mapa y por qué?", "где карта", "地図はどこ", "Xyz", "")] == [
-        "en", "de", "fr", "es", "ru", "ja", None, None]
+SAYINGS = {
+    "en": "the clerk counted every crate before noon and then went to the harbour because nobody had seen the old map",
+    "de": "der alte wirt hat jede kiste gezählt und ging dann zum hafen weil niemand die karte gesehen hat",
+    "fr": "le vieux meunier comptait chaque caisse avant midi puis allait au port parce que personne ne trouvait la carte",
+    "ru": "старый мельник считал каждый ящик до полудня и потом пошёл в порт потому что никто не видел карту",
+    "ja": "古い地図を見た人がいなかったので、係員は昼前に箱を数えてから港へ行った",
+}
+
+
+def labelled_documents(spark, copies=40):
+    rng = random.Random(2)
+    mixed = lambda t: " ".join(rng.sample(t.split(), len(t.split())))
+    rows = [(mixed(t), rng.choice([lang, lang.upper(), f"{lang}-XX"])) for lang, t in SAYINGS.items() for _ in range(copies)]
+    return spark.createDataFrame(rows + [("odd slip", "zz"), (None, "en"), ("no label", None), ("none", "und")], "text string, lang string")
+
+
+def test_languages_are_learned_and_names_tell_nothing(spark):
+    known = pairs.Languages.of(labelled_documents(spark))
+    assert known.names == sorted(SAYINGS)
+    for a, x in SAYINGS.items():
+        for b, y in SAYINGS.items():
+            assert known.differ(f"Rovpelkinlane: {x}?", f"Jorvapirdigg, {y}") == (a != b)
+    assert known.differ(SAYINGS["en"], SAYINGS["de"].upper())
+    for answer in ("Le Havre", "17", "Zürich (Kreis 4)", ""):
+        assert not known.differ(SAYINGS["en"], answer)
+    assert not pairs.Languages({}).differ("a b c", "d e f")
+
+
+def brute_clusters(openings):
+    root = {o: o for o in openings}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shingles = {o: pairs._shingles(o) for o in openings}
+    for a in openings:
+        for b in openings:
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                root[find(a)] = find(b)
+    return {o: find(o) for o in openings}
+
+
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_opening_clusters_recall_the_links_of_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(pairs, "BUCKET_ROWS", rows)
+    rng = random.Random(7)
+    bases = [[f"w{rng.randint(0, 300)}" for _ in range(16)] for _ in range(12)]
+    openings = {" ".join(b[: rng.randint(13, 16)]) for b in bases for _ in range(8)} | {" ".join([f"x{i}", *b[1:]]) for i, b in enumerate(bases)}
+    clusters = {r.opening: r.cluster for r in pairs.opening_clusters(spark.createDataFrame([(o,) for o in sorted(openings)], "opening string")).collect()}
+    expected = brute_clusters(sorted(openings))
+    together = [(a, b) for a in openings for b in openings if a < b and expected[a] == expected[b]]
+    assert sum(clusters[a] == clusters[b] for a, b in together) >= 0.98 * len(together)
+    assert all(expected[a] == expected[b] for a in openings for b in openings if clusters[a] == clusters[b])
+
+
+def test_openings_mask_names_and_numbers_and_take_short_sentences_together():
+    assert pairs.opening("I'm sorry. I can't help with that. Bye.")[0] == "i m sorry i can t help with that"
+    assert pairs.opening("I can not help with Rovpel or Dorn in 17", "Dorn in 17?") == ("i can not help with N or N in #", False, ["rovpel"])
+    assert pairs.opening("It moved 17 tonnes of Salt", "Salt in 18?") == ("it moved # tonnes of N", True, [])
+    assert pairs.opening("No.")[0] is None and pairs.opening("17 18 19 20")[0] is None
 
 
 def test_pair_defects(spark):
@@ -104,10 +163,11 @@ def test_pair_defects(spark):
         rows[k] = (*rows[k][:3], answer, *rows[k][4:])
     rows[14] = (*rows[14][:4], ["", None, "N/A"], 1)
     rows[15] = (15, "d15", None, "B", None, 1)
+    documents = spark.createDataFrame([(f"{q} {a}", "de" if i % 4 == 0 else "en") for i, _, q, a, *_ in rows[100:]], "text string, lang string")
     frame = spark.createDataFrame(rows + rows[:30], "question_id long, document_id string, question string, self_answer string, citations array<string>, defect int")
-    got = {(r.question_id, r.defect) for r in pairs.defects(frame).collect()}
+    got = {(r.question_id, r.defect) for r in pairs.defects(frame, documents).collect()}
     assert got == {(k, d) for k, (d, _) in bad.items()} | {(14, "no_citation"), (15, "no_citation")}
-    assert pairs.defects(frame.where("false")).count() == 0
+    assert pairs.defects(frame.where("false"), documents.where("false")).count() == 0
 
 
 def test_openings_cluster_by_verified_similarity(spark):
