@@ -71,6 +71,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitioned_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row of each ``key``, written once in its partitions, which later joins on it go on from without another shuffle.
+
+    An adaptive plan doesn't tell how its result is partitioned, so this one isn't.
+    """
+    conf = df.sparkSession.conf
+    former = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key]))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", former)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the written copy behind a table of :func:`cut_lineage` that nothing reads any more."""
     plan = df._jdf.queryExecution().logical()

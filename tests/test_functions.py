@@ -146,3 +146,12 @@ def test_written_intermediates_are_deleted_and_a_cluster_must_name_their_folder(
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Cluster)
+
+
+def test_written_tables_keep_their_partitioning(spark):
+    from docmill import session
+
+    written = session.partitioned_by(spark.createDataFrame([(i % 7, "x") for i in range(30)], "id long, t string"), "id")
+    assert sorted(r.id for r in written.collect()) == list(range(7))
+    plan = written.join(spark.range(5).hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
