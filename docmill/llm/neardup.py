@@ -29,13 +29,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docmill.llm.words import words
-from docmill.session import cut_lineage, discard
+from docmill.session import cut_lineage, discard, partitioned_by
 
 #: The threshold as a fraction.
 COMMON, ALL = 7, 10
 
-#: Buckets of the word-frequency sketch (1 MB when sent to the workers).
-BUCKETS = 1 << 18
+#: Buckets of the word-frequency sketch (4 MB when sent to the workers).
+BUCKETS = 1 << 20
 
 #: Rows of one tile of a block, or of a class of copies, that is cut.
 TILE_ROWS = 4096
@@ -55,6 +55,7 @@ SETS = T.StructType(
         T.StructField("low", T.LongType()),
         T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("alone", T.IntegerType()),
+        T.StructField("common", T.IntegerType()),
     ]
 )
 
@@ -78,7 +79,7 @@ def word_sketch(records: DataFrame) -> np.ndarray:
 
 
 def word_sets(records: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """SETS of each record: its words as hashes, rarest first, their parity signature, and how many of the first no other record can have."""
+    """SETS of each record: its words as hashes, rarest first, their parity signature, how many of the first no other record can have, and how many of the last a hot block can have."""
     sent = records.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +114,11 @@ def word_sets(records: DataFrame, sketch: np.ndarray) -> DataFrame:
                     _signed(signature & (2**64 - 1)),
                     array.view(np.int64)[rare],
                     int((often <= 1).sum()),
+                    int((often > TILE_ROWS).sum()),
                 )
                 for column, value in zip(out, row):
                     column.append(value)
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], SETS.names)
 
     return records.select("question_id", "question", "self_answer").mapInArrow(run, SETS)
@@ -233,12 +235,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, id, n, bits, high, low): a row per word of each class's prefix; words that no other record has are left out."""
+    """(token, id, n, bits, high, low, common): a row per word of each class's prefix, and whether its block may be hot; words that no other record has are left out."""
     least = F.floor((COMMON * F.col("n") + ALL - 1) / ALL)  # of its words a partner shares at least so many
     prefix = F.col("n") - least + 1 - F.col("alone")
     words = F.slice("words", F.col("alone") + 1, F.greatest(prefix, F.lit(0)).cast("int"))
     bits = (F.bit_count("high") + F.bit_count("low")).cast("int").alias("bits")
-    return classes.select(F.explode(words).alias("token"), "id", "n", bits, "high", "low")
+    each = classes.select(F.posexplode(words).alias("at", "token"), "id", "n", bits, "high", "low", "alone", "common")
+    return each.select("token", "id", "n", "bits", "high", "low", (F.col("at") + F.col("alone") >= F.col("n") - F.col("common")).alias("common"))
 
 
 def sent(df: DataFrame, rows: int) -> DataFrame:
@@ -251,8 +254,8 @@ def tiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A block's rows are ordered by size and population count; a cell is a run of rows equal in both.
     """
-    hot = rows.groupBy("token").count().where(F.col("count") > TILE_ROWS).select("token")
-    hot = cut_lineage(hot)
+    rows = rows.where("common")
+    hot = cut_lineage(rows.groupBy("token").count().where(F.col("count") > TILE_ROWS).select("token"))
     cells = rows.join(sent(hot, hot.count()), "token", "left_semi").groupBy("token", "n", "bits").count()
     before = Window.partitionBy("token").orderBy("n", "bits").rowsBetween(Window.unboundedPreceding, -1)  # over one row per cell
     cells = cut_lineage(cells.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))))
@@ -306,11 +309,9 @@ class NearDuplicates:
     """Classes of records with the same words, and the links between them."""
 
     def __init__(self, records: DataFrame):
-        spark = records.sparkSession
         records = records.select("question_id", "question", "self_answer")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # the one shuffle of the word sets: they stay partitioned by id, which confirms pairs without another
-        sets = cut_lineage(word_sets(records, word_sketch(records)).repartition(parts, "id").dropDuplicates(["id"]))
+        # the one shuffle of the word sets, which pairs are confirmed from without another
+        sets = partitioned_by(word_sets(records, word_sketch(records)), "id")
         first = sets.groupBy("same").agg(F.min("id").alias("rep"))
         #: (id, rep): each record's class, named by its smallest id.
         self.members = cut_lineage(sets.select("id", "same").join(first, "same").select("id", "rep"))

@@ -122,7 +122,7 @@ def test_many_copies_form_one_class(spark):
 def test_a_hot_word_gives_tiles_of_bounded_size_within_the_radius_only(spark):
     n, size = 200_000, 12 + 8 * (F.col("id") % 3)
     words = F.concat(F.array(F.lit(7).cast("long")), F.transform(F.sequence(F.lit(1), size.cast("int") - 1), lambda i: F.xxhash64("id", i)))
-    sized = spark.range(n).select("id", size.cast("int").alias("n"), F.xxhash64("id").alias("high"), F.xxhash64("id", F.lit(1)).alias("low"), words.alias("words"), F.lit(0).alias("alone"))
+    sized = spark.range(n).select("id", size.cast("int").alias("n"), F.xxhash64("id").alias("high"), F.xxhash64("id", F.lit(1)).alias("low"), words.alias("words"), F.lit(0).alias("alone"), size.cast("int").alias("common"))
     per = neardup.blocks(sized).where("token = 7").groupBy("first", "second").count().collect()
     most, written = max(r["count"] for r in per), sum(r["count"] for r in per)
     tiles = -(-n // neardup.TILE_ROWS)
