@@ -21,11 +21,33 @@ DIFFICULTY_WORDS = {"beginner": 2, "easy": 2, "intermediate": 5, "medium": 5, "a
 
 #: Fields with a column of their own; all others are custom fields (fixed values).
 STANDARD_FIELDS = (
-    "question answer self_answer thought_process reasoning explanation rationale thinking question_type self_assessed_question_type"
-    " estimated_difficulty difficulty complexity citations choices question_mode document_id chunk_id source_chunk_ids"
-    " additional_instructions generating_model raw_response original_question question_rewriting_model question_rewriting_rationale"
-    " raw_question_rewriting_response"
-).split()
+    "question",
+    "answer",
+    "self_answer",
+    "thought_process",
+    "reasoning",
+    "explanation",
+    "rationale",
+    "thinking",
+    "question_type",
+    "self_assessed_question_type",
+    "estimated_difficulty",
+    "difficulty",
+    "complexity",
+    "citations",
+    "choices",
+    "question_mode",
+    "document_id",
+    "chunk_id",
+    "source_chunk_ids",
+    "generating_model",
+    "raw_response",
+    "additional_instructions",
+    "original_question",
+    "question_rewriting_model",
+    "question_rewriting_rationale",
+    "raw_question_rewriting_response",
+)
 
 DEFAULT_DIFFICULTY, LEAST_DIFFICULTY, MOST_DIFFICULTY = 5, 1, 10
 
@@ -101,4 +123,4 @@ def text_list(item: Column, name: str) -> Column:
 def custom_fields(item: Column) -> Column:
     """Fields without a column of their own, as MAP<STRING, STRING>."""
     as_map = F.try_variant_get(item, "$", "map<string,string>")
-    return F.map_filter(as_map, lambda k, v: ~k.isin(STANDARD_FIELDS))
+    return F.map_filter(as_map, lambda k, v: ~k.isin(*STANDARD_FIELDS))

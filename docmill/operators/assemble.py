@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from docmill.functions.text import let
 from docmill.schemas import PREPARED
 
+#: Columns of the slim table in the order of its contract (fixed values).
 SLIM = (
-    "question ground_truth_answer question_category kind estimated_difficulty citations document_id chunk_ids question_generating_model choices gold_index gold_text"
-).split()
+    "question",
+    "ground_truth_answer",
+    "question_category",
+    "kind",
+    "estimated_difficulty",
+    "citations",
+    "document_id",
+    "chunk_ids",
+    "question_generating_model",
+    "choices",
+    "gold_index",
+    "gold_text",
+)
 
 
 def documents_once(chunked: DataFrame, order: Column | None = None) -> DataFrame:
@@ -109,11 +121,12 @@ def across_documents(questions: DataFrame, chunked: DataFrame) -> DataFrame:
     chunk lies, in the order of the ids, "" for a missing one; the document's text is "".
     """
     ids = F.filter(F.coalesce("source_chunk_ids", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != ""))
-    asked = questions.withColumn("_ids", ids).withColumn("_row", F.xxhash64("document_id", "question", "self_answer", "generating_model", "raw_response"))
-    wanted = asked.select("_row", F.posexplode("_ids").alias("n", "chunk_id"))
+    asked = questions.withColumn("_ids", ids)
+    lists = asked.select("_ids").distinct()  # what a row gets depends on its ids alone
+    wanted = lists.select("_ids", F.posexplode("_ids").alias("n", "chunk_id"))
     texts = chunked.select(F.inline("chunks")).where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max("chunk_text").alias("text"))
-    found = wanted.join(texts, "chunk_id", "left").groupBy("_row").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("t"))))).alias("c"))
-    joined = asked.join(found.select("_row", F.transform("c", lambda x: x["t"]).alias("_texts")), "_row", "left")
+    found = wanted.join(texts, "chunk_id", "left").groupBy("_ids").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("t")))).alias("c"))
+    joined = asked.join(found.select("_ids", F.transform("c", lambda x: x["t"]).alias("_texts")), "_ids", "left")
     index, text = gold(F.lower("question_mode"), F.col("self_answer"))
     empty = F.array().cast("array<string>")
     return joined.select(

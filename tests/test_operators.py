@@ -55,13 +55,26 @@ def test_sampling(spark):
 
 
 def test_unranking_is_colexicographic():
-    for n in range(9):
+    for n in range(15):
         for k in range(n + 1):
             colex = sorted(itertools.combinations(range(n), k), key=lambda c: c[::-1])
-            assert [tuple(crossdoc.unrank(n, k, r)) for r in range(comb(n, k))] == colex
-    for bad in ((4, 5, 0), (5, 2, -1), (5, 2, 10)):
+            assert [tuple(c) for c in crossdoc.combinations_at(range(comb(n, k)), n, k)] == colex
+    for n, k in ((10**6, 5), (3000, 9), (200, 200)):
+        ranks = [0, comb(n, k) - 1, comb(n, k) // 3, comb(n, k) // 2]
+        for rank, found in zip(ranks, crossdoc.combinations_at(ranks, n, k).tolist()):
+            assert found == sorted(set(found)) and found[-1] < n and sum(comb(p, i + 1) for i, p in enumerate(found)) == rank
+    for n, k, rank in ((4, 5, 0), (5, 2, -1), (5, 2, 10)):
         with pytest.raises(ValueError):
-            crossdoc.unrank(*bad)
+            crossdoc.combinations_at([rank], n, k)
+
+
+def test_cross_document_passages_follow_the_ids_of_their_row(spark):
+    chunked = frame(spark, [([("d_0", "zero"), ("d_1", "one")],)], "chunks array<struct<chunk_id: string, chunk_text: string>>")
+    rows = [("x", "q", ids) for ids in (["d_0"], ["d_1"], ["d_1", "gone", "", None, "d_0"], [], None, ["d_0"])]
+    schema = "document_id string, question string, source_chunk_ids array<string>, additional_instructions string, self_answer string, question_mode string, choices array<string>, self_assessed_question_type string, estimated_difficulty int, citations array<string>, generating_model string"
+    got = assemble.across_documents(frame(spark, [(*r, *[None] * 8) for r in rows], schema), chunked).select("chunk_ids", "chunks").collect()
+    expected = [(["d_0"], ["zero"])] * 2 + [(["d_1"], ["one"]), (["d_1", "gone", "d_0"], ["one", "", "zero"]), ([], []), ([], [])]
+    assert sorted((r.chunk_ids, r.chunks) for r in got) == sorted(expected)
 
 
 def test_ranks_and_quotas():

@@ -3,6 +3,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill import schemas
 from docmill.__main__ import main, stub
@@ -78,13 +79,35 @@ def test_prompts_and_schemas(tmp_path):
     assert prompts.load_prompt("", "summary") == prompts.SUMMARY and prompts.load_prompt("a\nb", "summary") == "a\nb" and prompts.load_prompt("short", "summary") == "short"
     schema = schema_prompt.default_schema("multi-choice")
     text = schema_prompt.system_prompt("X {schema_definition} Y {example_output} Z {critical_reminders}", schema)
-    assert '`answer` (one of: "A", "B", "C", "D")' in text and "min items: 4" in text and "`choices`" in text
-    assert json.loads(schema_prompt.example(schema))[0]["estimated_difficulty"] == 5
+    wanted = json.loads(text.split("```json")[1].split("```")[0])["items"]
+    assert wanted["properties"]["answer"]["enum"] == ["A", "B", "C", "D"] and wanted["properties"]["choices"]["minItems"] == 4 and "choices" in wanted["required"]
+    item = json.loads(text.split("Y <output_json>")[1].split("</output_json>")[0])[0]
+    assert 1 <= item["estimated_difficulty"] <= 10 and len(item["choices"]) == 4 and set(item) == set(schema.names)
     assert schema_prompt.system_prompt("plain", schema) == "plain"
     with pytest.raises(ValueError):
         schema_prompt.default_schema("x")
 
 
+def test_custom_schemas_come_from_files(tmp_path):
+    spark_types = T.StructType([T.StructField("question", T.StringType(), False, {"comment": "c"}), T.StructField("steps", T.ArrayType(T.LongType()), True, {"min_items": 2}), T.StructField("more", T.StructType([T.StructField("a", T.DoubleType())]))])
+    assert schema_prompt.spark_schema(schema_prompt.json_schema(spark_types)).simpleString() == spark_types.simpleString()
+    files = {
+        "a.json": json.dumps(schema_prompt.json_schema(spark_types)),
+        "b.json": spark_types.json(),
+        "c.py": "DataFormat = 'question string, steps array<bigint>, more struct<a: double>'",
+        "d.py": "class DataFormat:\n    @staticmethod\n    def model_json_schema():\n        return {'$ref': '#/$defs/Q', '$defs': {'Q': {'type': 'object', 'properties': {'question': {'type': 'string'},"
+        " 'steps': {'anyOf': [{'type': 'array', 'items': {'type': 'integer'}}, {'type': 'null'}]}, 'more': {'$ref': '#/$defs/M'}}}, 'M': {'type': 'object', 'properties': {'a': {'type': 'number'}}}}}",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+        assert schema_prompt.load_schema(str(tmp_path / name), "open-ended").simpleString() == spark_types.simpleString()
+    assert schema_prompt.load_schema(None, "open-ended") == schema_prompt.default_schema("open-ended")
+    (tmp_path / "e.py").write_text("x = 1")
+    for bad in ("e.py", "none.py"):
+        with pytest.raises(schema_prompt.SchemaError):
+            schema_prompt.load_schema(str(tmp_path / bad), "open-ended")
+
+
 def test_card_hides_secrets():
     made = config.parse({"model_list": [{"model_name": "m", "base_url": "http://x", "extra_parameters": {"k": "sk-abcdefghijkl"}}], "pipeline": {"chunking": {}}})
     text = card.render_card(made, "---\na: 1\ndataset_info:\n  x: 2\nb: 3\n---\nold")
