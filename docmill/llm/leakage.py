@@ -2,7 +2,9 @@
 
 Every task builds word-level suffix arrays over its shard of the corpus and binary-searches every
 suffix of the evaluation texts in them; a hit is grown to the longest verbatim match. The test
-side is searched in blocks of bounded size, so what a task receives never grows with the test set.
+side is searched in blocks of bounded size, one after another, while the corpus is read and cut
+into words once. Hits are grown ``PAIRS_TOGETHER`` at a time, so phrases that recur on both sides
+cost time but no memory.
 
 Suffixes that cannot reach the wanted length, because a word of theirs occurs in no evaluation
 text or their document ends first, are left out of the arrays: they could match nothing.
@@ -20,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,10 @@ MIN_WORDS = 18
 BLOCK_CHARS = 8_000_000
 
 #: Words of corpus text in one suffix array.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
+
+#: Pairs of positions that are grown together.
+PAIRS_TOGETHER = 1 << 20
 
 SCHEMA = T.StructType(
     [
@@ -149,16 +155,19 @@ class ShardSearch:
         if not len(array) or not len(self.at):
             return [[] for _ in SCHEMA]
         low, high = search(array_keys, self.wanted, False), search(array_keys, self.wanted, True)
-        counts = high - low
-        t = np.repeat(self.at, counts)
-        c = array[np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
-        size = grown(stream, self.test.stream, c, t, self.length)
-        doc, text = np.searchsorted(starts, c, "right") - 1, self.test.owner[t]
-        order = np.lexsort([c, -size, text, doc])
-        doc, text, c, t, size = (x[order] for x in (doc, text, c, t, size))
-        first = np.ones(len(doc), bool)
-        first[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-        doc, text, c, t, size = (x[first] for x in (doc, text, c, t, size))
+        hit = np.flatnonzero(high > low)
+        counts = (high - low)[hit]
+        before = np.cumsum(counts) - counts
+        cuts = np.unique(np.searchsorted(before, np.arange(0, counts.sum(), PAIRS_TOGETHER)))
+        best = np.empty((5, 0), np.int64)
+        for part in np.split(np.arange(len(hit)), cuts[1:]):
+            own, n = hit[part], counts[part]
+            t = np.repeat(self.at[own], n)
+            c = array[np.repeat(low[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            size = grown(stream, self.test.stream, c, t, self.length)
+            found = np.stack([np.searchsorted(starts, c, "right") - 1, self.test.owner[t], c, t, size])
+            best = longest(np.concatenate([best, found], axis=1))
+        doc, text, c, t, size = best
         return [
             [doc_ids[d] for d in doc],
             self.test.item[text].tolist(),
@@ -169,21 +178,41 @@ class ShardSearch:
         ]
 
 
-def _pass(docs: DataFrame, rows: list[tuple[int, str, str]], length: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast(rows)
+def longest(found: np.ndarray) -> np.ndarray:
+    """Of columns (document, text, corpus position, test position, words) the longest of each document and text, the first of equals."""
+    doc, text, c, _, size = found
+    found = found[:, np.lexsort([c, -size, text, doc])]
+    first = np.ones(found.shape[1], bool)
+    first[1:] = (found[:2, 1:] != found[:2, :-1]).any(axis=0)
+    return found[:, first]
+
+
+def _pass(docs: DataFrame, blocks: list[Broadcast], length: int) -> DataFrame:
+    """SCHEMA of the matches of every document with the texts of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = TestTexts.of(block.value)
-        shard = ShardSearch(test, length)
-        number = test.vocabulary.get
+        kept: list[ShardSearch] = []  # of a lone block, which every shard meets
+
+        def searches() -> Iterator[ShardSearch]:
+            if kept:
+                yield kept[0]
+                return
+            for block in blocks:
+                search_ = ShardSearch(TestTexts.of(block.value), length)
+                if len(blocks) == 1:
+                    kept.append(search_)
+                yield search_
+
         ids: list[int] = []
-        streams: list[np.ndarray] = []
+        texts: list[list[str]] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            columns = shard.matches(ids, streams)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], SCHEMA.names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for shard in searches():
+                number = shard.test.vocabulary.get
+                columns = shard.matches(ids, [np.array([*map(number, found, repeat(0)), 0], np.int64) for found in texts])
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], SCHEMA.names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -191,13 +220,13 @@ def _pass(docs: DataFrame, rows: list[tuple[int, str, str]], length: int) -> Dat
                 if len(found) < length:
                     continue
                 ids.append(doc_id)
-                streams.append(np.array([*map(number, found, repeat(0)), 0], np.int64))
+                texts.append(found)
                 held += len(found)
                 if held >= SHARD_WORDS:
-                    yield flush()
-                    ids, streams, held = [], [], 0
+                    yield from flush()
+                    ids, texts, held = [], [], 0
         if ids:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -213,13 +242,12 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = MIN_WORDS, block_char
     ).where(F.length("text") > 0)
     chars = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-chars // block_chars) or 1
-    out = None
-    for b in range(blocks):
+    context = docs.sparkSession.sparkContext
+    sent = []
+    for b in range(blocks):  # the driver holds one block at a time
         block = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("item_id", "field"), F.lit(blocks)) == b)
-        rows = [(r.item_id, r.field, r.text) for r in block.collect()]
-        part = _pass(docs.select("doc_id", "text"), rows, length)
-        out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["doc_id", "item_id", "field"])
+        sent.append(context.broadcast([(r.item_id, r.field, r.text) for r in block.toLocalIterator()]))
+    return _pass(docs.select("doc_id", "text"), sent, length).dropDuplicates(["doc_id", "item_id", "field"])
 
 
 def leaked_documents(matches: DataFrame) -> DataFrame:

@@ -355,11 +355,11 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id")
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("statement", T.StringType())])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("statement", T.StringType())])
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every document with its score and its worst statement."""
+    """Every document with its source, its score and its worst statement."""
     rows = sorted(((r.doc_id, r.text, r.verdict) for r in labelled(documents, labels).collect()), key=lambda r: r[0])
     model = fit([r[1] for r in rows], [r[2] for r in rows])
     sent = documents.sparkSession.sparkContext.broadcast(model)
@@ -369,14 +369,14 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         gc.disable()  # nothing here forms cycles, and the collector would walk the scorer's memory again and again
         try:
             for batch in batches:
-                found = [scorer.score(t) for t in batch.column(1).to_pylist()]
+                found = [scorer.score(t) for t in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([w if s > THRESHOLD else None for s, w in found], pa.string())], SCHEMA.names
+                    [*batch.columns[:2], pa.array([s for s, _ in found], pa.float64()), pa.array([w if s > THRESHOLD else None for s, w in found], pa.string())], SCHEMA.names
                 )
         finally:
             gc.enable()
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", "source", "text").mapInArrow(run, SCHEMA)
 
 
 def named(scores: DataFrame) -> DataFrame:
@@ -384,8 +384,13 @@ def named(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("score") > THRESHOLD).select("doc_id").distinct()
 
 
-def rates(documents: DataFrame, scores: DataFrame) -> DataFrame:
+def once(scores: DataFrame) -> DataFrame:
+    """The scores with one row per document; rows of a redelivered document are equal."""
+    return scores.dropDuplicates(["doc_id"])
+
+
+def rates(scores: DataFrame) -> DataFrame:
     """Number and share of offending documents per source."""
-    joined = documents.select("doc_id", "source").join(scores.select("doc_id", "score"), "doc_id")
     bad = F.count_if(F.col("score") > THRESHOLD)
-    return joined.groupBy("source").agg(F.count("*").alias("documents"), bad.alias("offending"), (bad / F.count("*")).alias("share"))
+    per = once(scores.select("doc_id", "source", "score")).groupBy("source")
+    return per.agg(F.count("*").alias("documents"), bad.alias("offending"), (bad / F.count("*")).alias("share"))

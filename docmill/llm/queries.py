@@ -48,6 +48,11 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(_truncation(spark, sf_dir))
 
 
+def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths at which a model's values pile up, with the values that end there."""
+    return truncation.limits(_truncation(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs with the name of each defect."""
     return pairs.defects(question_rows(spark, sf_dir, *pairs.COLUMNS), table(spark, sf_dir, "documents"))
@@ -64,6 +69,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(splitting.chunked_items(table(spark, sf_dir, "chunked")))
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized item put together again from its pieces, with the bounds that these keep."""
+    whole = splitting.restored(p3_pieces(spark, sf_dir))
+    limit = F.when(F.col("field") == "document_text", splitting.DOCUMENT_LIMIT).otherwise(splitting.CHUNK_LIMIT)
+    least, most = splitting.OVERLAP
+    return whole.select("field", "item_id", "text_hash", (F.col("longest") <= limit).alias("fits"), ((F.col("least_overlap") >= least) & (F.col("most_overlap") <= most)).alias("overlaps"))
+
+
 def _page_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagenoise.repaired(table(spark, sf_dir, "chunked").select("document_id", F.col("document_text").alias("text")))
 
@@ -97,6 +110,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text from its ids, and where the last id ends."""
+    spans = encoding.encode_with_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
+    end = F.coalesce(F.array_max("ends"), F.lit(0)).cast("long")
+    return spans.select("doc_id", F.md5(encoding.decode_ids(F.col("ids"), "byte_bpe_50k")).alias("text_hash"), end.alias("characters"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -108,12 +128,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked evaluation items with their number of documents."""
-    return leakage.leaked_items(_leaks(spark, sf_dir))
+    return leakage.leaked_items(_leaks(spark, sf_dir)).select("item_id", "documents")
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that contain no evaluation item."""
-    return leakage.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+    """The documents that contain no evaluation item, with the hash of their text."""
+    clean = leakage.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+    return clean.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
 def _offence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,19 +148,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, with the statement that made it."""
-    return _offence(spark, sf_dir)
+    return offence.once(_offence(spark, sf_dir)).select("doc_id", "score", "statement")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of offending documents per source."""
-    return offence.rates(table(spark, sf_dir, "documents"), _offence(spark, sf_dir))
+    return offence.rates(_offence(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
     registered = (
-        p1_found, p1_rates, p2_found, p3_found, p3_pieces, p4_found, p4_repaired, p5_found,
-        p5_groups, p6_ids, p7_found, p7_items, p7_clean, p8_found, p8_scores, p8_rates,
+        p1_found, p1_rates, p1_limits, p2_found, p3_found, p3_pieces, p3_restored, p4_found, p4_repaired, p5_found,
+        p5_groups, p6_ids, p6_text, p7_found, p7_items, p7_clean, p8_found, p8_scores, p8_rates,
     )
     return {f.__name__: f for f in registered}
 
@@ -152,6 +173,27 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT DISTINCT 'chunk_text', c.chunk_id FROM (SELECT unnest(chunks) AS c FROM chunked) WHERE length(c.chunk_text) > 1200
         """,
+        "p3_restored": """
+            SELECT DISTINCT 'document_text' AS field, document_id AS item_id, md5(document_text) AS text_hash, true AS fits, true AS overlaps FROM chunked WHERE length(document_text) > 4000
+            UNION
+            SELECT DISTINCT 'chunk_text', c.chunk_id, md5(c.chunk_text), true, true FROM (SELECT unnest(chunks) AS c FROM chunked) WHERE length(c.chunk_text) > 1200
+        """,
+        "p6_text": "SELECT doc_id, md5(coalesce(text, '')) AS text_hash, length(coalesce(text, '')) AS characters FROM documents",
+        "p7_items": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+            i AS (SELECT item_id, regexp_extract_all(lower(unnest([passage, question])), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            g AS (SELECT item_id, unnest(generate_series(1, len(w) - 17)) AS s, w FROM i),
+            dg AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 17], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 17)) AS s FROM d)),
+            hit AS (SELECT DISTINCT doc_id, item_id FROM g JOIN dg ON dg.g = array_to_string(g.w[g.s : g.s + 17], ' '))
+            SELECT item_id, count(DISTINCT doc_id) AS documents FROM hit GROUP BY item_id
+        """,
+        "p7_clean": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+            i AS (SELECT regexp_extract_all(lower(unnest([passage, question])), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            dg AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 17], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 17)) AS s FROM d)),
+            ig AS (SELECT DISTINCT array_to_string(w[s : s + 17], ' ') AS g FROM (SELECT w, unnest(generate_series(1, len(w) - 17)) AS s FROM i))
+            SELECT doc_id, md5(coalesce(text, '')) AS text_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN ig USING (g))
+        """,
         "p7_found": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id, regexp_extract_all(lower(unnest([passage, question])), '[\p{L}\p{N}]+') AS w FROM eval_items),

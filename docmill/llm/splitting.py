@@ -148,3 +148,14 @@ def chunked_items(chunked: DataFrame, document_limit: int = DOCUMENT_LIMIT, chun
         F.lit("chunk_text").alias("field"), F.col("c.chunk_id").alias("item_id"), F.col("c.chunk_text").alias("text"), F.lit(chunk_limit).alias("limit")
     )
     return documents.unionByName(chunks)
+
+
+def restored(pieces: DataFrame) -> DataFrame:
+    """(field, item_id, text_hash, longest, least_overlap, most_overlap): each item put together again from its pieces' own parts."""
+    own = F.struct("piece", F.substring("text", F.col("own_start") - F.col("start") + 1, F.length("text")).alias("t"))
+    shared = F.when(F.col("piece") > 0, F.col("own_start") - F.col("start"))
+    grouped = pieces.groupBy("field", "item_id").agg(
+        F.array_sort(F.collect_list(own)).alias("p"), F.max(F.length("text")).alias("longest"), F.min(shared).alias("least_overlap"), F.max(shared).alias("most_overlap")
+    )
+    text = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    return grouped.select("field", "item_id", F.md5(text).alias("text_hash"), "longest", "least_overlap", "most_overlap")

@@ -283,7 +283,11 @@ def _decided(state: Column, spike: Column, ended: Column, named: Column) -> Colu
 
 
 def verdicts(values: DataFrame) -> DataFrame:
-    """Each value with content and whether it is cut: field, record_id, source, chars, bytes, cut."""
+    """Each value with content, whether it is cut, and by what evidence: field, record_id, source, chars, bytes, cut, evidence, and whether it ends at a spike.
+
+    A value without terminal punctuation (or a closed list) at the length of a spike is cut, whatever
+    else its end looks like; only where no limit tells do its structure and its last words decide.
+    """
     inspected = cut_lineage(inspect(values).dropDuplicates(["field", "record_id"]))
     at = cut_lineage(spikes(inspected))
     same = lambda unit: (at.where(F.col("unit") == unit).select("field", "source", F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}")))
@@ -304,10 +308,23 @@ def verdicts(values: DataFrame) -> DataFrame:
         on = (joined["field"] == other["field"]) & joined["source"].eqNullSafe(other["source"]) & (joined[unit] == other[unit])
         joined = joined.join(other, on, "left").select(joined["*"], other[f"at_{unit}"])
     spike = F.coalesce("at_chars", "at_bytes", F.lit(False))
-    return joined.withColumn("cut", _decided(F.col("state"), spike, F.col("ended"), F.col("named")))
+    return joined.withColumn("cut", _decided(F.col("state"), spike, F.col("ended"), F.col("named"))).withColumn("evidence", _evidence(F.col("cut"), spike, F.col("state")))
+
+
+def _evidence(cut: Column, spike: Column, state: Column) -> Column:
+    """What decided that a value is cut: the limit at which it ends, else the structure left open, else how sentences end; none of a whole one."""
+    return F.when(~cut, None).when(spike, "limit").when(state == "cut", "structure").otherwise("ending")
 
 
 def rates(judged: DataFrame) -> DataFrame:
-    """Number and share of cut values per field and source."""
+    """Number and share of cut values per field and source, and how many of them each evidence decided."""
     cut = F.count_if(F.col("cut"))
-    return judged.groupBy("field", "source").agg(F.count("*").alias("records"), cut.alias("truncated"), (cut / F.count("*")).alias("share"))
+    evidence = [F.count_if(F.col("evidence") == e).alias(f"by_{e}") for e in ("limit", "structure", "ending")]
+    return judged.groupBy("field", "source").agg(F.count("*").alias("records"), cut.alias("truncated"), (cut / F.count("*")).alias("share"), *evidence)
+
+
+def limits(judged: DataFrame) -> DataFrame:
+    """The spikes of each field and source: the limit in characters or bytes, how many values end at it, and how many of them lack their end."""
+    at = F.expr("stack(2, 'chars', chars, at_chars, 'bytes', bytes, at_bytes) AS (unit, length, at)")
+    ends = judged.select("field", "source", "cut", at).where("at").groupBy("field", "source", "unit", "length")
+    return ends.agg(F.count("*").alias("records"), F.count_if("cut").alias("truncated"))

@@ -189,6 +189,7 @@ def brute_leaks(docs, items, n):
 @pytest.mark.parametrize("block_chars", [10_000, 60])
 def test_leaks_match_brute_force(spark, monkeypatch, block_chars):
     monkeypatch.setattr(leakage, "SHARD_WORDS", 100)
+    monkeypatch.setattr(leakage, "PAIRS_TOGETHER", 13)
     rng = random.Random(2)
     text = lambda k: " ".join(rng.choice("aa bb cc dd").capitalize() for _ in range(k))
     items = [(i, text(12), text(3)) for i in range(6)] + [(7, None, "")]

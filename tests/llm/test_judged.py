@@ -56,6 +56,18 @@ def test_truncation_finds_cut_summaries_only(spark):
     assert truncation.verdicts(values.where("false")).count() == 0
 
 
+def test_limits_decide_where_there_are_any(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(("oak", "birch", "alder", "rowan")) for _ in range(n // 3))[: n - 1]
+    rows = [("document_summary", f"w{i}", "m", text(rng.randint(200, 800)) + ".") for i in range(300)]
+    rows += [("document_summary", f"c{i}", "m", text(400) + "x") for i in range(25)] + [("document_summary", f"s{i}", "m", text(400) + ".") for i in range(5)]
+    judged = truncation.verdicts(spark.createDataFrame(rows, "field string, record_id string, source string, text string")).cache()
+    by = {r.record_id: r.evidence for r in judged.where("cut").collect()}
+    assert by == {f"c{i}": "limit" for i in range(25)}
+    assert {(r.unit, r.length, r.records >= 30, r.truncated) for r in truncation.limits(judged).collect()} == {(u, 400, True, 25) for u in ("chars", "bytes")}
+    assert [(r.truncated, r.by_limit, r.by_ending) for r in truncation.rates(judged).collect()] == [(25, 25, 0)]
+
+
 def test_spikes_stand_out(spark):
     lengths = [*range(300, 500), *[400] * 30]
     rows = [("f", str(i), "m", n, n, "whole", [], None) for i, n in enumerate(lengths)]
@@ -382,7 +394,7 @@ def test_offence_frames(spark):
     found = {r.doc_id for r in offence.named(scores).collect()}
     truth = {d for d, _, _, y in docs if y}
     assert len(found & truth) >= 0.9 * len(truth) and len(found - truth) <= 0.1 * len(truth)
-    assert sum(r.documents for r in offence.rates(documents, scores).collect()) == len(docs)
+    assert sum(r.documents for r in offence.rates(scores).collect()) == len(docs)
     nothing = offence.scored(documents, labels.where("abusive = 0"))
     assert nothing.where("score > 0.5").count() == 0
     assert offence.scored(documents.where("false"), labels).count() == 0
