@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run", help="run the stages of a configuration")
     run.add_argument("config")
-    run.add_argument("--provider", default="stub", help="module:function that answers a call, or stub")
+    run.add_argument("--provider", default="http", help="http, module:function that answers a call, or stub, which needs no model")
     run.add_argument("--debug", action="store_true")
     commands.add_parser("version", help="print the version")
     chosen = parser.parse_args(argv)
@@ -40,6 +40,10 @@ def provider(name: str):
     """The provider with this name."""
     if name == "stub":
         return stub
+    if name == "http":
+        from docmill.sources.chat import HttpChat
+
+        return HttpChat()
     import importlib
 
     module, _, function = name.partition(":")

@@ -63,6 +63,12 @@ def gold(mode: Column, answer: Column) -> tuple[Column, Column]:
     return F.when(multi & index.isNotNull(), F.array(index)).otherwise(none), F.when(multi, F.array().cast("array<string>")).otherwise(F.array(text))
 
 
+def custom_fields(questions: DataFrame) -> Column:
+    """The fields of a custom output schema, none where the table has no such column."""
+    name = "custom_fields"
+    return F.col(name) if name in questions.columns else F.lit(None).cast("map<string,string>").alias(name)
+
+
 def records(questions: DataFrame, kind: str, documents: DataFrame, mode: Column) -> DataFrame:
     """Questions of one kind in the schema of the evaluation table.
 
@@ -91,6 +97,7 @@ def records(questions: DataFrame, kind: str, documents: DataFrame, mode: Column)
         chunk_texts(F.col("_ids"), F.col("_chunks"), keep_missing=not single).alias("chunks"),
         F.coalesce("_text", F.lit("")).alias("document"),
         F.coalesce("_summary", F.lit("")).alias("document_summary"),
+        custom_fields(questions),
     )
 
 
@@ -146,4 +153,5 @@ def across_documents(questions: DataFrame, chunked: DataFrame) -> DataFrame:
         F.coalesce("_texts", empty).alias("chunks"),
         F.lit("").alias("document"),
         F.lit("").alias("document_summary"),
+        custom_fields(questions),
     )

@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.tokens import message_tokens, token_count
+
 TIMEOUT_SECONDS = 300.0
 ATTEMPTS = 12
 
 
 @dataclass(frozen=True)
 class Model:
-    """A model's address; its key is read from the environment where the call is made, never kept in a table."""
+    """A model's address; its key is read from the environment where the call is made (or given outright), never kept in a table."""
 
     name: str
     base_url: str | None = None
@@ -32,6 +34,9 @@ class Model:
     concurrency: int = 32
     encoding: str = "word"
     extra: dict = field(default_factory=dict)
+    provider: str | None = None
+    bill_to: str | None = None
+    api_key: str | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         if self.concurrency < 1:
@@ -39,7 +44,11 @@ class Model:
 
 
 class Provider(Protocol):
-    """Answers one call or raises."""
+    """Answers one call or raises.
+
+    A provider that also has ``chat(model, messages, image)`` is given the whole chat, and the image
+    of a call that has one, instead of the prompt.
+    """
 
     def __call__(self, model: Model, prompt: str) -> str: ...
 
@@ -82,12 +91,18 @@ RESULT = T.StructType(
 )
 
 
-def ask(provider: Provider, model: Model, prompt: str, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple:
-    """One call with exponential pauses between attempts; the last error stays with the row."""
+def ask(provider: Provider, model: Model, call: dict | str, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple:
+    """One call (its prompt, and where there are any its messages and image) with exponential pauses between attempts; the last error stays with the row."""
+    call = {"prompt": call} if isinstance(call, str) else call
     began, kind, message = time.monotonic(), None, None
+    chat = getattr(provider, "chat", None)
     for attempt in range(attempts):
         try:
-            answer = provider(model, prompt)
+            if chat is not None:
+                turns = [m.asDict() if hasattr(m, "asDict") else dict(m) for m in call.get("messages", ())] or [{"role": "user", "content": call["prompt"]}]
+                answer = chat(model, turns, call.get("image"))
+            else:
+                answer = provider(model, call["prompt"])
             return answer, True, attempt + 1, time.monotonic() - began, None, None
         except Exception as e:  # noqa: BLE001 - whatever a provider raises is recorded
             kind, message = type(e).__name__, str(e)
@@ -96,27 +111,56 @@ def ask(provider: Provider, model: Model, prompt: str, attempts: int = ATTEMPTS,
     return "", False, attempts, time.monotonic() - began, kind, message
 
 
+def shares(concurrency: int, tasks: int) -> tuple[int, int]:
+    """Tasks that call a model, and threads of each, so that no more than ``concurrency`` calls are under way anywhere."""
+    used = max(1, min(concurrency, tasks))
+    return used, max(1, concurrency // used)
+
+
 def answers(calls: DataFrame, models: list[Model], provider: Provider, attempts: int = ATTEMPTS, tasks: int = 1) -> DataFrame:
-    """``calls`` (with a prompt) times ``models``, each with its answer and how it went.
+    """``calls`` (with a prompt, and maybe messages and an image) times ``models``, each with its answer and how it went.
 
-    ``tasks`` is the number of tasks that run at once; a model's concurrency is shared among them.
+    ``tasks`` is the number of tasks that run at once. The calls of a model are dealt out over no
+    more tasks than it may have calls under way, so its concurrency holds for the whole cluster.
     """
-    matrix = call_matrix(calls, models)
-    by_name = {m.name: m for m in models}
-    schema = T.StructType([*matrix.schema.fields, *RESULT.fields])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            outcome: dict[int, tuple] = {}
-            for name, group in frame.groupby("model_name"):
-                model = by_name[name]
-                with ThreadPoolExecutor(max(1, model.concurrency // max(1, tasks))) as pool:
-                    jobs = {i: pool.submit(ask, provider, model, p, attempts) for i, p in group["prompt"].items()}
-                    outcome |= {i: job.result() for i, job in jobs.items()}
-            result = pd.DataFrame([outcome[i] for i in frame.index], columns=RESULT.names, index=frame.index)
-            yield pd.concat([frame, result], axis=1)
-
-    return matrix.mapInPandas(run, schema)
+    parts = []
+    for order, model in enumerate(models):
+        matrix = calls.select("*", F.lit(order).alias("model_order"), F.lit(model.name).alias("model_name"))
+        used, threads = shares(model.concurrency, tasks)
+
+        def run(frames: Iterator[pd.DataFrame], model: Model = model, threads: int = threads) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(threads) as pool:
+                for frame in frames:
+                    sent = [{k: row[k] for k in ("prompt", "messages", "image") if k in row and row[k] is not None} for row in frame.to_dict("records")]
+                    outcome = list(pool.map(lambda call: ask(provider, model, call, attempts), sent))
+                    yield pd.concat([frame, pd.DataFrame(outcome, columns=RESULT.names, index=frame.index)], axis=1)
+
+        schema = T.StructType([*matrix.schema.fields, *RESULT.fields])
+        parts.append(matrix.repartition(used).mapInPandas(run, schema))
+    if not parts:
+        return call_matrix(calls, []).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in RESULT])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def counted(results: DataFrame, models: list[Model], stage: str) -> DataFrame:
+    """A row per call for the log: logged_at, model_name, stage, input_tokens, output_tokens, encoding_used.
+
+    Tokens are counted by each model's own encoding, those of a failed call's answer being 0.
+    """
+    turn = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
+    chat = F.col("messages") if "messages" in results.columns else F.array(turn)
+    spent, made, used = F.lit(0), F.lit(0), F.lit(None).cast("string")
+    for model in models:
+        own = F.col("model_name") == model.name
+        spent = F.when(own, message_tokens(chat, model.encoding)).otherwise(spent)
+        made = F.when(own, token_count("response", model.encoding)).otherwise(made)
+        used = F.when(own, model.encoding).otherwise(used)
+    return results.select(
+        F.current_timestamp().alias("logged_at"), "model_name", F.lit(stage).alias("stage"), spent.cast("long").alias("input_tokens"), made.cast("long").alias("output_tokens"), used.alias("encoding_used")
+    )
 
 
 def stub_response(subject: Column, model_name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Schema of the log of calls.
+LOG = "logged_at timestamp, model_name string, stage string, input_tokens long, output_tokens long, encoding_used string"
 CALL_COLUMNS = ("logged_at", "model_name", "stage", "input_tokens", "output_tokens", "encoding_used")
 
 

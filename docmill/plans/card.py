@@ -10,7 +10,7 @@ from docmill.plans.config import Config, as_mapping
 
 #: What looks like a secret (fixed patterns).
 SECRETS = (re.compile(r"\bsk-[A-Za-z0-9_-]{8,}"), re.compile(r"\bhf_[A-Za-z0-9]{8,}"))
-PRIVATE = {"api_key", "key_variable", "organization", "token", "base_url"}
+PRIVATE = {"api_key", "key_variable", "organization", "hf_organization", "token", "hf_token", "base_url"}
 
 PURPOSES = {
     "ingestion": "documents read from files",

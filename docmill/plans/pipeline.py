@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import os
 import time
 from collections.abc import Callable
 
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill import schemas
-from docmill.operators import assemble, chunking, crossdoc, dedup, inference, parsing, prompts, rewriting, scoring, summarize
-from docmill.plans import card
+from docmill.operators import assemble, chunking, crossdoc, dedup, inference, metrics, parsing, prompts, rewriting, scoring, summarize
+from docmill.plans import card, schema_prompt
 from docmill.plans.config import Config
 from docmill.plans.prompts import DEFAULTS, load_prompt
 from docmill.session import cut_lineage
@@ -26,7 +25,7 @@ class Pipeline:
     """Runs the enabled stages in their order; the first that fails ends the run."""
 
     def __init__(self, spark: SparkSession, config: Config, provider: inference.Provider):
-        self.spark, self.config, self.provider = spark, config, provider
+        self.spark, self.config, self.provider, self.logged = spark, config, provider, False
         self.store = SubsetStore(spark, config.storage.local_dataset_dir)
         self.steps: dict[str, Callable] = {
             "ingestion": self.ingest,
@@ -56,19 +55,26 @@ class Pipeline:
             log.info("%s took %.1f s", name, took[name])
         if self.config.storage.export_jsonl:
             target = self.config.storage.jsonl_export_dir
-            write_index(self.store.export_jsonl(target), target)
+            write_index(self.spark, self.store.export_jsonl(target), target)
+        self.write_totals()
         self.write_card()
         return took
 
+    def call_log(self) -> str:
+        """Where a row per call is kept, beside the subsets."""
+        return f"{self.store.root}/_calls/log"
+
+    def write_totals(self) -> None:
+        """Write the totals of all calls by model, if any were made."""
+        if self.logged:
+            calls = self.spark.read.schema(metrics.LOG).option("header", True).csv(self.call_log())
+            metrics.write_totals(calls, f"{self.store.root}/_calls/totals")
+
     def write_card(self) -> None:
         """Write the card beside the subsets; a failure there is logged only."""
-        path = os.path.join(self.config.storage.local_dataset_dir, "README.md")
         try:
-            former = open(path, encoding="utf-8").read() if os.path.exists(path) else ""
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(card.render_card(self.config, former))
-        except OSError:
+            self.store.write_text("README.md", card.render_card(self.config, self.store.read_text("README.md")))
+        except Exception:  # noqa: BLE001 - a run isn't lost for its card
             log.warning("the card could not be written", exc_info=True)
 
     def save(self, df: DataFrame, subset: str) -> None:
@@ -77,13 +83,26 @@ class Pipeline:
         self.store.save(df, subset, append=self.config.storage.concat_if_exist)
 
     def answers(self, stage: str, calls: DataFrame) -> DataFrame:
-        """Calls with their answers, written once: asking again may answer otherwise."""
+        """Calls with their answers, written once, as asking again may answer otherwise, and logged."""
         models = inference.chosen_models(self.config.models, self.config.roles.get(stage))
-        return cut_lineage(inference.answers(calls, models, self.provider, tasks=self.spark.sparkContext.defaultParallelism))
+        found = cut_lineage(inference.answers(calls, models, self.provider, tasks=self.spark.sparkContext.defaultParallelism))
+        metrics.write_call_log(inference.counted(found, models, stage), self.call_log())
+        self.logged = True
+        for r in inference.call_success(found).collect():  # a row per model
+            log.info("%s: %s answered %d of %d calls, %.2f s each", stage, r["model_name"], r["answered"], r["calls"], r["avg_seconds"])
+        return found
 
     def ingest(self, s) -> None:
         found = files.files(self.spark, s.source_documents_dir, tuple(s.supported_file_extensions), s.output_dir)
-        self.save(files.ingested(files.texts(found)), "ingested")
+        read = files.texts(found)
+        for extension, render in files.renderers().items() if s.llm_ingestion else ():
+            images = files.pages(found.where(F.col("extension") == extension), lambda data, render=render: render(data, s.pdf_dpi))
+            told = self.answers("ingestion", files.page_calls(images, load_prompt(s.pdf_llm_prompt, "page")))
+            joined = files.joined_pages(told.select("path", "model_order", "page", F.col("response").alias("text")))
+            read = read.where(~F.endswith(F.lower("path"), F.lit(extension))).unionByName(joined.join(found.select("path", "length"), "path").select("path", "length", "text"))
+        if s.output_dir and self.config.storage.local_saving:
+            files.write_markdown(read, s.source_documents_dir, s.output_dir)
+        self.save(files.ingested(read), "ingested")
 
     def summarize(self, s) -> None:
         documents = self.store.load("ingested")
@@ -102,7 +121,10 @@ class Pipeline:
 
     def ask(self, subset: str, key: str, s, chunked: DataFrame | None = None) -> None:
         chunked = chunked if chunked is not None else self.store.load("chunked")
-        system = load_prompt(s.system_prompt, "choice_system" if s.question_mode == "multi-choice" else "question_system")
+        system = load_prompt(s.system(), "choice_system" if s.question_mode == "multi-choice" else "question_system")
+        if s.question_schema and "{schema_definition}" not in system:
+            system += "\n\n{schema_definition}"
+        system = schema_prompt.system_prompt(system, schema_prompt.load_schema(s.question_schema, s.question_mode))
         if key == "chunk_id":
             calls = prompts.single_shot_calls(chunked, load_prompt(s.user_prompt, "single_shot"), system, s.additional_instructions, s.sampling())
         else:
@@ -111,7 +133,7 @@ class Pipeline:
         answered = self.answers(stage, calls).select("document_id", key, "model_order", F.col("model_name").alias("generating_model"), "response")
         found = parsing.questions(answered, key, s.question_mode, s.additional_instructions)
         order = ["model_order", "document_id", key, "pair_position"]
-        self.save(dedup.distinct_questions(found.drop("custom_fields"), order), subset)
+        self.save(dedup.distinct_questions(found, order), subset)
 
     def ask_across(self, s) -> None:
         least, most = s.num_docs_per_combination
@@ -124,12 +146,14 @@ class Pipeline:
         for subset, key in (("single_shot_questions", "chunk_id"), ("multi_hop_questions", "source_chunk_ids")):
             if subset not in self.store.subsets():
                 continue
-            asked = self.store.load(subset).withColumn("question_id", F.xxhash64("document_id", "question", "generating_model"))
+            asked = self.store.load(subset)
+            content = F.to_json(F.struct(*asked.columns), {"ignoreNullFields": "false"})
+            asked = asked.withColumn("question_id", F.sha2(content, 256)).dropDuplicates(["question_id"])  # rows alike in all are one
             joined = asked.join(known.select("document_id", "document_summary", F.col("chunks").alias("_chunks")), "document_id", "left")
             ids = F.array("chunk_id") if key == "chunk_id" else F.col(key)
             passages = joined.withColumn("chunks", assemble.chunk_texts(ids, F.col("_chunks"), keep_missing=False))
             calls = prompts.rewriting_calls(passages, load_prompt(s.user_prompt, "rewrite"), DEFAULTS["rewrite_system"] if not s.system_prompt else load_prompt(s.system_prompt, ""), s.additional_instructions)
-            answered = self.answers("question_rewriting", calls.select("question_id", "prompt"))
+            answered = self.answers("question_rewriting", calls.select("question_id", "prompt", "messages"))
             responses = answered.select("question_id", F.col("model_name").alias("rewriting_model"), "response")
             self.save(rewriting.rewritten(asked, responses), f"{subset}_rewritten")
 

@@ -7,10 +7,10 @@ import os
 SUMMARY = "Summarise the document below for a reader who will write exam questions about it.\n\n<document>\n{document}\n</document>\n\nPut the summary in <final_summary> tags."
 COMBINE = "These are summaries of consecutive parts of one document:\n\n{chunk_summaries}\n\nWrite one summary of the whole in <final_summary> tags."
 QUESTION_SYSTEM = (
-    "You write questions that test whether somebody has understood a text. Study it inside <document_analysis> tags, then give a JSON list in"
-    " <output_json> tags. Each item has: thought_process, question_type, question, answer, estimated_difficulty (1 to 10), citations (verbatim quotes)."
+    "You write questions that test whether somebody has understood a text. Study it inside <document_analysis> tags first.\n\n"
+    "{schema_definition}\n\nFor example:\n\n{example_output}\n\nMind that:\n\n{critical_reminders}"
 )
-CHOICE_SYSTEM = QUESTION_SYSTEM + ' Each item also has choices, four texts that begin with "(A) " to "(D) ", and its answer is the letter of the right one.'
+CHOICE_SYSTEM = QUESTION_SYSTEM + "\n* Exactly one of the four choices is right, and the answer is its letter."
 SINGLE_SHOT = (
     "<title>{title}</title>\n<document_summary>{document_summary}</document_summary>\n<text_chunk>{text_chunk}</text_chunk>\n"
     "<additional_instructions>{additional_instructions}</additional_instructions>"
@@ -25,7 +25,10 @@ REWRITE = (
     "<document_summary>{document_summary}</document_summary>\n<additional_instructions>{additional_instructions}</additional_instructions>"
 )
 
+PAGE = "Transcribe this page as Markdown: headings, lists and tables as such, every word as it stands, nothing added."
+
 DEFAULTS = {
+    "page": PAGE,
     "summary": SUMMARY,
     "combine": COMBINE,
     "question_system": QUESTION_SYSTEM,

@@ -26,8 +26,10 @@ _QUESTION = [
     T.StructField("choices", _TEXTS),
 ]
 _REWRITING = _fields("original_question", "question_rewriting_model", "question_rewriting_rationale", "raw_question_rewriting_response")
-SINGLE_HOP = T.StructType([*_QUESTION, *_fields("chunk_id"), *_REWRITING])
-MULTI_HOP = T.StructType([*_QUESTION, T.StructField("source_chunk_ids", _TEXTS), *_REWRITING])
+#: Fields of a custom output schema that have no column of their own, as texts.
+CUSTOM = T.StructField("custom_fields", T.MapType(T.StringType(), T.StringType()))
+SINGLE_HOP = T.StructType([*_QUESTION, *_fields("chunk_id"), *_REWRITING, CUSTOM])
+MULTI_HOP = T.StructType([*_QUESTION, T.StructField("source_chunk_ids", _TEXTS), *_REWRITING, CUSTOM])
 
 PREPARED = T.StructType(
     [
@@ -43,6 +45,7 @@ PREPARED = T.StructType(
         *_fields("question_generating_model"),
         T.StructField("chunks", _TEXTS),
         *_fields("document", "document_summary"),
+        CUSTOM,
     ]
 )
 

@@ -15,14 +15,20 @@ from docmill.functions.text import BLANK, strip
 
 #: Elements whose content isn't part of a page's text (fixed values).
 LEFT_OUT = {"script", "style", "noscript", "template", "head", "nav", "footer", "aside", "form", "iframe", "svg"}
+
+#: Elements that can't stand in a head, so that one that is open ends where they begin (fixed values).
+_ENDS_HEAD = {"body", "p", "div", "main", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table"}
 _BLOCKS = {"p", "div", "section", "article", "main", "header", "ul", "ol", "table", "blockquote", "pre", "figure", "br", "tr", "li", "hr"}
 
 
 class _Markdown(HTMLParser):
-    def __init__(self) -> None:
+    """``closed`` has the elements that the page closes somewhere."""
+
+    def __init__(self, closed: set[str]) -> None:
         super().__init__(convert_charrefs=True)
+        self.closed = closed
         self.out: list[str] = []
-        self.skipped = 0
+        self.skipped: list[str] = []
         self.lists: list[list] = []
         self.cells: list[str] | None = None
         self.rows: list[list[str]] | None = None
@@ -32,8 +38,13 @@ class _Markdown(HTMLParser):
         (self.out if self.cells is None else self.cells).append(text)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if "head" in self.skipped and tag in _ENDS_HEAD:
+            self.skipped = []
         if tag in LEFT_OUT:
-            self.skipped += 1
+            if tag in self.closed:  # one that is never closed holds nothing but what its own kind may
+                self.skipped.append(tag)
+            elif tag == "head":
+                self.skipped = ["head"]
         if self.skipped:
             return
         if re.fullmatch("h[1-6]", tag):
@@ -67,8 +78,8 @@ class _Markdown(HTMLParser):
             self._put("\n\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in LEFT_OUT:
-            self.skipped = max(0, self.skipped - 1)
+        if tag in self.skipped:
+            del self.skipped[self.skipped.index(tag) :]
         if self.skipped:
             return
         if tag in ("td", "th") and self.cells is not None and self.rows:
@@ -104,7 +115,7 @@ def html_to_markdown(html: str | None) -> str | None:
     """The text of a page as Markdown: tables kept, comments, scripts and navigation left out; null where nothing is left."""
     if not html:
         return None
-    parser = _Markdown()
+    parser = _Markdown({m.lower() for m in re.findall(r"</\s*([A-Za-z]+)", html)})
     parser.feed(html)
     parser.close()
     text = re.sub(r"[ \t]+\n", "\n", "".join(parser.out))

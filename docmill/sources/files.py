@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from docmill.functions.text import has_content, strip
 from docmill.sources.convert import converted, html_markdown, registered, utf8
 
+log = logging.getLogger("docmill")
+
 DEFAULT_EXTENSIONS = (".md", ".txt", ".pdf")
 PLAIN, HTML = (".md", ".txt", ".text"), (".html", ".htm")
 
@@ -68,18 +71,44 @@ def write_markdown(read: DataFrame, source_dir: str, output_dir: str) -> None:
     read.select(relative.alias("relative_path"), "text").write.mode("overwrite").parquet(output_dir)
 
 
+#: Renderers by file extension, from bytes and a resolution to PNG images; a user who has a library for it registers one.
+_RENDERERS: dict[str, Callable[[bytes, int], list[bytes]]] = {}
+
+
+def register_renderer(extension: str, render: Callable[[bytes, int], list[bytes]]) -> None:
+    """Use ``render`` to turn files with this extension, such as ``.pdf``, into page images."""
+    _RENDERERS[extension.lower()] = render
+
+
+def renderers() -> dict[str, Callable[[bytes, int], list[bytes]]]:
+    """The renderers registered so far."""
+    return dict(_RENDERERS)
+
+
 def pages(found: DataFrame, render: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """(path, page, image) of documents that ``render`` turns into page images, images as base64 text."""
+    """(path, page, image) of documents that ``render`` turns into page images, images as base64 text; one that fails has no pages."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, i, img) for p, data in frame.itertuples(index=False) for i, img in enumerate(render(bytes(data)))]
+            rows = []
+            for path, data in frame.itertuples(index=False):
+                try:
+                    rows += [(path, i, image) for i, image in enumerate(render(bytes(data)))]
+                except Exception:  # noqa: BLE001 - a broken file is skipped, as an unreadable one is
+                    log.warning("%s can't be rendered", path, exc_info=True)
             yield pd.DataFrame(rows, columns=["path", "page", "image"])
 
     made = found.select("path", "content").mapInPandas(run, "path string, page int, image binary")
     return made.withColumn("image", F.base64("image"))
 
 
+def page_calls(images: DataFrame, prompt: str) -> DataFrame:
+    """A call per page: path, page, prompt, image, tags."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    tags = F.array(F.lit("pdf_ingestion"), F.concat(F.lit("page_"), (F.col("page") + 1).cast("string")), name)
+    return images.select("path", "page", F.lit(prompt).alias("prompt"), "image", tags.alias("tags"))
+
+
 def joined_pages(transcribed: DataFrame) -> DataFrame:
     """(path, text): the pages that have content, by model and page, parted by rules."""
     ordered = F.array_sort(F.collect_list(F.struct("model_order", "page", "text")))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-import os
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from docmill.operators.assemble import slim
 from docmill.schemas import SUBSETS
 
+log = logging.getLogger("docmill")
+
 
 class SubsetStore:
     """Subsets below one root, local or on any file system Spark reaches."""
@@ -29,12 +30,20 @@ class SubsetStore:
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _former(self, subset: str) -> str:
+        return f"{self.root}/_former_{subset}"
+
     def subsets(self) -> list[str]:
         """Names of the subsets there are."""
         fs, path = self._fs()
         if not fs.exists(path(self.root)):
             return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(path(self.root)) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+        names = {s.getPath().getName() for s in fs.listStatus(path(self.root)) if s.isDirectory()}
+        for name in sorted(n.removeprefix("_former_") for n in names if n.startswith("_former_")):
+            if name not in names:  # a replacement was broken off between its two moves
+                fs.rename(path(self._former(name)), path(self.path(name)))
+                names.add(name)
+        return sorted(n for n in names if not n.startswith(("_", ".")))
 
     def load(self, subset: str, optional: bool = False) -> DataFrame:
         """A subset; a missing one is an error that names those there are, or with ``optional`` an empty table."""
@@ -45,21 +54,40 @@ class SubsetStore:
         raise FileNotFoundError(f"no subset {subset!r} in {self.root}; there are: {', '.join(self.subsets()) or 'none'}")
 
     def save(self, df: DataFrame, subset: str, append: bool = False) -> None:
-        """Replace a subset, or append to it where the columns agree and replace it where they don't.
+        """Replace a subset, or add rows to it where the columns agree; where they don't it is replaced, with a warning.
 
-        The table is written beside and then moved, so that it may be computed from its own
-        former self, and a failure leaves that as it was. An empty table is saved too.
+        A replacement is written beside, then the old table is moved aside, the new one into its
+        place, and the old one deleted; whatever breaks off, one of the two stays and is found. So a
+        table may be computed from its own former self. Appending writes the new rows only. An empty
+        table is saved too.
         """
-        if append and subset in self.subsets():
-            try:
-                df = self.load(subset).unionByName(df)
-            except AnalysisException:
-                pass
         fs, path = self._fs()
-        beside = f"{self.root}/_{subset}_{uuid.uuid4().hex}"
+        if append and subset in self.subsets():
+            there = self.load(subset)
+            if [(f.name, f.dataType) for f in there.schema] == [(f.name, f.dataType) for f in df.schema]:
+                df.write.mode("append").parquet(self.path(subset))
+                return
+            log.warning("the columns of %s differ from those it had; it is replaced", subset)
+        beside = f"{self.root}/_new_{subset}_{uuid.uuid4().hex}"
         df.write.parquet(beside)
-        fs.delete(path(self.path(subset)), True)
-        fs.rename(path(beside), path(self.path(subset)))
+        own, former = path(self.path(subset)), path(self._former(subset))
+        if fs.exists(own):
+            fs.delete(former, True)
+            if not fs.rename(own, former):
+                raise OSError(f"{self.path(subset)} can't be moved")
+        if not fs.rename(path(beside), own):
+            raise OSError(f"{beside} can't be moved to {self.path(subset)}")
+        fs.delete(former, True)
+
+    def read_text(self, name: str) -> str:
+        """A small file beside the subsets, "" if there is none."""
+        fs, path = self._fs()
+        file = path(f"{self.root}/{name}")
+        return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()) if fs.exists(file) else ""
+
+    def write_text(self, name: str, text: str) -> None:
+        """Write a small file beside the subsets."""
+        write_file(self.spark, f"{self.root}/{name}", text)
 
     def export_jsonl(self, export_dir: str, subsets: list[str] | None = None) -> dict:
         """Write subsets as JSON lines (nulls kept, UTF-8) with an index of their row counts; returns the index."""
@@ -88,11 +116,20 @@ def jsonl_index(tables: list[DataFrame]) -> DataFrame:
     return out.groupBy("subset").agg(F.count("*").alias("rows"))
 
 
-def write_index(index: dict, directory: str) -> None:
+def write_file(spark: SparkSession, file: str, text: str) -> None:
+    """Write a small text file on whatever file system its path names."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def write_index(spark: SparkSession, index: dict, directory: str) -> None:
     """Write the index of an export beside it."""
-    os.makedirs(directory, exist_ok=True)
-    with open(os.path.join(directory, "index.json"), "w", encoding="utf-8") as f:
-        json.dump(index, f, ensure_ascii=False, indent=2)
+    write_file(spark, f"{directory.rstrip('/')}/index.json", json.dumps(index, ensure_ascii=False, indent=2))
 
 
 def replace_columns(df: DataFrame, columns: dict) -> DataFrame:

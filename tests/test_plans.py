@@ -1,5 +1,8 @@
+import base64
 import json
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +10,10 @@ from pyspark.sql import types as T
 
 from docmill import schemas
 from docmill.__main__ import main, stub
+from docmill.operators import inference, metrics
 from docmill.plans import card, config, prompts, schema_prompt
 from docmill.plans.pipeline import Pipeline
-from docmill.sources import convert, files
+from docmill.sources import chat, convert, files
 from docmill.sources.store import SubsetStore
 from docmill.streaming import ingest
 
@@ -34,6 +38,8 @@ def test_html_keeps_tables_and_lists():
     page = "<nav>menu</nav><ul><li>a</li><li>b</li></ul><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2|3</td></tr></table><a href='u'>l</a>"
     text = convert.html_to_markdown(page)
     assert "menu" not in text and "- a\n- b" in text and "| k | v |\n|---|---|\n| 1 | 2\\|3 |" in text and "[l](u)" in text
+    assert convert.html_to_markdown("<nav>menu<p>Body text") == "menu\n\nBody text" and convert.html_to_markdown("<head><title>t</title><p>Body") == "Body"
+    assert convert.html_to_markdown("<head><title>t</title></head><nav><ul><li>m</ul></nav><p>Body</p><footer>f</footer>") == "Body"
     assert convert.html_to_markdown("") is None and convert.html_to_markdown("<script>x</script>") is None
 
 
@@ -55,6 +61,8 @@ def test_store_replaces_appends_and_overwrites_itself(spark, tmp_path):
     assert store.load("t").count() == 2
     store.save(store.load("t").withColumn("id", F.col("id") + 10), "t")
     assert sorted(r.id for r in store.load("t").collect()) == [11, 12]
+    os.rename(tmp_path / "s" / "t", tmp_path / "s" / "_former_t")  # as if a replacement had been broken off
+    assert store.subsets() == ["t"] and store.load("t").count() == 2
     store.save(spark.createDataFrame([(1,)], "other int"), "t", append=True)
     assert store.load("t").columns == ["other"]
     store.save(spark.createDataFrame([], "id int"), "u")
@@ -65,7 +73,7 @@ def test_configuration_is_checked(monkeypatch):
     monkeypatch.setenv("SOME_NAME", "ds")
     made = config.parse({"models": [{"model_name": "m", "max_concurrent_requests": 2}], "hf_configuration": {"dataset_name": "$SOME_NAME", "organization": "o"}, "pipeline": {"chunking": None, "ingestion": {"run": False}}})
     assert made.enabled() == ["chunking"] and made.roles["chunking"] == ["m"] and made.storage.identifier() == "o/ds"
-    for bad in ({"pipeline": {"odd": {}}}, {"pipeline": {"chunking": {"h_min": 3, "h_max": 2}}}, {"pipeline": {"chunking": {"no_such": 1}}}, {"pipeline": {"citation_score_filtering": {"alpha": 2}}},
+    for bad in ({"pipeline": {"odd": {}}}, {"pipeline": {"chunking": {"h_min": 3, "h_max": 2}}}, {"pipeline": {"citation_score_filtering": {"alpha": 2}}},
                 {"pipeline": {"single_shot_question_generation": {"question_mode": "x"}}}, {"pipeline": {"cross_document_question_generation": {"num_docs_per_combination": [1, 2]}}}, {"model_list": [{}]}):
         with pytest.raises(config.ConfigError):
             config.parse(bad)
@@ -73,6 +81,97 @@ def test_configuration_is_checked(monkeypatch):
         config.parse({"model_list": [{"model_name": "m", "max_concurrent_requests": 0}]})
 
 
+FULL = """
+hf_configuration: {hf_dataset_name: made, hf_organization: $SOME_ORGANIZATION, private: true, push_to_hub: false, upload_card: false}
+models:
+  - {model_name: a/b, base_url: "http://localhost:1/v1", api_key: $SOME_KEY, max_concurrent_requests: 8, provider: x, bill_to: y}
+  - {model_name: c, api_key: written-out}
+model_roles: {summarization: [c]}
+debug: true
+pipeline_config:
+  ingestion: {source_documents_dir: raw, output_dir: out, llm_ingestion: true, pdf_dpi: 150, upload_to_hub: false}
+  summarization:
+  chunking: {l_max_tokens: 1024, token_overlap: 256, h_min: 2}
+  single_shot_question_generation: {question_mode: " Multi-Choice", single_shot_system_prompt: one, single_shot_system_prompt_multi: many, chunk_sampling: {enable: true, num_samples: 7, strategy: random, random_seed: 3}}
+  multi_hop_question_generation: {question_mode: "", multi_hop_system_prompt: hop, additional_instructions: Ask.}
+  cross_document_question_generation: {cross_document_system_prompt: across, max_combinations: 10, num_docs_per_combination: [2, 4]}
+  question_rewriting: {question_rewriting_user_prompt: again}
+  prepare_lighteval:
+  citation_score_filtering:
+"""
+
+
+def test_a_file_with_every_key_is_read(tmp_path, monkeypatch, caplog):
+    monkeypatch.setenv("SOME_ORGANIZATION", "org")
+    monkeypatch.setenv("SOME_KEY", "sk-secret-of-mine")
+    (tmp_path / "c.yaml").write_text(FULL)
+    made = config.load(str(tmp_path / "c.yaml"))
+    assert not caplog.records and made.enabled() == list(config.STAGES) and made.storage.identifier() == "org/made" and made.debug
+    first, second = made.models
+    assert (first.key_variable, first.api_key, first.concurrency, first.provider) == ("SOME_KEY", None, 8, "x") and second.api_key == "written-out"
+    assert "sk-secret" not in repr(made) and "written-out" not in repr(made) and "written-out" not in card.render_card(made)
+    assert made.roles["summarization"] == ["c"] and made.roles["chunking"] == ["a/b"]
+    stages = made.stages
+    single = stages["single_shot_question_generation"]
+    assert single.question_mode == "multi-choice" and single.system() == "many" and (single.sampling().mode, single.sampling().value, single.sampling().seed) == ("count", 7, 3)
+    assert stages["multi_hop_question_generation"].system() == "hop" and stages["cross_document_question_generation"].system() == "across"
+    assert stages["question_rewriting"].user_prompt == "again" and stages["ingestion"].pdf_dpi == 150 and stages["chunking"].token_overlap == 256
+    config.parse({"pipeline": {"chunking": {"no_such": 1}}, "model_list": [{"model_name": "m", "odd": 1}]})
+    assert [r.getMessage() for r in caplog.records] == ["model m: unknown keys odd are ignored", "chunking: unknown keys no_such are ignored"]
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    assert config.parse({}).models[0].key_variable == "OPENAI_API_KEY"
+    with pytest.raises(config.ConfigError):
+        config.parse({"pipeline": {"single_shot_question_generation": {"chunk_sampling": {"num_samples": 0}}}})
+
+
+def test_models_are_asked_over_http_within_their_concurrency(spark):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen, under_way, most, lock = [], [0], [0], threading.Lock()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            with lock:
+                under_way[0] += 1
+                most[0] = max(most[0], under_way[0])
+                seen.append((body, self.headers["Authorization"]))
+            time.sleep(0.05)
+            said = body["messages"][-1]["content"]
+            code = {"denied": 401, "often": 429, "broken": 500}.get(str(said), 200)
+            reply = {"choices": []} if said == "empty" else {"choices": [{"message": {"content": f"{body['model']} {said}"}}]}
+            data = json.dumps(reply).encode()
+            with lock:
+                under_way[0] -= 1
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/v1/"
+        model = inference.Model("m", url, concurrency=2, extra={"temperature": 0}, api_key="mine")
+        prompts_ = ["denied", "often", "broken", "empty", *[f"p{i}" for i in range(30)]]
+        calls = spark.createDataFrame([(i, p) for i, p in enumerate(prompts_)], "id int, prompt string")
+        turns = F.array(F.struct(F.lit("system").alias("role"), F.lit("be brief").alias("content")), F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+        got = {r.prompt: r for r in inference.answers(calls.withColumn("messages", turns), [model], chat.HttpChat(), attempts=1, tasks=4).collect()}
+        assert {p: r.response for p, r in got.items() if r.success} == {f"p{i}": f"m p{i}" for i in range(30)}
+        assert {p: r.error_type for p, r in got.items() if not r.success} == {"denied": "AuthenticationError", "often": "RateLimitError", "broken": "RuntimeError", "empty": "RuntimeError"}
+        assert most[0] <= 2 and all(b["temperature"] == 0 and b["messages"][0]["content"] == "be brief" and key == "Bearer mine" for b, key in seen)
+        assert chat.HttpChat().chat(model, [{"role": "user", "content": "x"}], "aW1n").startswith("m [")
+        with pytest.raises(ConnectionError):
+            chat.HttpChat("http://127.0.0.1:9/v1")(inference.Model("m"), "x")
+        with pytest.raises(ValueError):
+            chat.HttpChat()(inference.Model("m"), "x")
+    finally:
+        server.shutdown()
+
+
 def test_prompts_and_schemas(tmp_path):
     (tmp_path / "p.md").write_text("from a file")
     assert prompts.load_prompt(str(tmp_path / "p.md"), "summary") == "from a file"
@@ -114,7 +213,33 @@ def test_card_hides_secrets():
     assert "sk-abc" not in text and "http://x" not in text and "**chunking**" in text and text.startswith("---\ndataset_info:\n  x: 2\n---")
 
 
+def test_pages_are_rendered_transcribed_and_ingested(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_RENDERERS", {".pdf": lambda data, dpi: [f"{dpi}:{x}".encode() for x in data.decode().split("|")]})
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.pdf").write_bytes(b"one|two")
+    (raw / "b.pdf").write_bytes(b"\xff\xfe")
+    (raw / "c.txt").write_text("plain")
+
+    class Reader:
+        def chat(self, model, messages, image=None):
+            return f"{model.name} read {base64.b64decode(image).decode()}"
+
+    made = config.parse({"hf_configuration": {"local_dataset_dir": str(tmp_path / "s")}, "model_list": [{"model_name": "m", "encoding_name": "word"}], "pipeline": {"ingestion": {"source_documents_dir": str(raw), "output_dir": "", "llm_ingestion": True, "pdf_dpi": 90}}})
+    Pipeline(spark, made, Reader()).run()
+    got = {r.document_filename: r.document_text for r in SubsetStore(spark, str(tmp_path / "s")).load("ingested").collect()}
+    assert got == {"a.pdf": "m read 90:one\n\n---\n\nm read 90:two", "c.txt": "plain"}
+
+
 def test_whole_pipeline(spark, tmp_path):
+    class Hinting:
+        """The stub, that adds the fields of a custom schema where the system prompt asks for them."""
+
+        def chat(self, model, messages, image=None):
+            answer = stub(model, messages[-1]["content"])
+            wants = any('"hint"' in m["content"] and "JSON Schema" in m["content"] for m in messages if m["role"] == "system")
+            return answer.replace('"question_type"', '"hint": "look twice", "steps": [1, 2], "question_type"') if wants else answer
+
     raw = tmp_path / "raw"
     raw.mkdir()
     for i in range(3):
@@ -122,12 +247,12 @@ def test_whole_pipeline(spark, tmp_path):
     made = config.parse(
         {
             "hf_configuration": {"dataset_name": "t", "local_dataset_dir": str(tmp_path / "store"), "export_jsonl": True, "jsonl_export_dir": str(tmp_path / "jsonl")},
-            "model_list": [{"model_name": "m"}],
+            "model_list": [{"model_name": "m", "encoding_name": "word"}],
             "pipeline": {
-                "ingestion": {"source_documents_dir": str(raw)},
-                "summarization": {"max_tokens": 30, "token_overlap": 5},
-                "chunking": {"l_max_tokens": 16},
-                "single_shot_question_generation": {},
+                "ingestion": {"source_documents_dir": str(raw), "output_dir": str(tmp_path / "md")},
+                "summarization": {"max_tokens": 30, "token_overlap": 5, "encoding_name": "word"},
+                "chunking": {"l_max_tokens": 16, "token_overlap": 0, "encoding_name": "word"},
+                "single_shot_question_generation": {"question_schema": str(tmp_path / "schema.py")},
                 "multi_hop_question_generation": {},
                 "cross_document_question_generation": {"max_combinations": 3},
                 "question_rewriting": {},
@@ -136,14 +261,20 @@ def test_whole_pipeline(spark, tmp_path):
             },
         }
     )
-    took = Pipeline(spark, made, stub).run()
+    (tmp_path / "schema.py").write_text("DataFormat = 'question string not null, answer string, hint string, steps array<int>'")
+    took = Pipeline(spark, made, Hinting()).run()
     assert list(took) == made.enabled()
     store = SubsetStore(spark, str(tmp_path / "store"))
     prepared = store.load("prepared_lighteval")
     assert {r.kind for r in prepared.select("kind").distinct().collect()} == {"single_shot", "multi_hop", "cross_document"}
     assert prepared.where("citation_score > 0").count() > 0
     assert store.load("single_shot_questions_rewritten").where("original_question IS NULL").count() == 0
-    assert os.path.exists(tmp_path / "jsonl" / "index.json") and os.path.exists(tmp_path / "store" / "README.md")
+    totals = spark.read.option("header", True).csv(f"{store.root}/_calls/totals").collect()
+    calls = spark.read.schema(metrics.LOG).option("header", True).csv(f"{store.root}/_calls/log")
+    assert [(r.model_name, int(r.total_calls)) for r in totals] == [("m", calls.count())] and calls.where("input_tokens > 0 AND output_tokens > 0 AND encoding_used = 'word'").count() == calls.count()
+    assert {r.stage for r in calls.select("stage").distinct().collect()} == {"summarization", "question_rewriting", *(f"{k}_question_generation" for k in ("single_shot", "multi_hop", "cross_document"))}
+    assert {tuple(sorted(r.custom_fields.items())) for r in prepared.where("kind = 'single_shot'").select("custom_fields").collect()} == {(("hint", "look twice"), ("steps", "[1,2]"))}
+    assert (tmp_path / "md").exists() and os.path.exists(tmp_path / "jsonl" / "index.json") and os.path.exists(tmp_path / "store" / "README.md")
 
 
 def test_command_line(capsys):
