@@ -54,7 +54,8 @@ _CALLS = """
 
 #: DuckDB takes a comma before the closing bracket for valid JSON, which it isn't.
 _RESPONSES = r"""
-    r AS (SELECT DISTINCT md5(raw_response) AS response_id, raw_response AS t FROM single_shot_questions WHERE raw_response IS NOT NULL),
+    r AS (SELECT DISTINCT md5(raw_response) AS response_id, raw_response AS t
+          FROM (SELECT raw_response FROM single_shot_questions UNION SELECT raw_response FROM multi_hop_questions UNION SELECT raw_response FROM cross_document_questions) WHERE raw_response IS NOT NULL),
     a AS (SELECT response_id, t,
             CASE WHEN regexp_matches(t, '<output_json\s*>[\s\S]*?</output_json>') THEN trim(regexp_extract(t, '<output_json\s*>([\s\S]*?)</output_json>', 1), E' \n\r\t') END AS tagged,
             CASE WHEN regexp_matches(t, '```json\s*[\s\S]*?\s*```') THEN regexp_extract(t, '```json\s*([\s\S]*?)\s*```', 1) END AS fenced FROM r),
@@ -102,10 +103,72 @@ _SUMMARY = f"""
 """
 
 
+_EVERY = """
+    e AS (SELECT question_id, any_value(question) AS question, any_value(self_answer) AS self_answer, any_value(self_assessed_question_type) AS self_assessed_question_type, any_value(question_mode) AS question_mode,
+            any_value(choices) AS choices, any_value(raw_response) AS raw_response, any_value(additional_instructions) AS additional_instructions, any_value(citations) AS citations, any_value(keyed) AS keyed
+          FROM (SELECT question_id, question, self_answer, self_assessed_question_type, question_mode, choices, raw_response, additional_instructions, citations, coalesce(chunk_id, '') <> '' AS keyed FROM single_shot_questions
+                UNION ALL SELECT question_id, question, self_answer, self_assessed_question_type, question_mode, choices, raw_response, additional_instructions, citations, len(coalesce(source_chunk_ids, [])) > 0 FROM multi_hop_questions
+                UNION ALL SELECT question_id, question, self_answer, self_assessed_question_type, question_mode, choices, raw_response, additional_instructions, citations, len(coalesce(source_chunk_ids, [])) > 0 FROM cross_document_questions) GROUP BY question_id)
+"""
+
+_CONTAINED = f"""
+    {_PREPARED}, y AS (SELECT *, coalesce(self_answer, '') AS said, list_filter(coalesce(citations, []), lambda x: x IS NOT NULL) AS cited, list_filter(texts, lambda t: t <> '') AS used FROM p),
+    z AS (SELECT *, CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
+            ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND said <> '' AND (contains(x, said) OR contains(said, x)))) / len(cited)::DOUBLE END AS a,
+        CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
+            ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND len(list_filter(used, lambda t: contains(x, t) OR contains(t, x))) > 0)) / len(cited)::DOUBLE END AS b FROM y)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     single = "single_shot_questions"
     return {
+        "crossdoc_checked": """
+            WITH n AS (SELECT count(DISTINCT document_id)::HUGEINT AS n FROM chunked WHERE len(list_filter(multihop_chunks, lambda g: g IS NOT NULL AND len(g.chunks_text) > 0)) > 0),
+            k AS (SELECT unnest([2, 3, 4, 5])::BIGINT AS size, unnest([n*(n-1)//2, n*(n-1)*(n-2)//6, n*(n-1)*(n-2)*(n-3)//24, n*(n-1)*(n-2)*(n-3)*(n-4)//120]) AS possible FROM n),
+            t AS (SELECT size, possible, greatest(1, 100 * possible // (SELECT sum(possible)::HUGEINT FROM k)) AS target FROM k)
+            SELECT size, least(target, possible, 100 - coalesce(sum(target) OVER (ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS number, true AS fit FROM t""",
+        "sample_groups": f"""
+            WITH {_CHUNKED},
+            e AS (SELECT document_id, multihop_chunks, len(multihop_chunks) AS n, unnest(generate_series(0, len(multihop_chunks) - 1)) AS i FROM c WHERE len(multihop_chunks) > 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY md5(document_id || ':42:' || i)) AS k FROM e)
+            SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS n, array_to_string(multihop_chunks[i + 1].chunk_ids, ',') AS chunk_ids FROM r WHERE k <= 2 OR n < 2""",
+        "document_chunks": f"SELECT doc_id::VARCHAR AS document_id, CASE WHEN coalesce({_strip('text')}, '') = '' THEN 0 ELSE (len({_words('text')}) + 63) // 64 END::BIGINT AS chunks FROM documents",
+        "bytepair_fallback": "SELECT doc_id::VARCHAR AS document_id, true AS same, true AS bounded FROM documents",
+        "summary_calls": f"WITH {_SUMMARY} SELECT document_id, part::BIGINT AS part, md5(E'Sum up:\\n' || text) AS prompt_hash FROM pt",
+        "pages_joined": f"""
+            WITH {_CHUNKED}, e AS (SELECT document_id, unnest(chunks) AS u, unnest(generate_series(0, len(chunks) - 1)) AS n FROM c WHERE len(chunks) > 0)
+            SELECT document_id, md5(string_agg(u.chunk_text, E'\\n\\n---\\n\\n' ORDER BY n)) AS text_hash FROM e WHERE {_strip("u.chunk_text")} <> '' GROUP BY document_id""",
+        "calls_answered": """
+            SELECT item_id, m AS model_name, o AS model_order, CASE WHEN length(question) % 3 = 0 THEN '' ELSE m || ': ' || question END AS response, length(question) % 3 <> 0 AS success, 1::BIGINT AS attempts,
+                CASE WHEN length(question) % 3 = 0 THEN 'timeout' END AS error FROM eval_items, (VALUES (0::BIGINT, 'quill'), (1::BIGINT, 'plume')) v(o, m)""",
+        "answered_by_model": """
+            SELECT lower(generating_model) AS model_name, count(*) AS calls, count(*) FILTER (coalesce(raw_response, '') <> '') AS answered
+            FROM (SELECT generating_model, raw_response FROM single_shot_questions UNION ALL SELECT generating_model, raw_response FROM multi_hop_questions UNION ALL SELECT generating_model, raw_response FROM cross_document_questions) GROUP BY ALL""",
+        "model_success": """
+            SELECT lower(generating_model) AS model_name, count(*) AS calls, count(*) FILTER (coalesce(raw_response, '') <> '') AS answered, round(avg((raw_response IS NOT NULL)::INTEGER), 6) AS success_rate, 1.0::DOUBLE AS avg_seconds, 1.0::DOUBLE AS avg_attempts
+            FROM (SELECT generating_model, raw_response FROM single_shot_questions UNION ALL SELECT generating_model, raw_response FROM multi_hop_questions UNION ALL SELECT generating_model, raw_response FROM cross_document_questions) GROUP BY ALL""",
+        "files_read": "SELECT '.txt' AS extension, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS text_bytes FROM documents WHERE doc_id % 4 < 2",
+        "files_ingested": f"SELECT md5({_strip('t')}) AS text_hash, strlen({_strip('t')}) AS file_size, true AS named FROM (SELECT string_agg(passage, E'\\n') AS t FROM (SELECT passage FROM eval_items))",
+        "subset_saved": "SELECT call_id, lower(model_name) AS model_name, input_tokens, input_tokens IS NOT NULL AS known FROM cost_log",
+        "subset_index": """
+            SELECT question_id, question, 'single_shot_questions' AS subset FROM single_shot_questions UNION ALL SELECT question_id, question, 'multi_hop_questions' FROM multi_hop_questions
+            UNION ALL SELECT question_id, question, 'cross_document_questions' FROM cross_document_questions""",
+        "call_log_totals": f"WITH {_CALLS} SELECT model_name, sum(input_tokens)::BIGINT AS total_input_tokens, sum(output_tokens)::BIGINT AS total_output_tokens, count(*) AS total_calls FROM k GROUP BY model_name",
+        "custom_fields_kept": f"SELECT item_id::VARCHAR AS document_id, {_strip('question')} AS question, {_words('question')}[1] AS hint, len({_words('question')})::BIGINT AS steps, 2::BIGINT AS fields FROM eval_items WHERE {_strip('question')} <> ''",
+        "citation_containment": f"""
+            WITH {_CONTAINED} SELECT kind, document_id, coalesce(question, '') AS question, said AS ground_truth_answer, round(a, 6) AS answer_citation_score, round(b, 6) AS chunk_citation_score, round(0.7 * b + 0.3 * a, 6) AS citation_score FROM z""",
+        "citation_scores_checked": f"""
+            WITH {_CONTAINED} SELECT kind, document_id, coalesce(question, '') AS question, a = 100 AS answer_citation_score, b = 100 AS chunk_citation_score, true AS sound FROM z""",
+        "question_dedup": f"WITH {_EVERY} SELECT question_id, question FROM (SELECT question_id, question, row_number() OVER (PARTITION BY {_key('question')} ORDER BY question_id) AS r FROM e) WHERE r = 1 OR question IS NULL",
+        "question_validity": f"""
+            WITH {_EVERY} SELECT question_id, CASE lower(coalesce(question_mode, '')) WHEN 'multi-choice' THEN len(coalesce(choices, [])) = 4
+                WHEN 'open-ended' THEN NOT (lower({_strip("coalesce(self_assessed_question_type, '')")}) IN ('analytical','application-based','clarification','counterfactual','conceptual','true-false','factual','open-ended','false-premise','edge-case')
+                    AND upper({_strip("coalesce(self_answer, '')")}) IN ('A','B','C','D')) ELSE true END AND keyed AS valid FROM e""",
+        "gold_answers": f"WITH {_EVERY} SELECT question_id, {_GOLD_INDEX} AS gold_index, {_GOLD_TEXT} AS gold_text FROM (SELECT question_id, self_answer, coalesce(lower(question_mode) = 'multi-choice', false) AS multi FROM e)",
+        "message_tokens": f"WITH {_EVERY} SELECT question_id, (3 + 3 + 1 + len({_words('question')}) + 3 + 1 + len({_words('self_answer')}))::BIGINT AS tokens FROM e",
+        "analysis_text": f"WITH {_EVERY} SELECT question_id, md5({_tag('raw_response', 'document_analysis')}) AS analysis FROM e",
         "ingest_documents": f"""
             SELECT doc_id::VARCHAR AS document_id, document_filename, md5({_strip("text")}) AS text_hash, strlen({_strip("text")}) AS file_size FROM documents WHERE {_strip("text")} <> ''""",
         "document_ids": r"""
@@ -171,14 +234,11 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT document_id, n, len(g.chunks_text) AS k, length(array_to_string(list_transform(g.chunks_text, lambda x, i: '<text_chunk_' || (i - 1) || '>' || x || '</text_chunk_' || (i - 1) || E'>\\n'), '')) AS l FROM e WHERE len(g.chunks_text) > 0),
             u AS (SELECT unnest(['multi_hop_qa', 'doc_' || document_id, 'group_' || n, 'chunks_' || k, 'total_len_' || l, CASE WHEN k <= 2 THEN 'few_chunks' WHEN k <= 5 THEN 'medium_chunks' ELSE 'many_chunks' END]) AS tag FROM t)
             SELECT tag, count(*) AS calls FROM u GROUP BY tag""",
-        "message_tokens": f"""
-            SELECT question_id, (3 + 3 + 1 + len({_words("question")}) + 3 + 1 + len({_words("self_answer")}))::BIGINT AS tokens FROM {_once("multi_hop_questions", "question, self_answer")}""",
         "model_cost": f"WITH {_CALLS} SELECT model_name, sum(input_tokens)::BIGINT AS total_input_tokens, sum(output_tokens)::BIGINT AS total_output_tokens, count(*) AS total_calls FROM k GROUP BY model_name",
         "cost_summary": f"""
             WITH {_CALLS} SELECT count(*) AS calls, sum(input_tokens)::BIGINT AS total_input_tokens, sum(output_tokens)::BIGINT AS total_output_tokens,
                 sum(input_tokens) / greatest(count(*), 1)::DOUBLE AS avg_input_tokens, sum(output_tokens) / greatest(count(*), 1)::DOUBLE AS avg_output_tokens FROM k""",
         "call_matrix": "SELECT item_id, o AS model_order, m AS model_name FROM eval_items, (VALUES (0::BIGINT, 'quill'), (1::BIGINT, 'plume')) v(o, m)",
-        "answered_by_model": f"SELECT lower(generating_model) AS model_name, count(*) AS calls, count(*) FILTER (coalesce(raw_response, '') <> '') AS answered FROM {single} GROUP BY ALL",
         "error_categories": """
             SELECT CASE event_id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limit' ELSE CASE WHEN event_id % 7 = 0 THEN 'rate_limit' WHEN event_id % 5 = 2 THEN 'auth_error' WHEN event_id % 5 = 3 THEN 'connection_error' ELSE 'other_error' END END AS category,
                 count(*) AS events FROM events GROUP BY ALL""",
@@ -197,26 +257,16 @@ def oracle_sql() -> dict[str, str]:
                 array_to_string(list_sort(list_filter(k, lambda x: x NOT IN ('question','answer','self_answer','thought_process','reasoning','explanation','rationale','thinking','question_type','self_assessed_question_type','estimated_difficulty','difficulty','complexity',
                     'citations','choices','question_mode','document_id','chunk_id','source_chunk_ids','additional_instructions','generating_model','raw_response','original_question','question_rewriting_model','question_rewriting_rationale','raw_question_rewriting_response'))), ',') AS custom_fields
             FROM d""",
-        "analysis_text": f"SELECT question_id, md5({_tag('raw_response', 'document_analysis')}) AS analysis FROM {_once(single, 'raw_response')}",
-        "question_validity": f"""
-            SELECT question_id, (CASE lower(coalesce(question_mode, '')) WHEN 'multi-choice' THEN len(coalesce(choices, [])) = 4
-                WHEN 'open-ended' THEN NOT (lower({_strip("coalesce(self_assessed_question_type, '')")}) IN ('analytical','application-based','clarification','counterfactual','conceptual','true-false','factual','open-ended','false-premise','edge-case')
-                    AND upper({_strip("coalesce(self_answer, '')")}) IN ('A','B','C','D')) ELSE true END) AND coalesce(chunk_id, '') <> '' AS valid
-            FROM {_once(single, "question_mode, choices, self_assessed_question_type, self_answer, chunk_id")}""",
         "choices_permuted": f"""
-            WITH q AS (SELECT question_id, question, self_answer, list_transform(choices, lambda c: {_strip("substr(c, 4)")}) AS t FROM {_once(single, "question, self_answer, choices")}
+            WITH {_EVERY}, q AS (SELECT question_id, question, self_answer, list_transform(choices, lambda c: {_strip("substr(c, 4)")}) AS t FROM e
                        WHERE question IS NOT NULL AND len(choices) = 4 AND regexp_full_match(self_answer, '[A-D]')),
-            e AS (SELECT question_id, question, t[ascii(self_answer) - 64] AS named, unnest(t) AS x, unnest(generate_series(1, 4)) AS i FROM q),
-            r AS (SELECT question_id, named, x, row_number() OVER (PARTITION BY question_id ORDER BY sha256(question || '|' || x), x, i) AS k FROM e)
+            o AS (SELECT question_id, question, t[ascii(self_answer) - 64] AS named, unnest(t) AS x, unnest(generate_series(1, 4)) AS i FROM q),
+            r AS (SELECT question_id, named, x, row_number() OVER (PARTITION BY question_id ORDER BY sha256(question || '|' || x), x, i) AS k FROM o)
             SELECT question_id, chr((64 + min(k) FILTER (x = named))::INTEGER) AS self_answer, string_agg('(' || chr((64 + k)::INTEGER) || ') ' || x, '|' ORDER BY k) AS choices FROM r GROUP BY question_id""",
-        "gold_answers": f"""
-            SELECT question_id, {_GOLD_INDEX} AS gold_index, {_GOLD_TEXT} AS gold_text FROM (SELECT question_id, self_answer, coalesce(lower(question_mode) = 'multi-choice', false) AS multi FROM {_once("multi_hop_questions", "self_answer, question_mode")})""",
-        "question_dedup": f"""
-            SELECT question_id, question FROM (SELECT question_id, question, row_number() OVER (PARTITION BY {_key("question")} ORDER BY question_id) AS r FROM {_once(single, "question")}) WHERE r = 1 OR question IS NULL""",
         "document_dedup": f"SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY {_key('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1 OR text IS NULL",
         "last_calls": f"WITH {_CALLS} SELECT concat_ws('/', stage, model_name) AS slot, arg_max(input_tokens, call_id) AS input_tokens FROM k GROUP BY ALL",
         "without_empties": f"""
-            SELECT question_id, nullif(additional_instructions, '') AS additional_instructions, CASE WHEN len(citations) > 0 THEN array_to_string(citations, '|') END AS citations FROM {_once(single, "additional_instructions, citations")}""",
+            WITH {_EVERY} SELECT question_id, nullif(additional_instructions, '') AS additional_instructions, CASE WHEN len(citations) > 0 THEN array_to_string(citations, '|') END AS citations FROM e""",
         "evaluation_table": f"""
             WITH {_PREPARED} SELECT kind, document_id, coalesce(question, '') AS question, coalesce(self_answer, '') AS ground_truth_answer, coalesce(kind_of, 'unknown') AS question_category, coalesce(generating_model, '') AS question_generating_model,
                 coalesce(additional_instructions, '') AS additional_instructions, coalesce(estimated_difficulty, 5)::BIGINT AS estimated_difficulty, {_GOLD_INDEX} AS gold_index, {_GOLD_TEXT} AS gold_text,
@@ -225,22 +275,8 @@ def oracle_sql() -> dict[str, str]:
         "evaluation_slim": f"""
             WITH {_PREPARED} SELECT kind, coalesce(kind_of, 'unknown') AS question_category, coalesce(generating_model, '') AS question_generating_model, count(*) AS questions, sum(len(coalesce(citations, [])))::BIGINT AS citations,
                 sum(coalesce(estimated_difficulty, 5))::BIGINT AS difficulty FROM p GROUP BY ALL""",
-        "citation_containment": f"""
-            WITH {_PREPARED}, y AS (SELECT *, coalesce(self_answer, '') AS said, list_filter(coalesce(citations, []), lambda x: x IS NOT NULL) AS cited, list_filter(texts, lambda t: t <> '') AS used FROM p WHERE kind <> 'cross_document'),
-            z AS (SELECT *, CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
-                    ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND said <> '' AND (contains(x, said) OR contains(said, x)))) / len(cited)::DOUBLE END AS a,
-                CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
-                    ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND len(list_filter(used, lambda t: contains(x, t) OR contains(t, x))) > 0)) / len(cited)::DOUBLE END AS b FROM y)
-            SELECT kind, document_id, coalesce(question, '') AS question, said AS ground_truth_answer, round(a, 6) AS answer_citation_score, round(b, 6) AS chunk_citation_score, round(0.7 * b + 0.3 * a, 6) AS citation_score FROM z""",
-        "citation_containment_across": f"""
-            WITH {_PREPARED}, y AS (SELECT *, coalesce(self_answer, '') AS said, list_filter(coalesce(citations, []), lambda x: x IS NOT NULL) AS cited, list_filter(texts, lambda t: t <> '') AS used FROM p WHERE kind = 'cross_document'),
-            z AS (SELECT *, CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
-                    ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND said <> '' AND (contains(x, said) OR contains(said, x)))) / len(cited)::DOUBLE END AS a,
-                CASE WHEN len(cited) = 0 OR (len(used) = 0 AND said = '') THEN 0.0::DOUBLE
-                    ELSE 100.0 * len(list_filter(cited, lambda x: x <> '' AND len(list_filter(used, lambda t: contains(x, t) OR contains(t, x))) > 0)) / len(cited)::DOUBLE END AS b FROM y)
-            SELECT kind, document_id, coalesce(question, '') AS question, said AS ground_truth_answer, round(a, 6) AS answer_citation_score, round(b, 6) AS chunk_citation_score, round(0.7 * b + 0.3 * a, 6) AS citation_score FROM z""",
         "rewrite_apply": f"""
-            SELECT question_id, {_strip("'In short: ' || question")} AS question, question AS original_question, question_mode, 'shorter' AS question_rewriting_rationale FROM {_once(single, "question, question_mode")} WHERE question IS NOT NULL AND question_id % 3 <> 0""",
+            WITH {_EVERY} SELECT question_id, {_strip("'In short: ' || question")} AS question, question AS original_question, question_mode, 'shorter' AS question_rewriting_rationale FROM e WHERE question IS NOT NULL AND question_id % 3 <> 0""",
         "summary_parts": f"WITH {_SUMMARY} SELECT document_id, part::BIGINT AS part, md5(text) AS text_hash FROM pt",
         "summary_combine": f"""
             WITH {_SUMMARY} SELECT document_id, md5(E'Combine:\\n' || array_to_string(list_transform(useful, lambda x: '- ' || x), E'\\n') || E'\\nEnd') AS prompt_hash FROM us WHERE len(useful) > 1""",

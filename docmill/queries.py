@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from docmill.functions import tokens, variant
 from docmill.functions.text import has_content, question_key, safe_id, strip, tag_content
 from docmill.operators import assemble, chunking, crossdoc, dedup, inference, metrics, parsing, prompts, rewriting, sampling, scoring, summarize
-from docmill.session import cut_lineage, spread, table
-from docmill.sources import convert, store
+from docmill.session import checkpoint_dir, cut_lineage, spread, table
+from docmill.sources import convert, files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUESTION_TABLES = {"single_shot": "single_shot_questions", "multi_hop": "multi_hop_questions", "cross_document": "cross_document_questions"}
@@ -46,6 +48,20 @@ def questions_once(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return table(spark, sf_dir, QUESTION_TABLES[kind]).dropDuplicates(["question_id"])
 
 
+def _every_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of the three tables once, with both keys, of which each table has one."""
+    chunk, group = F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("array<string>").alias("source_chunk_ids")
+    keys = lambda kind: ("chunk_id", group) if kind == "single_shot" else (chunk, "source_chunk_ids")
+    shared = ("question_id", "document_id", "question", "self_answer", "self_assessed_question_type", "question_mode", "choices", "citations", "generating_model", "additional_instructions", "raw_response")
+    parts = [table(spark, sf_dir, name).select(*shared, *keys(kind)) for kind, name in QUESTION_TABLES.items()]
+    return functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["question_id"])
+
+
+def _all_questions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The wanted columns of the three question tables, redelivered rows included."""
+    return functools.reduce(DataFrame.unionByName, [table(spark, sf_dir, name).select(*columns) for name in QUESTION_TABLES.values()])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` under the names of the ingested subset."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("document_text"), "document_filename")
@@ -202,14 +218,6 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.tag_histogram(prompts.multi_hop_calls(chunked_once(spark, sf_dir, *TITLED, "multihop_chunks"), MULTI_TEMPLATE))
 
 
-@query
-def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the chat of each question and answer."""
-    turn = lambda role, text: F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    chat = F.array(turn("user", F.col("question")), turn("assistant", F.col("self_answer")))
-    return questions_once(spark, sf_dir, "multi_hop").select("question_id", tokens.message_tokens(chat).cast("long").alias("tokens"))
-
-
 @query
 def model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and calls by model, each call once."""
@@ -233,8 +241,9 @@ def call_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def answered_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses with content by model."""
-    rows = table(spark, sf_dir, "single_shot_questions").select(F.lower("generating_model").alias("model_name"), F.col("raw_response").alias("response"))
-    return rows.groupBy("model_name").agg(F.count("*").alias("calls"), F.count_if(F.coalesce("response", F.lit("")) != "").alias("answered"))
+    rows = _all_questions(spark, sf_dir, "generating_model", "raw_response").select(F.lower("generating_model").alias("model_name"), F.col("raw_response").alias("response"))
+    told = rows.withColumns({"success": F.lit(True), "seconds": F.lit(0.0), "attempts": F.lit(1)})
+    return inference.call_success(told).select("model_name", "calls", "answered")
 
 
 @query
@@ -249,50 +258,21 @@ def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects in the responses' JSON lists, with their fields normalised."""
-    responses = spread(table(spark, sf_dir, "single_shot_questions").select("raw_response")).select(F.md5("raw_response").alias("response_id"), F.col("raw_response").alias("response")).where("response_id IS NOT NULL")
+    responses = _all_questions(spark, sf_dir, "raw_response").select(F.md5("raw_response").alias("response_id"), F.col("raw_response").alias("response")).where("response_id IS NOT NULL")
     once = responses.groupBy("response_id").agg(F.max("response").alias("response"))
     found = parsing.pairs(once, "response", ("response_id",))
     counted = {"citations": F.size("citations").cast("long"), "choices": F.size("choices").cast("long")}
     return found.withColumns({**counted, **_long("pair_position", "estimated_difficulty")}).withColumn("custom_fields", F.array_join(F.array_sort(F.map_keys("custom_fields")), ","))
 
 
-@query
-def analysis_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands in, or after, the analysis tag of each response."""
-    rows = questions_once(spark, sf_dir, "single_shot")
-    return rows.select("question_id", F.md5(tag_content("raw_response", "document_analysis")).alias("analysis"))
-
-
-@query
-def question_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each question may stay in its mode."""
-    rows = questions_once(spark, sf_dir, "single_shot").withColumn("choices", F.coalesce("choices", F.array().cast("array<string>")))
-    valid = parsing.mode_valid(F.coalesce(F.lower("question_mode"), F.lit(""))) & parsing.record_valid(F.col("chunk_id"), F.lit(None).cast("array<string>"))
-    return rows.select("question_id", valid.alias("valid"))
-
-
 @query
 def choices_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Choices in hashed order, with the answer moved along."""
-    rows = questions_once(spark, sf_dir, "single_shot").where("question IS NOT NULL AND size(choices) = 4 AND self_answer rlike '^[A-D]$'")
+    rows = _every_question(spark, sf_dir).where("question IS NOT NULL AND size(choices) = 4 AND self_answer rlike '^[A-D]$'")
     out = parsing.permuted_choices(rows.select("question_id", "question", "self_answer", "choices"))
     return out.select("question_id", "self_answer", F.array_join("choices", "|").alias("choices"))
 
 
-@query
-def gold_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold answers as positions or texts."""
-    index, text = assemble.gold(F.lower("question_mode"), F.col("self_answer"))
-    rows = questions_once(spark, sf_dir, "multi_hop")
-    return rows.select("question_id", F.array_join(index.cast("array<string>"), ",").alias("gold_index"), F.array_join(text, ",").alias("gold_text"))
-
-
-@query
-def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions without repetitions; the smallest id stays."""
-    return dedup.distinct_questions(questions_once(spark, sf_dir, "single_shot").select("question_id", "question"), ["question_id"])
-
-
 @query
 def document_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without copies up to case, punctuation, digits and spacing."""
@@ -310,10 +290,47 @@ def last_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def without_empties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question records with empty values as null."""
-    rows = questions_once(spark, sf_dir, "single_shot").select("question_id", "document_id", "question", "generating_model", "additional_instructions", "citations")
+    rows = _every_question(spark, sf_dir).select("question_id", "document_id", "question", "generating_model", "additional_instructions", "citations")
     return parsing.without_empties(rows).select("question_id", "additional_instructions", F.array_join("citations", "|").alias("citations"))
 
 
+
+
+@query
+def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of all three tables without repetitions; the smallest id stays."""
+    return dedup.distinct_questions(_every_question(spark, sf_dir).select("question_id", "question"), ["question_id"])
+
+
+@query
+def question_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each question of all three tables may stay: in its mode, and with one key."""
+    rows = _every_question(spark, sf_dir).withColumn("choices", F.coalesce("choices", F.array().cast("array<string>")))
+    valid = parsing.mode_valid(F.coalesce(F.lower("question_mode"), F.lit(""))) & parsing.record_valid(F.col("chunk_id"), F.col("source_chunk_ids"))
+    return rows.select("question_id", valid.alias("valid"))
+
+
+@query
+def gold_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold answers of all three tables as positions or texts."""
+    index, text = assemble.gold(F.lower("question_mode"), F.col("self_answer"))
+    return _every_question(spark, sf_dir).select("question_id", F.array_join(index.cast("array<string>"), ",").alias("gold_index"), F.array_join(text, ",").alias("gold_text"))
+
+
+@query
+def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the chat of each question and answer of all three tables."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
+    chat = F.array(turn("user", F.col("question")), turn("assistant", F.col("self_answer")))
+    return _every_question(spark, sf_dir).select("question_id", tokens.message_tokens(chat).cast("long").alias("tokens"))
+
+
+@query
+def analysis_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in, or after, the analysis tag of each response of all three tables."""
+    return _every_question(spark, sf_dir).select("question_id", F.md5(tag_content("raw_response", "document_analysis")).alias("analysis"))
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunked = chunked_once(spark, sf_dir, "document_text", "document_summary", "chunks")
     known = assemble.with_summaries(assemble.documents_once(chunked), chunked)
@@ -342,6 +359,155 @@ def evaluation_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def crossdoc_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the combined rows: how many of each size, and whether their members differ, are in order, exist, and give their chunks and names."""
+    chunked = table(spark, sf_dir, "chunked")
+    rows = crossdoc.cross_documents(chunked)
+    m, one = F.col("cross_document_metadata"), F.col("multihop_chunks")[0]
+    members = F.array_sort(F.array_distinct(m["source_documents"]))
+    fit = (F.size(members) == m["num_source_docs"]) & (members == m["source_documents"]) & (F.array_sort("cross_document_metadata.source_indices") == m["source_indices"])
+    fit &= (F.size(one["chunk_ids"]) == F.size(one["chunks_text"])) & (F.size(one["chunk_ids"]) >= m["num_source_docs"]) & F.col("document_id").startswith(F.concat(F.lit("cross_"), m["num_source_docs"].cast("string"), F.lit("docs_")))
+    each = rows.select("document_id", m["num_source_docs"].alias("size"), fit.alias("fit"), F.explode(m["source_documents"]).alias("member"))
+    known = crossdoc.usable_groups(chunked).select(F.col("document_id").alias("member")).distinct().withColumn("known", F.lit(True))
+    joined = each.join(known, "member", "left").groupBy("document_id", "size").agg(F.bool_and(F.col("fit") & F.coalesce("known", F.lit(False))).alias("fit"))
+    return joined.groupBy(F.col("size").cast("long").alias("size")).agg(F.count("*").alias("number"), F.bool_and("fit").alias("fit"))
+
+
+@query
+def sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of chunks of each document at most; a lone one stays."""
+    taken = sampling.sample_array(F.col("document_id"), F.col("multihop_chunks"), sampling.Sampling("count", 2), least=2)
+    rows = chunked_once(spark, sf_dir, "multihop_chunks").select("document_id", F.posexplode(taken).alias("n", "g"))
+    return rows.select("document_id", F.col("n").cast("long").alias("n"), F.array_join("g.chunk_ids", ",").alias("chunk_ids"))
+
+
+@query
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of chunks of every document, those without content included."""
+    rows = documents(spark, sf_dir).select("document_id", "document_text")
+    return chunking.chunk_documents(rows, 64).select("document_id", F.size("chunks").cast("long").alias("chunks"))
+
+
+@query
+def bytepair_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an unknown encoding counts as the byte pairs of 50k do, and a text has no more of those than bytes."""
+    rows = documents(spark, sf_dir)
+    odd, own = tokens.token_count("document_text", "no_such_encoding"), tokens.token_count("document_text", "byte_bpe_50k")
+    return rows.select("document_id", (odd == own).alias("same"), (own <= F.octet_length(F.coalesce("document_text", F.lit("")))).alias("bounded"))
+
+
+@query
+def summary_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each part of a document."""
+    calls = summarize.part_calls(documents(spark, sf_dir), "Sum up:\n{document}", 100, 10)
+    return calls.select("document_id", F.col("part").cast("long").alias("part"), F.md5("prompt").alias("prompt_hash"))
+
+
+@query
+def pages_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks read as transcribed pages, put together."""
+    pages = chunked_once(spark, sf_dir, "chunks").select(F.col("document_id").alias("path"), F.lit(0).alias("model_order"), F.posexplode("chunks").alias("page", "c"))
+    joined = files.joined_pages(pages.select("path", "model_order", "page", F.col("c.chunk_text").alias("text")))
+    return joined.select(F.col("path").alias("document_id"), F.md5("text").alias("text_hash"))
+
+
+def _answering(model, prompt: str) -> str:
+    """A provider that can't answer prompts of every third length."""
+    if len(prompt) % 3 == 0:
+        raise TimeoutError("too slow")
+    return f"{model.name}: {prompt}"
+
+
+@query
+def calls_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation questions asked of two models, one attempt each, with what came of it."""
+    models = [inference.Model("quill", concurrency=4), inference.Model("plume", concurrency=1)]
+    calls = table(spark, sf_dir, "eval_items").select("item_id", F.col("question").alias("prompt"))
+    found = inference.answers(calls, models, _answering, attempts=1, tasks=spark.sparkContext.defaultParallelism)
+    error = F.when(~F.col("success"), inference.error_category("error_message", "error_type"))
+    return found.select("item_id", "model_name", _long("model_order")["model_order"].alias("model_order"), "response", "success", F.col("attempts").cast("long").alias("attempts"), error.alias("error"))
+
+
+@query
+def model_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, answers and successes by model."""
+    rows = _all_questions(spark, sf_dir, "generating_model", "raw_response").select(F.lower("generating_model").alias("model_name"), F.col("raw_response").alias("response"))
+    told = rows.withColumns({"success": F.col("response").isNotNull(), "seconds": F.lit(1.0), "attempts": F.lit(1)})
+    return inference.call_success(told).select("model_name", "calls", "answered", F.round("success_rate", 6).alias("success_rate"), "avg_seconds", "avg_attempts")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one for what a query writes and reads again."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
+
+
+@query
+def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files of four kinds and read again: files by extension and bytes, those in folders for output and of other kinds left out."""
+    root = _folder(spark, "files")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for kind, place in enumerate(("a", "b/c", "output", "d")):
+        rows.where(F.col("doc_id") % 4 == kind).select("text").write.text(f"{root}/{place}", compression="gzip" if place == "d" else None)
+    found = files.files(spark, root, (".txt",))
+    return found.groupBy("extension").agg(F.sum("length").alias("bytes"), F.sum(F.octet_length(convert.utf8("content"))).cast("long").alias("text_bytes"))
+
+
+@query
+def files_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files and ingested: the bytes of their stripped texts, each file once."""
+    root = _folder(spark, "ingest")
+    table(spark, sf_dir, "eval_items").select("passage").coalesce(1).write.text(root)
+    rows = files.ingested(files.texts(files.files(spark, root, (".txt",))))
+    return rows.select(F.md5("document_text").alias("text_hash"), F.col("document_metadata.file_size").alias("file_size"), (F.length("document_id") == 32).alias("named"))
+
+
+@query
+def subset_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls saved to a store, with more of them added, then replaced by a table made of itself, and loaded again."""
+    kept = store.SubsetStore(spark, _folder(spark, "store"))
+    rows = table(spark, sf_dir, "cost_log").select("call_id", "model_name", "input_tokens")
+    kept.save(rows.where("call_id % 2 = 0"), "calls")
+    kept.save(rows.where("call_id % 2 <> 0"), "calls", append=True)
+    kept.save(store.replace_columns(kept.load("calls"), {"model_name": F.lower("model_name"), "known": F.col("input_tokens").isNotNull()}), "calls")
+    return kept.load("calls")
+
+
+@query
+def subset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question tables exported as JSON lines and read again."""
+    folder = _folder(spark, "export")
+    parts = []
+    for name in QUESTION_TABLES.values():
+        store.write_jsonl(table(spark, sf_dir, name).select("question_id", "question"), f"{folder}/{name}")
+        parts.append(spark.read.schema("question_id long, question string").json(f"{folder}/{name}").withColumn("subset", F.lit(name)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query
+def call_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls written to the log and totalled from it, in the models' order."""
+    folder = _folder(spark, "log")
+    calls = metrics.calls_once(table(spark, sf_dir, "cost_log"))
+    metrics.write_call_log(calls, f"{folder}/log")
+    metrics.write_totals(spark.read.schema(metrics.LOG).option("header", True).csv(f"{folder}/log"), f"{folder}/totals")
+    return spark.read.schema("model_name string, total_input_tokens long, total_output_tokens long, total_calls long").option("header", True).csv(f"{folder}/totals")
+
+
+@query
+def custom_fields_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a custom schema, from responses to the evaluation table."""
+    words = tokens.word_tokens("question")
+    item = F.to_json(F.array(F.struct(F.col("question"), F.lit("open").alias("answer"), F.lit("q").alias("question_type"), F.element_at(words, 1).alias("hint"), F.size(words).alias("steps"))))
+    asked = table(spark, sf_dir, "eval_items").where(has_content("question"))
+    answered = asked.select(F.col("item_id").cast("string").alias("document_id"), F.lit("c").alias("chunk_id"), F.lit("quill").alias("generating_model"), F.concat(F.lit("<output_json>"), item, F.lit("</output_json>")).alias("response"))
+    found = parsing.questions(answered, "chunk_id", "open-ended")
+    none = spark.createDataFrame([], "document_id string, document_text string, chunks array<struct<chunk_id: string, chunk_text: string>>, document_summary string")
+    rows = assemble.records(found, "single_shot", none, F.col("question_mode"))
+    return rows.select("document_id", "question", F.col("custom_fields")["hint"].alias("hint"), F.col("custom_fields")["steps"].cast("long").alias("steps"), F.size("custom_fields").cast("long").alias("fields"))
+
+
 def _contained(rows: DataFrame) -> DataFrame:
     found = scoring.containment(F.col("citations"), F.col("chunks"), F.col("ground_truth_answer"))
     return rows.select("kind", "document_id", "question", "ground_truth_answer", *[F.round(v, 6).alias(k) for k, v in found.items()])
@@ -349,14 +515,18 @@ def _contained(rows: DataFrame) -> DataFrame:
 
 @query
 def citation_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation scores where only containment counts, of the questions on one document; its SQL has these kinds only."""
-    return _contained(_prepared(spark, sf_dir).where("kind <> 'cross_document'"))
+    """Citation scores where only containment counts, of questions of every kind."""
+    return _contained(_prepared(spark, sf_dir))
 
 
 @query
-def citation_containment_across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of the questions across documents, which ``citation_containment`` leaves out."""
-    return _contained(_prepared(spark, sf_dir).where("kind = 'cross_document'"))
+def citation_scores_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the best window similarities: full where every citation is contained, 0 without any, and in bounds."""
+    rows = citation_scores(spark, sf_dir)
+    full = lambda c: (F.col(c) == 100).alias(c)
+    bounds = functools.reduce(lambda a, b: a & b, [F.col(c).between(0, 100) for c in scoring.SCORES.names])
+    weighted = F.abs(F.col("citation_score") - 0.7 * F.col("chunk_citation_score") - 0.3 * F.col("answer_citation_score")) < 1e-9
+    return rows.select("kind", "document_id", "question", full("answer_citation_score"), full("chunk_citation_score"), (bounds & weighted).alias("sound"))
 
 
 @query
@@ -369,7 +539,7 @@ def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rewrite_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions reworded by responses made of their own words; every third response is unusable."""
-    rows = questions_once(spark, sf_dir, "single_shot").where("question IS NOT NULL")
+    rows = _every_question(spark, sf_dir).where("question IS NOT NULL")
     new = F.concat(F.lit("<rewritten_question> In short: "), "question", F.lit(" </rewritten_question><question_rewriting_rationale>shorter</question_rewriting_rationale>"))
     responses = rows.select("question_id", F.lit("quill").alias("rewriting_model"), F.when(F.col("question_id") % 3 == 0, "no tags").otherwise(new).alias("response"))
     out = rewriting.rewritten(rows, responses)
