@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,48 +35,38 @@ def chunks(document_id: Column | str, text: Column | str, size: int, overlap: in
     return F.when(has_content(text), named).otherwise(F.array().cast("array<struct<chunk_id:string,chunk_text:string>>"))
 
 
-def draw_plan(n: int, least: int, most: int, factor: int = 1) -> tuple[int, list[tuple[int, int]]]:
-    """How many groups ``n`` chunks give, and how many draws of each size are made for them.
-
-    The wanted number is one group per ``factor`` chunks, spread evenly over the sizes; a size of
-    which there aren't that many chunks is drawn at most five times.
-    """
-    if n == 1:
-        return 1, [(1, 1)]
-    if n < least:
-        return 0, []
-    sizes = range(least, min(most, n) + 1)
-    wanted = max(1, n // factor)
-    each = max(1, wanted // len(sizes))
-    return wanted, [(k, each if each < n else min(5, n // k)) for k in sizes]
-
-
 def combinations(document_id: Column | str, n: Column, least: int = 2, most: int = 5, factor: int = 1) -> Column:
     """Groups of chunk positions of a document, as ARRAY<ARRAY<INT>>.
 
-    A draw takes, of all positions, those with the smallest hash of document, size, draw and
-    position: without replacement, the same in every run, and independent of the partitioning.
-    Equal draws count once; smaller groups come first; one chunk forms a group of its own, and
-    fewer chunks than the smallest group give none.
+    One group per ``factor`` chunks is wanted, spread evenly over the sizes; a size of which there
+    aren't that many chunks is drawn at most five times. A draw's positions come from hashes of
+    document, size, draw and attempt, taken modulo the number of chunks; a position that the draw
+    has already is rejected, and after ``2 * size + 6`` attempts the first positions fill up. So a
+    draw costs the same in any document, is the same in every run, and independent of the
+    partitioning. Equal draws count once; smaller groups come first; one chunk forms a group of its
+    own, and fewer chunks than the smallest group give none.
     """
     if not 1 <= least <= most or factor < 1:
         raise ValueError("sizes must satisfy 1 <= least <= most, and the factor be at least 1")
     key = F.col(document_id) if isinstance(document_id, str) else document_id
     count = F.coalesce(n.cast("int"), F.lit(0))
-    positions = F.sequence(F.lit(0), count - 1)
     wanted = F.greatest(F.lit(1), F.floor(count / factor).cast("int"))
     last = F.least(F.lit(most), count)
     each = F.greatest(F.lit(1), F.floor(wanted / (last - least + 1)).cast("int"))
 
     def draw(size: Column, number: Column) -> Column:
-        ranked = F.array_sort(F.transform(positions, lambda i: F.struct(F.md5(F.concat_ws(":", key.cast("string"), size.cast("string"), number.cast("string"), i.cast("string"))).alias("h"), i.alias("i"))))
-        return F.array_sort(F.transform(F.slice(ranked, F.lit(1), size), lambda x: x["i"]))
+        """A draw as text, which an array tells apart by hashing."""
+        named = lambda t: F.md5(F.concat_ws(":", key.cast("string"), size.cast("string"), number.cast("string"), t.cast("string")))
+        tried = F.transform(F.sequence(F.lit(0), 2 * size + 5), lambda t: (F.conv(F.substring(named(t), 1, 8), 16, 10).cast("long") % count).cast("int"))
+        some = F.slice(F.array_distinct(F.concat(tried, F.sequence(F.lit(0), F.least(2 * size, count) - 1))), F.lit(1), size)
+        return F.array_join(F.array_sort(some).cast("array<string>"), ",")
 
     def of_size(size: Column) -> Column:
         draws = F.when(each < count, each).otherwise(F.least(F.lit(5), F.floor(count / size).cast("int")))
-        return F.when(draws > 0, F.transform(F.sequence(F.lit(0), draws - 1), lambda d: draw(size, d))).otherwise(F.array().cast("array<array<int>>"))
+        return F.when(draws > 0, F.transform(F.sequence(F.lit(0), draws - 1), lambda d: draw(size, d))).otherwise(F.array().cast("array<string>"))
 
-    many = F.slice(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), last), of_size))), F.lit(1), wanted)
+    texts = F.slice(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), last), of_size))), F.lit(1), wanted)
+    many = F.transform(texts, lambda t: F.split(t, ",").cast("array<int>"))
     return F.when(count == 1, F.array(F.array(F.lit(0)))).when(count < F.lit(least), F.array().cast("array<array<int>>")).when(count < 1, F.array().cast("array<array<int>>")).otherwise(many)
 
 
@@ -105,8 +93,3 @@ def chunk_statistics(chunked: DataFrame) -> DataFrame:
 def chunk_totals(chunked: DataFrame) -> DataFrame:
     """One row: chunks and groups of all documents."""
     return chunked.agg(F.sum(F.size("chunks")).alias("chunks"), F.sum(F.size("multihop_chunks")).alias("groups"))
-
-
-def possible_groups(n: int, least: int, most: int) -> int:
-    """Number of different groups of the allowed sizes."""
-    return sum(comb(n, k) for k in range(least, min(most, n) + 1))

@@ -187,8 +187,11 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT document_id, n, greatest(1, n) AS wanted, least(5, n) AS last, unnest(generate_series(2, least(5, n))) AS size FROM n WHERE n >= 2),
             e AS (SELECT *, greatest(1, wanted // (last - 1)) AS each FROM s),
             d AS (SELECT *, unnest(generate_series(0, CASE WHEN each < n THEN each ELSE least(5, n // size) END - 1)) AS draw FROM e),
-            i AS (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM d),
-            r AS (SELECT *, row_number() OVER (PARTITION BY document_id, size, draw ORDER BY md5(document_id || ':' || size || ':' || draw || ':' || i)) AS k FROM i),
+            a AS (SELECT *, unnest(generate_series(0, 2 * size + 5)) AS attempt FROM d),
+            i AS (SELECT document_id, n, wanted, size, draw, attempt, ('0x' || md5(document_id || ':' || size || ':' || draw || ':' || attempt)[1:8])::BIGINT % n AS i FROM a
+                  UNION ALL SELECT document_id, n, wanted, size, draw, 1000 + f, f FROM (SELECT *, unnest(generate_series(0, least(2 * size, n) - 1)) AS f FROM d)),
+            m AS (SELECT document_id, wanted, size, draw, i, min(attempt) AS attempt FROM i GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY document_id, size, draw ORDER BY attempt) AS k FROM m),
             g AS (SELECT document_id, wanted, size, draw, string_agg(i::VARCHAR, ',' ORDER BY i) AS positions FROM r WHERE k <= size GROUP BY ALL),
             u AS (SELECT document_id, wanted, positions, min(size * 1000000 + draw) AS first FROM g GROUP BY ALL),
             o AS (SELECT document_id, wanted, positions, row_number() OVER (PARTITION BY document_id ORDER BY first) - 1 AS n FROM u)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions import tokens, variant
+from docmill.functions import tokens
 from docmill.functions.text import has_content, question_key, safe_id, strip, tag_content
 from docmill.operators import assemble, chunking, crossdoc, dedup, inference, metrics, parsing, prompts, rewriting, sampling, scoring, summarize
 from docmill.session import checkpoint_dir, cut_lineage, spread, table
@@ -605,8 +605,3 @@ def questions_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = dedup.distinct_questions(found, ["document_id", "chunk_id", "pair_position"])
     score = scoring.containment(F.col("citations"), F.array("chunk_text"), F.col("self_answer"))["citation_score"]
     return once.select("document_id", "chunk_id", "question", "self_answer", F.col("estimated_difficulty").cast("long").alias("estimated_difficulty"), score.alias("citation_score"))
-
-
-def response_lists(responses: DataFrame) -> DataFrame:
-    """Number of items of each response's list, null without one."""
-    return responses.withColumn("items", F.size(variant.response_items("raw_response")))

@@ -37,8 +37,9 @@ def test_combinations(spark, n):
     if n < 2:
         assert groups == ([[0]] if n == 1 else [])
         return
-    wanted, plan = chunking.draw_plan(n, 2, 5)
-    assert 1 <= len(groups) <= min(wanted, sum(d for _, d in plan))
+    sizes = range(2, min(5, n) + 1)
+    each = max(1, n // len(sizes))
+    assert 1 <= len(groups) <= min(n, sum(each if each < n else min(5, n // k) for k in sizes))
     assert len({tuple(g) for g in groups}) == len(groups)
     assert all(g == sorted(set(g)) and 2 <= len(g) <= 5 and max(g) < n for g in groups)
 
