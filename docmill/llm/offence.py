@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 MAX_LABELLED = 2000
 
 #: Hash buckets, dimensions of their embeddings, and lengths of the character n-grams.
-BUCKETS, DIMENSIONS, NGRAMS = 1 << 18, 4, (3, 4)
+BITS, DIMENSIONS, NGRAMS = 18, 4, (3, 4)
+BUCKETS = 1 << BITS
 
 #: Rounds of cross-training, steps of each training, and the step size.
 ROUNDS, STEPS, RATE = 2, 30, 0.06
@@ -54,6 +55,7 @@ LOOKALIKE = str.maketrans("аеорсхуікмтвнԁѕјһӏԛԝ", "aeopcxyik
 #: Signs written for letters (fixed values).
 FOR_LETTER = str.maketrans({"@": "a", "!": "i", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "€": "e"})
 
+_U64 = np.uint64
 _STATEMENT = re.compile(r"[.!?][\"'”’»)」]*\s+|。[」』]?|[\r\n\u0085\u2028\u2029\f]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:[@!$*#'’]+[^\W_]+)*[*#]*|[@#*$]+[^\W_]+(?:[@!$*#]+[^\W_]*)*")
@@ -102,20 +104,31 @@ def statements(text: str | None) -> list[str]:
     return [s for s in _STATEMENT.split(plain(text)) if s and not s.isspace()] if text else []
 
 
-def word_buckets(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams; numbers are all alike."""
-    if word.isdigit():
-        word = "0"
-    marked = f"<{word}>"
-    crc, last = zlib.crc32, BUCKETS - 1  # a power of two
-    if marked.isascii():
-        b = marked.encode()
-        buckets = [crc(b, 1) & last]
-        for n in NGRAMS:
-            buckets += [crc(b[i : i + n]) & last for i in range(len(b) - n + 1)]
-        return buckets
-    grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [crc(marked.encode("utf-8", "surrogatepass"), 1) & last, *(crc(g.encode("utf-8", "surrogatepass")) & last for g in grams)]
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of each word, one word's after another's, and how many each has: the word and its character n-grams. Numbers are all alike.
+
+    All words are hashed at once: an n-gram by a polynomial of its code points, a word by one of its own.
+    """
+    marked = [f"<{'0' if w.isdigit() else w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in marked], np.int64)
+    ends = np.cumsum(sizes)
+    starts, owner = ends - sizes, np.repeat(np.arange(len(words)), sizes)
+    place = (np.arange(len(codes)) - starts[owner]).astype(np.uint64)
+    whole = np.add.reduceat(codes * (place * place * _U64(0x9E3779B97F4A7C15) + place * _U64(0xC2B2AE3D27D4EB4F) + _U64(0xD6E8FEB86659FD93)), starts) if len(words) else np.empty(0, np.uint64)
+    hashes, of = [whole * _U64(0xFF51AFD7ED558CCD)], [np.arange(len(words))]
+    for n in NGRAMS:
+        first = np.flatnonzero(np.arange(len(codes)) + n <= ends[owner]) if len(codes) else np.empty(0, np.int64)
+        h = np.full(len(first), n, np.uint64)
+        for k in range(n):
+            h = (h ^ codes[first + k]) * _U64(0xBF58476D1CE4E5B9)
+            h ^= h >> _U64(29)
+        hashes.append(h * _U64(0x94D049BB133111EB))
+        of.append(owner[first])
+    word = np.concatenate(of)
+    order = np.argsort(word, kind="stable")
+    buckets = (np.concatenate(hashes) >> _U64(64 - BITS)).astype(np.int64)
+    return buckets[order], np.bincount(word, minlength=len(words))
 
 
 def pair_bucket(a: str, b: str) -> int:
@@ -178,19 +191,16 @@ class Bags:
                     for unit in (*words, *word_pairs(words)):
                         rows.append(s)
                         columns.append(units.setdefault(unit, len(units)))
-        buckets: dict[int, int] = {}
-        unit_rows, unit_columns = [], []
-        for unit, u in units.items():
-            for b in (pair_bucket(*unit),) if isinstance(unit, tuple) else word_buckets(unit):
-                unit_rows.append(u)
-                unit_columns.append(buckets.setdefault(b, len(buckets)))
         as_int = lambda x: np.array(x, np.int64)
         self.pairs = [u for u in units if isinstance(u, tuple)]
+        lone = [u for u in units if not isinstance(u, tuple)]
+        found, many = word_buckets(lone)
+        unit_rows = np.concatenate([np.repeat(as_int([units[w] for w in lone]), many), as_int([units[p] for p in self.pairs])])
+        self.bucket, unit_columns = np.unique(np.concatenate([found, as_int([pair_bucket(*p) for p in self.pairs])]), return_inverse=True)
         self.document = as_int(document)
-        self.bucket = as_int(list(buckets))
         self.statements = _Sparse(as_int(rows), as_int(columns), (len(document), len(units)))
-        self.units = _Sparse(as_int(unit_rows), as_int(unit_columns), (len(units), len(buckets)))
-        per_unit = np.bincount(as_int(unit_rows), minlength=len(units)).astype(np.float32)[None]
+        self.units = _Sparse(unit_rows, unit_columns, (len(units), len(self.bucket)))
+        per_unit = np.bincount(unit_rows, minlength=len(units)).astype(np.float32)[None]
         self.size = self.statements.times(per_unit)[0] + SHRINK
 
 
@@ -298,54 +308,85 @@ def _first_guess(bags: Bags, positive: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """One worker's scorer, with what it has already looked up."""
+    """One worker's scorer, with what it has already looked up; the texts of a batch are scored together."""
 
     def __init__(self, scores: np.ndarray, pairs: dict[tuple[str, str], float], bias: float):
-        self.scores, self.bias = scores.tolist(), bias
-        self.after: dict[str, dict[str, float]] = {}
-        for (first, second), value in pairs.items():
-            self.after.setdefault(first, {})[second] = value
-        self.words: dict[str, tuple[float, int, dict[str, float] | None]] = {}
+        self.scores, self.bias = scores.astype(np.float64), bias
+        self.learned = list(dict.fromkeys(w for p in pairs for w in p))
         self.known: dict[str, float] = {}
-
-    def _word(self, word: str) -> tuple[float, int, dict[str, float] | None]:
-        """What a word adds, its number of features with that of its pair, and what words after it add."""
-        marks = word_buckets(word)
-        value = self.words[word] = (sum(map(self.scores.__getitem__, marks)), len(marks) + 1, self.after.get(word))
-        return value
-
-    def _logit(self, statement: str, signs: bool) -> float:
-        worst = -30.0
-        get = self.words.get
-        for words in parts(tokens(statement, signs)):
-            total, n, after = 0.0, SHRINK, None
-            for w in words:
-                value = get(w) or self._word(w)
-                total += value[0]
-                n += value[1]
-                if after is not None:
-                    total += after.get(w, 0.0)
-                after = value[2]
-            worst = max(worst, total / n + self.bias)
-        return worst
+        self._begin()
+        number = self.number
+        keys = np.array([number[a] << 32 | number[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_values = keys[order], np.array(list(pairs.values()), np.float64)[order]
+
+    def _begin(self) -> None:
+        """Forget all words but those of the learned pairs."""
+        self.number: dict[str, int] = {}
+        self.value, self.size = np.empty(0), np.empty(0)
+        self._learn(self.learned)
+
+    def _learn(self, words: list[str]) -> None:
+        """Number words, with what each adds and its number of features with that of its pair."""
+        if not words:
+            return
+        buckets, many = word_buckets(words)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.value = np.concatenate([self.value, np.add.reduceat(self.scores[buckets], np.cumsum(many) - many)])
+        self.size = np.concatenate([self.size, many + 1.0])
+
+    def _logits(self, statements_: list[str], signs: list[bool]) -> list[float]:
+        """The worst logit of each statement's parts."""
+        flat: list[str] = []
+        starts, owner = [], []
+        for k, (statement, own) in enumerate(zip(statements_, signs)):
+            for words in parts(tokens(statement, own)):
+                starts.append(len(flat))
+                owner.append(k)
+                flat += words
+        out = np.full(len(statements_), -30.0)
+        if not flat:
+            return out.tolist()
+        number = self.number
+        self._learn([w for w in dict.fromkeys(flat) if w not in number])
+        ids = np.array([*map(number.__getitem__, flat)], np.int64)
+        begin = np.array(starts)
+        total = np.add.reduceat(self.value[ids], begin)
+        if len(self.pair_keys):
+            same = np.ones(len(ids) - 1, bool)
+            same[begin[1:] - 1] = False
+            at = np.flatnonzero(same & (ids[:-1] < len(self.learned)) & (ids[1:] < len(self.learned)))
+            keys = ids[at] << 32 | ids[at + 1]
+            place = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            hit = self.pair_keys[place] == keys
+            np.add.at(total, np.searchsorted(begin, at[hit], "right") - 1, self.pair_values[place[hit]])
+        np.maximum.at(out, np.array(owner), total / (np.add.reduceat(self.size[ids], begin) + SHRINK) + self.bias)
+        return out.tolist()
+
+    def batch(self, texts: list[str | None]) -> list[tuple[float, str | None]]:
+        """Probability of each text's worst statement, and that statement."""
+        if len(self.number) > 500_000 + len(self.learned):
+            self._begin()
+        if len(self.known) > 300_000:
+            self.known.clear()
+        known, cut, fresh = self.known, [], {}
+        for text in texts:
+            whole = plain(text) if text else ""
+            own = [s for s in _STATEMENT.split(whole) if s and not s.isspace()]
+            cut.append(own)
+            new = [s for s in own if s not in known]
+            if new:
+                fresh.update(dict.fromkeys(new, _SIGN.search(whole) is not None))
+        known.update(zip(fresh, self._logits(list(fresh), list(fresh.values()))))
+        out = []
+        for own in cut:
+            worst = max(own, key=known.__getitem__, default=None)
+            out.append((0.0, None) if worst is None else (1 / (1 + math.exp(-known[worst])), worst))
+        return out
 
     def score(self, text: str | None) -> tuple[float, str | None]:
-        """Probability of the worst statement, and that statement."""
-        for memory, most in ((self.words, 500_000), (self.known, 300_000)):
-            if len(memory) > most:
-                memory.clear()
-        worst, where = -30.0, None
-        whole = plain(text) if text else ""
-        signs = _SIGN.search(whole) is not None
-        for s in _STATEMENT.split(whole):
-            logit = self.known.get(s)
-            if logit is None:
-                if not s or s.isspace():
-                    continue
-                logit = self.known[s] = self._logit(s, signs)
-            if logit > worst:
-                worst, where = logit, s
-        return (1 / (1 + math.exp(-worst)) if where is not None else 0.0), where
+        """:meth:`batch` of one text."""
+        return self.batch([text])[0]
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -369,7 +410,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         gc.disable()  # nothing here forms cycles, and the collector would walk the scorer's memory again and again
         try:
             for batch in batches:
-                found = [scorer.score(t) for t in batch.column(2).to_pylist()]
+                found = scorer.batch(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:2], pa.array([s for s, _ in found], pa.float64()), pa.array([w if s > THRESHOLD else None for s, w in found], pa.string())], SCHEMA.names
                 )
