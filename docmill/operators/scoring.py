@@ -8,6 +8,9 @@ invariants are ours: 0 <= score <= 100, containment <=> 100, symmetric in its ar
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,66 +19,129 @@ from pyspark.sql import types as T
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("answer_citation_score", "chunk_citation_score", "citation_score")])
 
 
-def _common_subsequence(short: str, long: str, masks: dict[str, int]) -> list[int]:
-    """Longest common subsequence of ``short`` with ``long`` by the bit-parallel recurrence."""
-    full = (1 << len(short)) - 1
-    v = full
-    for c in long:
-        u = v & masks.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(short) - v.bit_count()
+#: Windows that are compared together.
+LANES = 1 << 16
 
 
-def _best_between(masks: list[int], m: int, first: int, last: int) -> int:
-    """The longest common subsequence with any window that starts from ``first`` to ``last``: the recurrence for all of them in one number, a lane of m bits and one for the carry each."""
-    lane, shared, full = m + 1, 0, 0
-    for k in range(last - first + m):
-        shared |= masks[first + k] << (k * lane)
-    for k in range(last - first + 1):
-        full |= ((1 << m) - 1) << (k * lane)
-    v = full
-    for j in range(m):
-        u = v & (shared >> (j * lane))
-        v = ((v + u) | (v - u)) & full
-    return max(m - ((v >> (k * lane)) & ((1 << m) - 1)).bit_count() for k in range(last - first + 1))
+def _masks(short: str, long: str, words: int) -> np.ndarray:
+    """For each character of ``long``, the places at which ``short`` has it, as bits of 64-bit words."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(short):
+        places[c] = places.get(c, 0) | 1 << i
+    known = np.zeros((len(places) + 1, words), np.uint64)
+    number = {}
+    for k, (c, bits) in enumerate(places.items(), 1):
+        number[c] = k
+        known[k] = np.frombuffer(bits.to_bytes(8 * words, "little"), np.uint64)
+    return known[[number.get(c, 0) for c in long]]
 
 
-def partial_ratio(a: str | None, b: str | None) -> int:
-    """Best window similarity of two texts, 0 to 100, over every start.
+def best_windows(pairs: list[tuple[str, str]]) -> list[int]:
+    """For each pair of a short and a long text, the longest common subsequence of the short one with any window of its length.
 
-    A shift by one changes the common subsequence by at most one, so the starts between two
-    compared windows are left out only where they can't exceed the best.
+    The bit-parallel recurrence runs over all windows of all pairs at once, a lane each, a character
+    of the window a step; pairs whose short texts need equally many 64-bit words go together.
     """
-    if not a or not b:
-        return 0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if short in long:
-        return 100
-    masks: dict[str, int] = {}
-    for i, c in enumerate(short):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    m, end = len(short), len(long) - len(short)
-    starts = sorted({*range(0, end + 1, max(1, m // 8)), end})
-    rated = [_common_subsequence(short, long[s : s + m], masks) for s in starts]
-    best = max(rated)
-    gaps = sorted((((x + y + t - s) // 2, s, t) for s, t, x, y in zip(starts, starts[1:], rated, rated[1:]) if t - s > 1), reverse=True)
-    at = [masks.get(c, 0) for c in long] if gaps and gaps[0][0] > best else []
-    for most, s, t in gaps:
-        if most <= best:
-            break
-        best = max(best, _best_between(at, m, s + 1, t - 1))
-    return min(99, round(100 * best / m))
+    out = [0] * len(pairs)
+    by_words: dict[int, list[int]] = {}
+    for k, (short, _) in enumerate(pairs):
+        by_words.setdefault(-(-len(short) // 64), []).append(k)
+    for words, own in by_words.items():
+        own.sort(key=lambda k: -len(pairs[k][0]))
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for k in own:
+            short, long = pairs[k]
+            masks, windows = _masks(short, long, words), len(long) - len(short) + 1
+            for start in range(0, windows, LANES):
+                part = masks[start : min(start + LANES, windows) + len(short) - 1]
+                waiting.append((k, part))
+                held += len(part) - len(short) + 1
+                if held >= LANES:
+                    _run(pairs, waiting, words, out)
+                    waiting, held = [], 0
+        if waiting:
+            _run(pairs, waiting, words, out)
+    return out
+
+
+def _run(pairs: list[tuple[str, str]], parts: list[tuple[int, np.ndarray]], words: int, out: list[int]) -> None:
+    """The recurrence over the windows of ``parts``, sorted by falling length of their short texts."""
+    sizes = np.array([len(pairs[k][0]) for k, _ in parts])
+    lanes = np.array([len(m) for _, m in parts]) - sizes + 1
+    ends = np.cumsum(lanes)
+    masks = np.concatenate([m for _, m in parts]).T.copy()
+    base = np.concatenate([[0], np.cumsum([len(m) for _, m in parts])[:-1]])
+    at = np.arange(ends[-1]) + np.repeat(base - (ends - lanes), lanes)
+    free = np.full((words, ends[-1]), ~np.uint64(0))  # a bit per character of the short text that no common subsequence has used
+    for step in range(sizes[0]):
+        n = ends[np.searchsorted(-sizes, -step, "left") - 1]  # of the lanes whose text is longer than this
+        carry = None
+        for w in range(words):
+            v = free[w, :n]
+            used = v & masks[w, at[:n] + step]
+            total = v + used
+            over = total < used
+            if carry is not None:
+                total += carry
+                over |= (total == 0) & carry
+            carry = over
+            free[w, :n] = total | (v ^ used)
+    left = np.zeros(ends[-1], np.int64)
+    for w in range(words):
+        bits = np.clip(sizes - 64 * w, 0, 64)
+        full = np.array([(1 << int(b)) - 1 for b in bits], np.uint64)
+        left += np.bitwise_count(free[w] & np.repeat(full, lanes))
+    common = np.maximum.reduceat(np.repeat(sizes, lanes) - left, ends - lanes)
+    for (k, _), best in zip(parts, common):
+        out[k] = max(out[k], int(best))
+
+
+def ratios(pairs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """Best window similarity of pairs of texts, 0 to 100, over every window."""
+    known, open_ = {}, {}
+    for a, b in pairs:
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        if not short or short in long:
+            known[a, b] = 100 if short else 0
+        else:
+            open_[a, b] = (short, long)
+    best = best_windows(list(open_.values()))
+    return known | {pair: min(99, round(100 * n / len(short))) for (pair, (short, _)), n in zip(open_.items(), best)}
+
+
+def partial_ratio(a: str | None, b: str | None) -> int:
+    """Best window similarity of two texts, 0 to 100."""
+    return ratios({(a, b)})[a, b] if a and b else 0
 
 
 def citation_scores(citations, chunks, answer: str | None, alpha: float = 0.7, beta: float = 0.3) -> tuple[float, float, float]:
     """(answer score, chunk score, weighted score) of one row; zeros without citations, or without chunks and answer."""
-    cited = [c for c in (citations if citations is not None else []) if c is not None]
-    texts = [c for c in (chunks if chunks is not None else []) if c]
-    if not cited or (not texts and not answer):
-        return 0.0, 0.0, 0.0
-    by_answer = sum(partial_ratio(c, answer) for c in cited) / len(cited)
-    by_chunk = sum(max((partial_ratio(c, t) for t in texts), default=0) for c in cited) / len(cited)
-    return float(by_answer), float(by_chunk), alpha * by_chunk + beta * by_answer
+    return batch_scores([citations], [chunks], [answer], alpha, beta)[0]
+
+
+def batch_scores(citations: Iterable, chunks: Iterable, answers: Iterable, alpha: float = 0.7, beta: float = 0.3) -> list[tuple[float, float, float]]:
+    """:func:`citation_scores` of many rows; each different pair of texts is compared once."""
+    rows, wanted = [], set()
+    for own, around, said in zip(citations, chunks, answers):
+        cited = [c for c in (own if own is not None else []) if c is not None]
+        texts = [t for t in (around if around is not None else []) if t]
+        if not cited or (not texts and not said):
+            rows.append(None)
+            continue
+        rows.append((cited, texts, said))
+        wanted.update((c, t) for c in cited for t in (*texts, *([said] if said else ())))
+    ratio = ratios(wanted)
+    out = []
+    for row in rows:
+        if row is None:
+            out.append((0.0, 0.0, 0.0))
+            continue
+        cited, texts, said = row
+        by_answer = sum(ratio[c, said] if said else 0 for c in cited) / len(cited)
+        by_chunk = sum(max((ratio[c, t] for t in texts), default=0) for c in cited) / len(cited)
+        out.append((float(by_answer), float(by_chunk), alpha * by_chunk + beta * by_answer))
+    return out
 
 
 def _check(alpha: float, beta: float) -> None:
@@ -89,7 +155,7 @@ def scores(citations: Column, chunks: Column, answer: Column, alpha: float = 0.7
 
     @F.pandas_udf(SCORES)
     def score(c: pd.Series, t: pd.Series, a: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([citation_scores(x, y, z, alpha, beta) for x, y, z in zip(c, t, a)], columns=SCORES.names)
+        return pd.DataFrame(batch_scores(c, t, a, alpha, beta), columns=SCORES.names)
 
     return score(citations, chunks, answer)
 
