@@ -72,9 +72,9 @@ def word_sketch(records: DataFrame) -> np.ndarray:
     text = F.lower(F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("self_answer", F.lit(""))))
     word = F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")))
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    counts = records.select(word.alias("word")).groupBy(bucket).count().toPandas()
+    counts = records.select(word.alias("word")).groupBy(bucket).count().toArrow()  # 12 MB at most
     sketch = np.zeros(BUCKETS, np.uint32)
-    sketch[counts["bucket"].to_numpy(np.int64)] = np.minimum(counts["count"].to_numpy(np.int64), 2**32 - 1)
+    sketch[counts.column("bucket").to_numpy()] = np.minimum(counts.column("count").to_numpy(), 2**32 - 1)
     return sketch
 
 

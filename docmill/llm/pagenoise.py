@@ -465,8 +465,8 @@ def clean(lines: list[str | None], kinds: set[str], answers: dict[Ask, str], fre
     return [k for k in KINDS if k in found], "\n\n".join(repaired)
 
 
-#: A word that isn't part of a code, address or formula.
-_INTACT_WORD = r"(?<![\p{L}\p{N}_/+=@]|[\p{N}/_]\p{L}{0,9}-)\p{L}+(?![\p{L}\p{N}_/+=@]|-\p{L}{0,9}[\p{N}/_])"
+#: A word, a compound with hyphens, or a code, address or formula as a whole; and what tells these from words.
+_INTACT_TOKEN, _NO_WORD = r"[\p{L}\p{N}_/+=@]+(?:-[\p{L}\p{N}_/+=@]+)*+", r"[\p{N}_/+=@]"
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
@@ -476,7 +476,8 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     """
     feeds = F.regexp_replace("text", _LINE_END, "\n")
     intact = documents.where(F.col("text").isNotNull() & ~feeds.rlike(_BROKEN))
-    tokens = intact.select(F.regexp_extract_all("text", F.lit(_INTACT_WORD), 0).alias("w"))
+    whole = F.filter(F.regexp_extract_all("text", F.lit(_INTACT_TOKEN), 0), lambda t: ~t.rlike(_NO_WORD))
+    tokens = intact.select(F.split(F.array_join(whole, " "), "[ -]").alias("w"))
     pairs = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat(a, ' ', b))")
     words = F.transform("w", lambda x: F.lower(x))
     keys = tokens.select(F.explode(F.array_distinct(F.concat(words, pairs, "w"))).alias("key")).where(F.col("key").rlike(r"^(?:\p{Ll}+(?: \p{Ll}+)?|\p{Lu}\p{Ll}+)$"))
@@ -591,7 +592,7 @@ def repaired(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     known = cut_lineage(vocabulary(documents))
     common = known.where(F.col("key").rlike(r"^\p{Ll}+$")).orderBy(F.desc("n"), "key").limit(FREQUENT)
-    frequent = {r["key"] for r in common.select("key").collect()}
+    frequent = set(common.select("key").toArrow().column("key").to_pylist())
     pages = cut_lineage(read(documents, frequent))
     own = pages.select("document_id", F.explode("asks").alias("a")).select("document_id", "a.*")
     asks = cut_lineage(own.select("word", "marks", "before", "after").distinct())

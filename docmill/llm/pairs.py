@@ -153,8 +153,9 @@ class Languages:
         counts: dict[str, dict[int, int]] = {}
         kept = language_counts(documents)
         known = kept.where((F.col("bucket") == -1) & (F.col("n") >= LANGUAGE_DOCUMENTS)).select("lang")
-        for r in kept.join(known, "lang", "left_semi").toLocalIterator():  # at most BUCKETS rows a language
-            counts.setdefault(r["lang"], {})[r["bucket"]] = r["n"]
+        rows = kept.join(known, "lang", "left_semi").toArrow()  # at most BUCKETS rows a language
+        for lang, bucket, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "bucket", "n"))):
+            counts.setdefault(lang, {})[bucket] = n
         return cls(counts)
 
     def scores(self, text: str) -> tuple[np.ndarray, int]:

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import encoding, leakage, neardup, offence, pagenoise, pairs, splitting, truncation
-from docmill.session import table
+from docmill.session import spread
+from docmill.session import table as whole_table
 
 
 QUESTION_TABLES = ("single_shot_questions", "multi_hop_questions", "cross_document_questions")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table; dealt out over the cores where it is so small that it is read as one split."""
+    return spread(whole_table(spark, sf_dir, name))
+
+
 def question_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The wanted columns of the three question tables together."""
     first, *rest = (table(spark, sf_dir, name).select(*columns) for name in QUESTION_TABLES)
