@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,14 @@ def token_windows(text: Column | str, size: int, overlap: int = 0, encoding: str
     return let(word_tokens(column), windows)
 
 
-def chunks(document_id: Column | str, text: Column | str, size: int, overlap: int = 0, encoding: str = "word") -> Column:
-    """ARRAY<STRUCT<chunk_id, chunk_text>> with ids ``<document>_<number>``; empty for a text without content."""
+def chunks(document_id: Column | str, text: Column | str, size: int, overlap: int = 0, encoding: str = "word", preprocess: Callable[[Column], Column] | None = None) -> Column:
+    """ARRAY<STRUCT<chunk_id, chunk_text>> with ids ``<document>_<number>``; empty for a text without content.
+
+    ``preprocess`` changes the text before it is cut, as a column, so native functions stay native.
+    """
     key = F.col(document_id) if isinstance(document_id, str) else document_id
+    if preprocess is not None:
+        text = preprocess(F.col(text) if isinstance(text, str) else text)
     named = F.transform(
         token_windows(text, size, overlap, encoding),
         lambda t, i: F.struct(F.concat_ws("_", key.cast("string"), i.cast("string")).alias("chunk_id"), t.alias("chunk_text")),
@@ -76,9 +83,9 @@ def groups(chunk_array: Column, positions: Column) -> Column:
     return F.transform(positions, lambda g: F.struct(take(g, "chunk_id").alias("chunk_ids"), take(g, "chunk_text").alias("chunks_text")))
 
 
-def chunk_documents(documents: DataFrame, size: int = 8192, overlap: int = 0, least: int = 2, most: int = 5, factor: int = 1, encoding: str = "word") -> DataFrame:
+def chunk_documents(documents: DataFrame, size: int = 8192, overlap: int = 0, least: int = 2, most: int = 5, factor: int = 1, encoding: str = "word", preprocess: Callable[[Column], Column] | None = None) -> DataFrame:
     """``documents`` with chunks and multihop_chunks; a document without content keeps its row, with empty arrays."""
-    cut = documents.withColumn("chunks", chunks("document_id", "document_text", size, overlap, encoding))
+    cut = documents.withColumn("chunks", chunks("document_id", "document_text", size, overlap, encoding, preprocess))
     return cut.withColumn("multihop_chunks", groups(F.col("chunks"), combinations("document_id", F.size("chunks"), least, most, factor)))
 
 

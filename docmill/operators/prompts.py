@@ -108,3 +108,23 @@ def builder_totals(chunked: DataFrame, calls: DataFrame) -> DataFrame:
 def tag_histogram(calls: DataFrame) -> DataFrame:
     """Number of calls per tag."""
     return calls.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("calls"))
+
+
+def skipped_chunks(chunked: DataFrame) -> DataFrame:
+    """(document_id, chunk_id) of the chunks without content, for which there is no call."""
+    return chunked.select("document_id", F.explode("chunks").alias("c")).where(~has_content(F.col("c.chunk_text"))).select("document_id", "c.chunk_id")
+
+
+def call_summary(calls: DataFrame, seconds: float = 0.0) -> DataFrame:
+    """One row: calls, the average, least and largest length of their messages together, and calls per second (0 of no time)."""
+    length = F.aggregate(F.transform("messages", lambda m: F.length(F.coalesce(m["content"], F.lit("")))), F.lit(0), lambda a, n: a + n)
+    sizes = calls.select(length.alias("n"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    rate = F.count("*") / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)
+    return sizes.agg(
+        F.count("*").alias("total_calls"),
+        none(F.avg("n")).alias("avg_message_length"),
+        none(F.min("n")).cast("long").alias("min_message_length"),
+        none(F.max("n")).cast("long").alias("max_message_length"),
+        rate.alias("calls_per_second"),
+    )

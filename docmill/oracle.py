@@ -232,6 +232,14 @@ def oracle_sql() -> dict[str, str]:
             WITH {_CHUNKED}, e AS (SELECT document_filename, document_id, document_summary, unnest(chunks) AS u FROM c),
             p AS (SELECT *, {_strip("u.chunk_text")} <> '' AS used, length('Title: ' || coalesce(document_filename, 'doc_' || document_id) || E'\\nSummary: ' || coalesce(document_summary, '') || E'\\nText: ' || u.chunk_text || E'\\n') AS n FROM e)
             SELECT (SELECT count(*) FROM c) AS documents, count(*) AS chunks, count(*) FILTER (NOT used) AS skipped, count(*) FILTER (used) AS calls, sum(n) FILTER (used) / count(*)::DOUBLE AS avg_prompt_length FROM p""",
+        "call_summary": f"""
+            WITH {_CHUNKED}, e AS (SELECT document_filename, document_id, document_summary, unnest(chunks) AS u FROM c),
+            p AS (SELECT length('Title: ' || coalesce(document_filename, 'doc_' || document_id) || E'\\nSummary: ' || coalesce(document_summary, '') || E'\\nText: ' || u.chunk_text || E'\\n') + 4 AS n FROM e WHERE {_strip("u.chunk_text")} <> '')
+            SELECT count(*) AS total_calls, coalesce(avg(n), 0)::DOUBLE AS avg_message_length, coalesce(min(n), 0) AS min_message_length, coalesce(max(n), 0) AS max_message_length, count(*) / 8.0::DOUBLE AS calls_per_second FROM p""",
+        "chunks_skipped": f"WITH {_CHUNKED}, e AS (SELECT document_id, unnest(chunks) AS u FROM c) SELECT document_id, u.chunk_id AS chunk_id FROM e WHERE coalesce({_strip('u.chunk_text')}, '') = ''",
+        "chunk_preprocessed": f"""
+            WITH w AS (SELECT doc_id, {_words("lower(text)")} AS w FROM documents WHERE {_strip("text")} <> ''), s AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 64)) AS s FROM w)
+            SELECT doc_id::VARCHAR AS document_id, doc_id || '_' || (s // 64) AS chunk_id, md5(array_to_string(w[s + 1 : s + 64], ' ')) AS text_hash FROM s""",
         "tag_histogram": f"""
             WITH {_CHUNKED}, e AS (SELECT document_id, unnest(multihop_chunks) AS g, unnest(generate_series(0, len(multihop_chunks) - 1)) AS n FROM c WHERE len(multihop_chunks) > 0),
             t AS (SELECT document_id, n, len(g.chunks_text) AS k, length(array_to_string(list_transform(g.chunks_text, lambda x, i: '<text_chunk_' || (i - 1) || '>' || x || '</text_chunk_' || (i - 1) || E'>\\n'), '')) AS l FROM e WHERE len(g.chunks_text) > 0),

@@ -16,16 +16,21 @@ from docmill.plans.config import Config
 from docmill.plans.prompts import DEFAULTS, load_prompt
 from docmill.session import cut_lineage
 from docmill.sources import files
+from docmill.sources.hub import Hub
 from docmill.sources.store import SubsetStore, conform, write_index
 
 log = logging.getLogger("docmill")
 
+#: Warnings of a kind that are logged.
+WARNINGS = 5
+
 
 class Pipeline:
     """Runs the enabled stages in their order; the first that fails ends the run."""
 
-    def __init__(self, spark: SparkSession, config: Config, provider: inference.Provider):
+    def __init__(self, spark: SparkSession, config: Config, provider: inference.Provider, hub: Hub | None = None):
         self.spark, self.config, self.provider, self.logged = spark, config, provider, False
+        self.hub = hub
         self.store = SubsetStore(spark, config.storage.local_dataset_dir)
         self.steps: dict[str, Callable] = {
             "ingestion": self.ingest,
@@ -72,15 +77,30 @@ class Pipeline:
 
     def write_card(self) -> None:
         """Write the card beside the subsets; a failure there is logged only."""
+        storage = self.config.storage
         try:
-            self.store.write_text("README.md", card.render_card(self.config, self.store.read_text("README.md")))
+            text = card.render_card(self.config, self.store.read_text("README.md"))
+            self.store.write_text("README.md", text)
+            if self.hub is not None and storage.push_to_hub and storage.upload_card:
+                self.hub.push_card(text, storage.identifier())
         except Exception:  # noqa: BLE001 - a run isn't lost for its card
             log.warning("the card could not be written", exc_info=True)
 
     def save(self, df: DataFrame, subset: str) -> None:
         if subset in schemas.SUBSETS:
             df = conform(df, schemas.SUBSETS[subset])
-        self.store.save(df, subset, append=self.config.storage.concat_if_exist)
+        storage = self.config.storage
+        self.store.save(df, subset, append=storage.concat_if_exist)
+        if self.hub is not None and storage.push_to_hub:
+            self.hub.push(self.store.load(subset), storage.identifier(), subset, storage.private)
+
+    def load(self, subset: str, optional: bool = False) -> DataFrame:
+        """A subset of the store; one that isn't there is fetched from the hub, if there is one and it has it."""
+        if self.hub is not None and subset not in self.store.subsets():
+            found = self.hub.pull(self.config.storage.identifier(), subset)
+            if found is not None:
+                self.store.save(found, subset)
+        return self.store.load(subset, optional)
 
     def answers(self, stage: str, calls: DataFrame) -> DataFrame:
         """Calls with their answers, written once, as asking again may answer otherwise, and logged."""
@@ -105,7 +125,7 @@ class Pipeline:
         self.save(files.ingested(read), "ingested")
 
     def summarize(self, s) -> None:
-        documents = self.store.load("ingested")
+        documents = self.load("ingested")
         first = self.answers("summarization", summarize.part_calls(documents, load_prompt(s.summarization_user_prompt, "summary"), s.max_tokens, s.token_overlap, s.encoding_name))
         used = first.where("model_order = 0")
         parts = cut_lineage(summarize.by_document(used.select("document_id", "part", "response")))
@@ -116,15 +136,17 @@ class Pipeline:
         self.save(named, "summarized")
 
     def chunk(self, s) -> None:
-        cut = chunking.chunk_documents(self.store.load("summarized"), s.l_max_tokens, s.token_overlap, s.h_min, s.h_max, s.num_multihops_factor, s.encoding_name)
+        cut = chunking.chunk_documents(self.load("summarized"), s.l_max_tokens, s.token_overlap, s.h_min, s.h_max, s.num_multihops_factor, s.encoding_name)
         self.save(cut, "chunked")
 
     def ask(self, subset: str, key: str, s, chunked: DataFrame | None = None) -> None:
-        chunked = chunked if chunked is not None else self.store.load("chunked")
+        chunked = chunked if chunked is not None else self.load("chunked")
         system = load_prompt(s.system(), "choice_system" if s.question_mode == "multi-choice" else "question_system")
         if s.question_schema and "{schema_definition}" not in system:
             system += "\n\n{schema_definition}"
         system = schema_prompt.system_prompt(system, schema_prompt.load_schema(s.question_schema, s.question_mode))
+        for r in prompts.skipped_chunks(chunked).limit(WARNINGS).collect():
+            log.warning("chunk %s of document %s has no content and is left out", r["chunk_id"], r["document_id"])
         if key == "chunk_id":
             calls = prompts.single_shot_calls(chunked, load_prompt(s.user_prompt, "single_shot"), system, s.additional_instructions, s.sampling())
         else:
@@ -137,16 +159,16 @@ class Pipeline:
 
     def ask_across(self, s) -> None:
         least, most = s.num_docs_per_combination
-        rows = crossdoc.cross_documents(self.store.load("chunked"), least, most, s.max_combinations, s.chunks_per_document, s.random_seed)
+        rows = crossdoc.cross_documents(self.load("chunked"), least, most, s.max_combinations, s.chunks_per_document, s.random_seed)
         self.ask("cross_document_questions", "source_chunk_ids", s, rows.withColumn("document_filename", F.lit(None).cast("string")))
 
     def rewrite(self, s) -> None:
-        documents = self.store.load("chunked")
+        documents = self.load("chunked")
         known = assemble.with_summaries(assemble.documents_once(documents), documents)
         for subset, key in (("single_shot_questions", "chunk_id"), ("multi_hop_questions", "source_chunk_ids")):
             if subset not in self.store.subsets():
                 continue
-            asked = self.store.load(subset)
+            asked = self.load(subset)
             content = F.to_json(F.struct(*asked.columns), {"ignoreNullFields": "false"})
             asked = asked.withColumn("question_id", F.sha2(content, 256)).dropDuplicates(["question_id"])  # rows alike in all are one
             joined = asked.join(known.select("document_id", "document_summary", F.col("chunks").alias("_chunks")), "document_id", "left")
@@ -158,9 +180,9 @@ class Pipeline:
             self.save(rewriting.rewritten(asked, responses), f"{subset}_rewritten")
 
     def prepare(self, s) -> None:
-        chunked = self.store.load(s.chunked_subset)
-        documents = assemble.with_summaries(assemble.documents_once(chunked), self.store.load(s.summarized_subset, optional=True))
-        tables = {k: self.store.load(n) if n in self.store.subsets() else None for k, n in (("single", s.single_shot_subset), ("multi", s.multi_hop_subset), ("cross", s.cross_doc_subset))}
+        chunked = self.load(s.chunked_subset)
+        documents = assemble.with_summaries(assemble.documents_once(chunked), self.load(s.summarized_subset, optional=True))
+        tables = {k: self.load(n) if n in self.store.subsets() else None for k, n in (("single", s.single_shot_subset), ("multi", s.multi_hop_subset), ("cross", s.cross_doc_subset))}
         cross = tables["cross"]
         out = assemble.evaluation_table(documents, tables["single"], tables["multi"], None)
         if cross is not None:
@@ -168,4 +190,4 @@ class Pipeline:
         self.save(out, s.output_subset)
 
     def score(self, s) -> None:
-        self.store.save(scoring.scored(self.store.load(s.subset), s.alpha, s.beta), s.subset)
+        self.store.save(scoring.scored(self.load(s.subset), s.alpha, s.beta), s.subset)

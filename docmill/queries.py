@@ -212,6 +212,26 @@ def builder_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.builder_totals(chunked, prompts.single_shot_calls(chunked, SINGLE_TEMPLATE))
 
 
+@query
+def call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many single-shot calls there are, how long their messages are, and how many a second were made in 8."""
+    calls = prompts.single_shot_calls(chunked_once(spark, sf_dir, *TITLED, "chunks"), SINGLE_TEMPLATE, system="Ask.")
+    return prompts.call_summary(calls, 8.0)
+
+
+@query
+def chunks_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without content, for which no call is made."""
+    return prompts.skipped_chunks(chunked_once(spark, sf_dir, "chunks"))
+
+
+@query
+def chunk_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 64 words of texts in lower case."""
+    made = chunking.chunks("document_id", "document_text", 64, preprocess=F.lower)
+    return documents(spark, sf_dir).select("document_id", F.inline(made)).select("document_id", "chunk_id", F.md5("chunk_text").alias("text_hash"))
+
+
 @query
 def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls per tag of the multi-hop prompts."""

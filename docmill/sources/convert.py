@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import io
 import re
+import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -143,8 +147,69 @@ def utf8(content: Column | str) -> Column:
     return F.try_validate_utf8((content if isinstance(content, Column) else F.col(content)).cast("string"))
 
 
+#: Parts of Office documents that hold text, and their elements for a block and a run of text (fixed values).
+_OFFICE = {
+    ".docx": (r"word/document()\.xml", "p", "t"),
+    ".pptx": (r"ppt/slides/slide(\d+)\.xml", "p", "t"),
+}
+
+
+def _named(element: ElementTree.Element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def office_text(data: bytes, extension: str) -> str | None:
+    """Text of a document or of slides: its paragraphs a line each, table rows as Markdown's, slides in their order."""
+    part, block, run = _OFFICE[extension]
+    out: list[str] = []
+
+    def text_of(element: ElementTree.Element) -> str:
+        return "".join((x.text or "") if _named(x) == run else "\n" if _named(x) == "br" else "" for x in element.iter())
+
+    def walk(element: ElementTree.Element) -> None:
+        for child in element:
+            name = _named(child)
+            if name == "tr":
+                cells = [" ".join(text_of(c).split()).replace("|", "\\|") for c in child if _named(c) == "tc"]
+                out.append("| " + " | ".join(cells) + " |")
+            elif name == block:
+                out.append(text_of(child))
+            else:
+                walk(child)
+
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = [(int(m[1] or 0), n) for n in archive.namelist() if (m := re.fullmatch(part, n))]
+        for _, name in sorted(names):
+            walk(ElementTree.fromstring(archive.read(name)))
+    return "\n".join(out).strip() or None
+
+
+def sheet_text(data: bytes) -> str | None:
+    """Text of a workbook: each sheet's rows as a Markdown table."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = archive.namelist()
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            items = (x for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if _named(x) == "si")
+            shared = ["".join(t.text or "" for t in item.iter() if _named(t) == "t") for item in items]
+        out = []
+        for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
+            for row in (x for x in ElementTree.fromstring(archive.read(name)).iter() if _named(x) == "row"):
+                cells = []
+                for cell in (c for c in row if _named(c) == "c"):
+                    said = "".join(t.text or "" for t in cell.iter() if _named(t) in ("v", "t"))
+                    cells.append(shared[int(said)] if cell.get("t") == "s" and said else said)
+                out.append("| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |")
+            out.append("")
+    return "\n".join(out).strip() or None
+
+
 #: Converters by file extension, from bytes to text; formats that need a library are registered by its user.
-_CONVERTERS: dict[str, Callable[[bytes], str | None]] = {}
+_CONVERTERS: dict[str, Callable[[bytes], str | None]] = {
+    ".docx": functools.partial(office_text, extension=".docx"),
+    ".pptx": functools.partial(office_text, extension=".pptx"),
+    ".xlsx": sheet_text,
+}
 
 
 def register(extension: str, converter: Callable[[bytes], str | None]) -> None:

@@ -1,8 +1,10 @@
 import base64
+import io
 import json
 import os
 import threading
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from docmill.operators import inference, metrics
 from docmill.plans import card, config, prompts, schema_prompt
 from docmill.plans.pipeline import Pipeline
 from docmill.sources import chat, convert, files
+from docmill.sources.hub import FolderHub
 from docmill.sources.store import SubsetStore
 from docmill.streaming import ingest
 
@@ -51,6 +54,29 @@ def test_converters_and_pages(spark):
     assert files.joined_pages(pages).first().text == "one\n\n---\n\ntwo"
 
 
+def zipped(**parts):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for name, text in parts.items():
+            archive.writestr(name.replace("__", "/") + ".xml", text)
+    return data.getvalue()
+
+
+def test_office_files_are_read(spark, tmp_path):
+    w = '<w:document xmlns:w="x"><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a|b</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl><w:p><w:r><w:t>End</w:t></w:r></w:p></w:body></w:document>'
+    slide = lambda t: f'<p:sld xmlns:p="y" xmlns:a="z"><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sld>'
+    sheet = '<worksheet xmlns="s"><sheetData><row><c t="s"><v>1</v></c><c><v>7</v></c></row><row><c t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>'
+    shared = '<sst xmlns="s"><si><t>no</t></si><si><r><t>k</t></r><r><t>ey</t></r></si></sst>'
+    for name, data in {
+        "a.docx": zipped(word__document=w), "b.pptx": zipped(ppt__slides__slide2=slide("second"), ppt__slides__slide10=slide("tenth"), ppt__slides__slide1=slide("first")),
+        "c.xlsx": zipped(xl__worksheets__sheet1=sheet, xl__sharedStrings=shared), "d.docx": b"no archive",
+    }.items():
+        (tmp_path / name).write_bytes(data)
+    read = files.texts(files.files(spark, str(tmp_path), (".docx", ".pptx", ".xlsx")))
+    got = {r.path.rsplit("/", 1)[-1]: r.text for r in read.collect()}
+    assert got == {"a.docx": "One two\n| a\\|b |  |\nEnd", "b.pptx": "first\nsecond\ntenth", "c.xlsx": "| key | 7 |\n| x |"}
+
+
 def test_store_replaces_appends_and_overwrites_itself(spark, tmp_path):
     store = SubsetStore(spark, str(tmp_path / "s"))
     with pytest.raises(FileNotFoundError, match="none"):
@@ -262,7 +288,12 @@ def test_whole_pipeline(spark, tmp_path):
         }
     )
     (tmp_path / "schema.py").write_text("DataFormat = 'question string not null, answer string, hint string, steps array<int>'")
-    took = Pipeline(spark, made, Hinting()).run()
+    hub = FolderHub(spark, str(tmp_path / "hub"))
+    took = Pipeline(spark, made, Hinting(), hub).run()
+    other = Pipeline(spark, config.parse({"hf_configuration": {"dataset_name": "t", "local_dataset_dir": str(tmp_path / "elsewhere")}}), Hinting(), hub)
+    assert other.load("chunked").count() == 3 and (tmp_path / "hub" / "t" / "README.md").exists()
+    with pytest.raises(FileNotFoundError):
+        other.load("nowhere")
     assert list(took) == made.enabled()
     store = SubsetStore(spark, str(tmp_path / "store"))
     prepared = store.load("prepared_lighteval")
