@@ -356,7 +356,16 @@ def _reflow(lines: list[str | None], joins: Callable[[str, str], bool]) -> tuple
     ``joins`` tells whether the halves of a word divided by a plain hyphen belong together.
     """
     paragraphs: list[str] = []
+    parts: list[str] = []  # of the paragraph that is being put together
+    first = tail = ""  # what its last line began with, and the last line of the page in it
     hyphenated, blank, gap, fenced = 0, True, False, False
+
+    def begin(x: str) -> None:
+        nonlocal parts
+        if parts:
+            paragraphs.append("".join(parts))
+        parts = [x]
+
     for line in lines:
         if line is None:
             gap = True
@@ -367,26 +376,31 @@ def _reflow(lines: list[str | None], joins: Callable[[str, str], bool]) -> tuple
             continue
         if x.startswith("```"):
             fenced = not fenced
-        last = paragraphs[-1] if paragraphs else ""
-        tail = last.rsplit("\n", 1)[-1]
-        goes_on = bool(last) and x[:1].islower() and not tail.endswith(_TERMINAL)
-        if last and last[-1] in _HYPHEN and (x[:1].isalpha()) and last[-2:-1].isalpha():
-            head = re.search(r"[^\W\d_]+$", last[:-1])[0]
+        goes_on = bool(parts) and x[:1].islower() and not tail.endswith(_TERMINAL)
+        if parts and tail[-1] in _HYPHEN and x[:1].isalpha() and tail[-2:-1].isalpha():
+            head = re.search(r"[^\W\d_]+$", tail[:-1])[0]
             rest = re.match(r"[^\W\d_]+", x)[0]
-            if last[-1] != "-" or (x[:1].islower() and joins(head, rest)):
-                paragraphs[-1] = last[:-1] + x
+            if tail[-1] != "-" or (x[:1].islower() and joins(head, rest)):
+                parts[-1] = parts[-1][:-1]
+                parts.append(x)
+                tail = x
                 hyphenated += 1
                 blank = gap = False
                 continue
         if fenced or _OWN.match(line) or x.startswith("```"):
-            paragraphs.append(x) if blank or not last else paragraphs.__setitem__(-1, f"{last}\n{x}")
-        elif not last or (blank and not (goes_on and gap)):
-            paragraphs.append(x)
-        elif _OWN.match(tail) and not goes_on:
-            paragraphs[-1] = f"{last}\n{x}"
+            begin(x) if blank or not parts else parts.extend(("\n", x))
+            first = x
+        elif not parts or (blank and not (goes_on and gap)):
+            begin(x)
+            first = x
+        elif _OWN.match(first) and not goes_on:
+            parts += ["\n", x]
+            first = x
         else:
-            paragraphs[-1] = f"{last} {x}"
+            parts += [" ", x]
+        tail = x
         blank = gap = False
+    begin("")
     return paragraphs, hyphenated
 
 

@@ -1,6 +1,7 @@
 """Operators that judge: truncation, pair defects, page noise, offence."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -316,6 +317,14 @@ def test_pages_with_any_line_end_and_few_broken_lines(spark, end):
     assert {(r.document_id, r.noise) for r in found} == {("a", k) for k in pagenoise.KINDS} | {("b", "hyphenation")}
 
 
+def test_very_long_pages_take_time_in_proportion(spark):
+    began = time.monotonic()
+    rows = [("chain", "quo-\n" * 20_000 + "bar"), ("lines", "the old\nkeeper came " * 20_000), ("blank", "\n" * 200_000), ("run", "q" * 500_000 + "\nfoo"), ("code", "a-" * 100_000), ("null", None)]
+    rows += [(f"c{i}", CLEAN) for i in range(3)]
+    found = {(r.document_id, r.noise) for r in pagenoise.kinds_found(pagenoise.repaired(spark.createDataFrame(rows, "document_id string, text string"))).collect()}
+    assert found == {("chain", "hyphenation")} and time.monotonic() - began < 120
+
+
 def test_repair_gives_back_what_the_page_had(spark):
     """Words of intact texts, then noise on them, as a page would have it: nearly all come back."""
     rng = random.Random(5)
