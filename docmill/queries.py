@@ -59,7 +59,7 @@ def _every_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_questions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The wanted columns of the three question tables, redelivered rows included."""
-    return functools.reduce(DataFrame.unionByName, [table(spark, sf_dir, name).select(*columns) for name in QUESTION_TABLES.values()])
+    return functools.reduce(DataFrame.unionByName, [spread(table(spark, sf_dir, name).select(*columns)) for name in QUESTION_TABLES.values()])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
